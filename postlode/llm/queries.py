@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postlode.llm import secrets
+from postlode.llm import mixing, secrets, sharding
 from postlode.llm.common import rows_of
 
 
@@ -15,9 +16,25 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(rows_of(spark, sf_dir, "documents"))
 
 
+def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight contiguous shards of nearly equal bytes."""
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return sharding.shard_by_bytes(rows_of(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", law, "shard", "slot", grown
+    )
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources at weights 1, 2, 3, ... takes of each document."""
+    mixed = mixing.mix(rows_of(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_byte_shards": op2_byte_shards,
+        "op7_source_mix": op7_source_mix,
     }
 
 
