@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm import mixing, secrets, sharding
+from postlode.llm import mixing, secrets, sharding, simhash
 from postlode.llm.common import rows_of
 
 
@@ -30,11 +30,18 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(rows_of(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_byte_shards": op2_byte_shards,
         "op7_source_mix": op7_source_mix,
+        "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
     }
 
 
