@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm import mixing, secrets, sharding, simhash
+from postlode.llm import mixing, packing, secrets, sharding, simhash
 from postlode.llm.common import rows_of
 
 
@@ -24,6 +24,11 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 1024 tokens, packed into sequences."""
+    return packing.pack_documents(rows_of(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources at weights 1, 2, 3, ... takes of each document."""
     mixed = mixing.mix(rows_of(spark, sf_dir, "documents"))
@@ -40,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_byte_shards": op2_byte_shards,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op7_source_mix": op7_source_mix,
         "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
     }
