@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm import ann, mixing, packing, secrets, sharding, simhash, topk
-from postlode.llm.common import rows_of
+from postlode.llm import ann, lm, mixing, packing, secrets, sharding, simhash, topk
+from postlode.llm.common import crc_bucket, rows_of
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(rows_of(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a bigram model of the documents that are not held out."""
+    docs = rows_of(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 1, F.lit(False))
+    scored = lm.train_and_score(docs, held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"
+    )
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources at weights 1, 2, 3, ... takes of each document."""
     mixed = mixing.mix(rows_of(spark, sf_dir, "documents"))
@@ -56,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_byte_shards": op2_byte_shards,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_kneser_ney": op6_kneser_ney,
         "op7_source_mix": op7_source_mix,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_nearest_neighbours": op9_nearest_neighbours,
