@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm import ann, lm, mixing, packing, secrets, sharding, simhash, topk
+from postlode.llm import ann, lm, mixing, packing, quality, secrets, sharding, simhash, topk
 from postlode.llm.common import crc_bucket, rows_of
 
 
@@ -24,6 +24,14 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels that are not held out."""
+    docs = rows_of(spark, sf_dir, "documents")
+    held = quality.held_out(F.col("doc_id"))
+    trees = quality.learn(docs, rows_of(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs, trees).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces of at most 1024 tokens, packed into sequences."""
     return packing.pack_documents(rows_of(spark, sf_dir, "documents"))
@@ -65,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_byte_shards": op2_byte_shards,
+        "op3_quality": op3_quality,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_kneser_ney": op6_kneser_ney,
         "op7_source_mix": op7_source_mix,
