@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm import ann, lm, mixing, packing, quality, secrets, sharding, simhash, topk
+from postlode.llm import ann, langid, lm, mixing, packing, quality, secrets, sharding, simhash, topk
 from postlode.llm.common import crc_bucket, rows_of
 
 
@@ -32,6 +32,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from documents that are not held out."""
+    docs = rows_of(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    field = langid.learn(docs, ~held)
+    return langid.predict(docs, field).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces of at most 1024 tokens, packed into sequences."""
     return packing.pack_documents(rows_of(spark, sf_dir, "documents"))
@@ -74,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_byte_shards": op2_byte_shards,
         "op3_quality": op3_quality,
+        "op4_language": op4_language,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_kneser_ney": op6_kneser_ney,
         "op7_source_mix": op7_source_mix,
