@@ -159,18 +159,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_bucket(doc_id, 5) == 0, F.lit(False))
 
 
-def score(docs: DataFrame, trees: Trees, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of every document with ``score`` and ``predicted`` (1 at ``threshold`` and above)."""
-    kept = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
-    schema = docs.select(*keep).schema
+def score(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:
+    """``doc_id, score, predicted`` (1 at ``threshold`` and above) of every document."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = trees.scores(matrix(b.column(len(keep))))
-            columns = [*b.columns[: len(keep)], pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "predicted"])
+            s = trees.scores(matrix(b.column(1)))
+            columns = [b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
 
-    from pyspark.sql import types as T
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(each, "doc_id long, score double, predicted int")
 
-    out = T.StructType([*schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return kept.mapInArrow(each, out)
+
+def accepted(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:
+    """``docs`` without the rows that score below ``threshold``; all columns stay."""
+    at = docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(trees.scores(matrix(b.column(at).cast(pa.binary()))) >= threshold))
+
+    return docs.mapInArrow(each, docs.schema)
