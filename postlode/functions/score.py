@@ -13,6 +13,7 @@ from postlode import lexicon as lx
 from postlode.functions import pay
 from postlode.functions.classify import company_fit, is_relevant
 from postlode.functions.match import has_term
+from postlode.operators.barrier import seal
 from postlode.schema import SCORES, text_blob
 
 EXPERIENCE = r"(?U)\b([5-9]|10)\+?\s*(years|jahre|лет)\b"
@@ -121,7 +122,7 @@ def score(df: DataFrame, profile: lx.TargetingProfile | None = None) -> DataFram
     """Postings with components, relevance, company fit, priority and reason filled in: one narrow projection."""
     scored = with_facts(df, profile).withColumns(components())
     total = sum((F.col(c) for c in SCORES), F.lit(0))
-    scored = scored.withColumn("relevance_score", F.greatest(F.lit(0), F.least(F.lit(100), total)))
+    scored = seal(scored.withColumn("relevance_score", F.greatest(F.lit(0), F.least(F.lit(100), total))), "relevance_score")
     return scored.withColumns(
         {
             "company_fit": company_fit(F.col("_text")),

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from postlode.functions import classify
 from postlode.functions.text import clean_field
+from postlode.operators.barrier import seal
 from postlode.operators.joins import with_size_override
 from postlode.schema import COLUMNS, text_blob
 
 CLEANED = ("job_title", "company_name", "location", "job_description", "salary")
 
+#: Filled columns that runs and dashboards filter by.
+FILTERED = ("remote_type", "seniority", "language", "region", "country", "company_size")
+
 
 def _unless_known(name: str, value: Column) -> Column:
     return F.when(F.col(name) != "unknown", F.col(name)).otherwise(value)
@@ -54,4 +58,4 @@ def enrich(df: DataFrame, sizes: dict[str, str] | DataFrame | None = None) -> Da
             "company_size": F.when(unset, F.col("_size.size")).otherwise(F.col("company_size")),
         }
     )
-    return with_size_override(df, sizes).select(*COLUMNS, *extra)
+    return seal(with_size_override(df, sizes).select(*COLUMNS, *extra), *FILTERED)

@@ -19,7 +19,8 @@ def region_terms(region: str, remote: bool, profile: lx.TargetingProfile) -> lis
 
 
 def _placed(spark: SparkSession, values, place: str, value: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(values)), f"{place} int, {value} string")
+    """A literal list of a few dozen entries, in one partition: products of such lists stay small."""
+    return spark.createDataFrame(list(enumerate(values)), f"{place} int, {value} string").coalesce(1)
 
 
 def search_queries(

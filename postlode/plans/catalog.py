@@ -197,12 +197,12 @@ def guess_company(spark, d):
 
 
 _PLACES = ", ".join(map(o.quote, classify.place_names()))
-_PLACE_PARTS = "list_filter(list_transform(regexp_split_to_array(clean, '[,/]'), p -> trim(p)), p -> p <> '')"
+_PLACE_PARTS = "list_filter(list_transform(regexp_split_to_array(clean, '[,/]'), lambda p: trim(p)), lambda p: p <> '')"
 
 
 @query(f"""WITH {o.RAW}, c AS (SELECT seq, lower(trim(trim(regexp_replace(v, '\\s+', ' ', 'g')), ' ,-–—|')) AS clean, which
     FROM (SELECT seq, location AS v, 'location' AS which FROM raw UNION ALL SELECT seq, company_name, 'company' FROM raw))
-SELECT seq, which, (clean IN ({_PLACES}) OR (len({_PLACE_PARTS}) > 1 AND len(list_filter({_PLACE_PARTS}, p -> p NOT IN ({_PLACES}))) = 0)) AS place FROM c""")
+SELECT seq, which, (clean IN ({_PLACES}) OR (len({_PLACE_PARTS}) > 1 AND len(list_filter({_PLACE_PARTS}, lambda p: p NOT IN ({_PLACES}))) = 0)) AS place FROM c""")
 def location_name(spark, d):
     """Values that are places."""
     r = raw_postings(spark, d)

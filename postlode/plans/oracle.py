@@ -91,7 +91,7 @@ def region(low: str, c: str) -> str:
 def skills(low: str) -> str:
     terms = dict.fromkeys((*lx.AI_TERMS, *lx.AUTOMATION_TERMS, *lx.ENGINEERING_TERMS))
     items = ", ".join(f"CASE WHEN {term(low, [t])} THEN {quote(t)} END" for t in terms)
-    return f"array_to_string(list_filter([{items}], x -> x IS NOT NULL)[1:18], ', ')"
+    return f"array_to_string(list_filter([{items}], lambda x: x IS NOT NULL)[1:18], ', ')"
 
 
 def bucket(n: str) -> str:
@@ -136,7 +136,7 @@ def core(x: str) -> str:
 
 def url(x: str) -> str:
     """For addresses with a scheme and plain parameters."""
-    query = f"list_filter(string_split(regexp_extract({x}, '\\?([^#]*)', 1), '&'), p -> regexp_matches(p, '=.') AND lower(string_split(p, '=')[1]) NOT IN ({', '.join(map(quote, lx.TRACKING_PARAMETERS))}))"
+    query = f"list_filter(string_split(regexp_extract({x}, '\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '=.') AND lower(string_split(p, '=')[1]) NOT IN ({', '.join(map(quote, lx.TRACKING_PARAMETERS))}))"
     base = f"lower(regexp_extract({x}, '^[a-zA-Z]+://[^/?#]*')) || regexp_replace(regexp_extract({x}, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
     return f"CASE WHEN {x} = '' THEN '' ELSE {base} || CASE WHEN len({query}) > 0 THEN '?' || array_to_string({query}, '&') ELSE '' END END"
 
@@ -181,13 +181,13 @@ def _pay(low: str) -> dict[str, str]:
     hours = "(\\d{2})\\s?(?:stunden|hours)"
     every = lambda p, g: f"regexp_extract_all({low}, '{p}', {g})"
     values = lambda p: (
-        f"list_transform(list_zip({every(p, 1)}, {every(p, 2)}), z -> CASE WHEN coalesce(z[2], '') <> '' "
+        f"list_transform(list_zip({every(p, 1)}, {every(p, 2)}), lambda z: CASE WHEN coalesce(z[2], '') <> '' "
         f"THEN CAST(z[1] || z[2] AS INTEGER) ELSE CAST(z[1] AS INTEGER) * 1000 END)"
     )
     return {
         "years": f"list_concat({values(year)}, {values(short)})",
         "months": values(month),
-        "hours": f"list_transform(list_concat({every(week, 1)}, {every(hours, 1)}), x -> CAST(x AS INTEGER))",
+        "hours": f"list_transform(list_concat({every(week, 1)}, {every(hours, 1)}), lambda x: CAST(x AS INTEGER))",
     }
 
 
@@ -197,8 +197,8 @@ blobs AS (SELECT *, {BLOB} AS blob FROM enriched),
 lists AS (SELECT *, lower(blob) AS text, lower(job_title) AS title, {_P['years']} AS years, {_P['months']} AS months, {_P['hours']} AS weekly FROM blobs),
 flags AS (
     SELECT *, len(years) + len(months) > 0 AS paid, len(weekly) > 0 AS timed,
-           len(list_filter(years, v -> v >= {lx.YEARLY_LEAST})) + len(list_filter(months, v -> v >= {lx.MONTHLY_LEAST})) > 0 AS paid_well,
-           len(list_filter(weekly, v -> v <= {lx.HOURS_MOST})) > 0 AS short_week FROM lists
+           len(list_filter(years, lambda v: v >= {lx.YEARLY_LEAST})) + len(list_filter(months, lambda v: v >= {lx.MONTHLY_LEAST})) > 0 AS paid_well,
+           len(list_filter(weekly, lambda v: v <= {lx.HOURS_MOST})) > 0 AS short_week FROM lists
 ),
 paid AS (
     SELECT *, CASE WHEN paid THEN 'yes' ELSE 'unknown' END AS salary_found,
@@ -321,7 +321,7 @@ def low_cost(salary: str, location: str, blob: str) -> str:
 
 def titled(x: str) -> str:
     """Letter runs capitalised."""
-    return f"array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|[^\\p{{L}}]+'), r -> upper(r[1:1]) || lower(r[2:])), '')"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda r: upper(r[1:1]) || lower(r[2:])), '')"
 
 
 def squeezed(sql: str) -> str:
