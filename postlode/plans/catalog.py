@@ -477,7 +477,7 @@ def pipeline_e2e(spark, d):
     return done.select(F.col("_seq").alias("seq"), "relevance_score", "priority_level", "deduplication_key", "company_size", "reason_for_score")
 
 
-@query(f"""WITH RECURSIVE {o.SCORED}, {o.prepared('scored')}, {o.GREEDY}, marked AS (SELECT *, {o.too_large('company_size')} AS large, {o.low_cost('salary', 'location', o.BLOB)} AS low_cost FROM unique_rows)
+@query(f"""WITH RECURSIVE {o.SCORED}, {o.prepared('scored')}, {o.GREEDY}, marked AS MATERIALIZED (SELECT *, {o.too_large('company_size')} AS large, {o.low_cost('salary', 'location', o.BLOB)} AS low_cost FROM unique_rows)
 SELECT (SELECT count(*) FROM raw) AS raw, (SELECT count(*) FROM raw) - count(*) AS duplicates_removed, count_if(large) AS large_removed, count_if(NOT large AND low_cost <> '') AS low_cost_removed,
 count_if(NOT large AND low_cost = '') AS scored, count_if(NOT large AND low_cost = '') AS new, count_if(NOT large AND low_cost = '' AND relevance_score >= 60) AS exported FROM marked""")
 def pipeline_counters(spark, d):

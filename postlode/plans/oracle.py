@@ -156,10 +156,10 @@ lowered AS (SELECT *, lower(words) AS low, lower(location) AS place FROM texts),
 sized(i, name, n) AS (VALUES {_SIZES}),
 keyed AS (SELECT {plain('name', lx.COMPANY_SUFFIXES)} AS k, arg_max(n, i) AS n FROM sized GROUP BY 1),
 labels_of AS (SELECT k, CASE WHEN regexp_matches(n, '^[0-9]+$') THEN {bucket('CAST(n AS BIGINT)')} ELSE n END AS label FROM keyed WHERE k <> ''),
-placed AS (
+placed AS MATERIALIZED (
     SELECT *, CASE WHEN location <> '' AND {region('place', city('place'))} <> 'unknown' THEN place ELSE low END AS whereabouts FROM lowered
 ),
-enriched AS (
+enriched AS MATERIALIZED (
     SELECT seq, source_platform, job_url, job_title, company_name, location, job_description, salary,
            {remote('low')} AS remote_type, {seniority('low')} AS seniority, {language('words')} AS language,
            {region('whereabouts', city('whereabouts'))} AS region, {country('whereabouts', city('whereabouts'))} AS country,
@@ -200,7 +200,7 @@ flags AS (
            len(list_filter(years, lambda v: v >= {lx.YEARLY_LEAST})) + len(list_filter(months, lambda v: v >= {lx.MONTHLY_LEAST})) > 0 AS paid_well,
            len(list_filter(weekly, lambda v: v <= {lx.HOURS_MOST})) > 0 AS short_week FROM lists
 ),
-paid AS (
+paid AS MATERIALIZED (
     SELECT *, CASE WHEN paid THEN 'yes' ELSE 'unknown' END AS salary_found,
            CASE WHEN paid_well THEN 'yes' WHEN paid THEN 'no' ELSE 'unknown' END AS salary_target_met,
            CASE WHEN timed THEN 'yes' ELSE 'unknown' END AS hours_found,
@@ -264,7 +264,7 @@ tested AS (
 ),
 parts AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _COMPONENTS.items())} FROM tested),
 summed AS (SELECT *, greatest(0, least(100, {' + '.join(_COMPONENTS)})) AS relevance_score FROM parts),
-scored AS (
+scored AS MATERIALIZED (
     SELECT *, {_FIT} AS company_fit,
            CASE WHEN relevance_score >= 80 THEN 'urgent' WHEN relevance_score >= 70 THEN 'high' WHEN relevance_score >= 60 THEN 'medium' ELSE 'low' END AS priority_level,
            (CASE WHEN {_joined(_REASONS)} = '' THEN 'only weak target-role signals were detected' ELSE {_joined(_REASONS)} END)
