@@ -188,7 +188,7 @@ def is_place(value: Column) -> Column:
     """Whether the value, or each of its several comma- or slash-separated parts, is a place."""
     clean = F.lower(strip(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)\s+", " ")), " ,-–—|"))
     names = place_names()
-    parts = F.filter(F.transform(F.split(clean, "[,/]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(clean, "[,/]"), lambda p: F.trim(p)), lambda p: p != "")
     return clean.isin(*names) | ((F.size(parts) > 1) & F.forall(parts, lambda p: p.isin(*names)))
 
 

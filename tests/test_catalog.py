@@ -61,3 +61,10 @@ def test_text_functions_on_edges(spark):
 def test_size_limit(spark):
     df = spark.createDataFrame([("1,001+",), ("1-50",), ("unknown",)], "v string")
     assert [r[0] for r in df.select(classify.exceeds_employees(F.col("v"))).collect()] == [True, False, False]
+
+
+def test_places_by_whole_value_or_by_every_part(spark):
+    cases = {"Egypt": True, "Cairo": True, "Cairo, Egypt": True, "Remote": True, "London Fintech Ltd": False, "FlowPilot AI": False, "": False}
+    df = spark.createDataFrame([(v,) for v in cases], "v string")
+    found = {r.v: r.place for r in df.select("v", classify.is_place(F.col("v")).alias("place")).collect()}
+    assert found == cases
