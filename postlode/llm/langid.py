@@ -1,7 +1,7 @@
 """Language identification of words by a linear-chain conditional random field.
 
 A text is the chain of its words. A word's features are its affixes (prefixes and suffixes of
-up to four characters), its inner two- and three-grams, its length class, and its place in a
+up to four characters), all its inner two- and three-grams, its length class, and its place in a
 lexicon of frequent training words; they are hashed into a weight table. Transitions between
 labels are learned with the weights, by gradient ascent on the exact log-likelihood, from
 sequences that join spans of documents of different languages, so that switches within a
@@ -39,6 +39,7 @@ SLOTS = 1 << 15
 WINDOW = 32
 WORDS_KEPT = 200_000
 AT_ONCE = 20_000
+LETTERS_AT_ONCE = 1_000_000
 
 
 def letters(token: str) -> str:
@@ -70,7 +71,7 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     left = np.arange(len(c)) - start[owner]
     slots, owners = [_slot(free, 1, np.minimum(n, 20) // 3)], [every]
     for size in (2, 3):
-        at = np.flatnonzero((left < n[owner] + 3 - size) & (left < 40))
+        at = np.flatnonzero(left < n[owner] + 3 - size)
         slots.append(_slot(free, size, *(c[at + i] for i in range(size))))
         owners.append(owner[at])
     for size in range(1, 5):
@@ -96,9 +97,12 @@ class Field:
         """exp of each word's summed weights, the largest of a word scaled to 1."""
         if not words or not self.labels:
             return np.zeros((len(words), len(self.labels)))
-        parts = []
-        for i in range(0, len(words), AT_ONCE):
-            some = words[i : i + AT_ONCE]
+        parts, i = [], 0
+        ends = np.cumsum([len(w) for w in words])
+        while i < len(words):
+            full = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LETTERS_AT_ONCE, "right"))
+            some = words[i : min(i + AT_ONCE, max(full, i + 1))]
+            i += len(some)
             flat, owner = features(some, self.lexicon)
             parts.append(np.stack([np.bincount(owner, column[flat], len(some)) for column in self.weights.T], axis=1))
         total = np.concatenate(parts)

@@ -87,3 +87,17 @@ def test_nothing_to_learn_from(spark):
     field = langid.learn(docs, F.lit(True))
     assert [(r.lang_pred, r.score) for r in langid.predict(docs, field).collect()] == [("und", 0.0)]
     assert langid.predict(docs.filter("false"), field).collect() == []
+
+
+def test_all_letters_of_a_long_word_count(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    field = langid.learn(docs, ~langid.held_out(F.col("doc_id")), steps=120)
+    rng = random.Random(4)
+    join = lambda first, then, by: by.join((text(rng, first, 30) + " " + text(rng, then, 1_500)).split()) + by + "".join(text(rng, first, 3).split())
+    long = [(1, join("aa", "bb", "_"), None), (2, join("bb", "cc", "/"), None), (3, join("cc", "aa", "\u200b"), None)]
+    out = langid.predict(spark.createDataFrame(long, docs.schema), field).collect()
+    assert {r.doc_id: r.lang_pred for r in out} == {1: "bb", 2: "cc", 3: "aa"}
+    words = ["the", "x" * 90, *text(rng, "bb", 50).split()]
+    whole = field.emissions(words)
+    monkeypatch.setattr(langid, "LETTERS_AT_ONCE", 40)
+    assert np.allclose(field.emissions(words), whole)
