@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,14 +24,16 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Where the session names none (local runs, tests) a temporary folder is made
-    and set; a cluster must name one.
+    Where the session names none, a local master (tests) gets a temporary folder; on a cluster
+    that is an error, as executors do not share such a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not named:
         own = sc.getCheckpointDir()
         if not own:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             own = "file://" + tempfile.mkdtemp(prefix="postlode-shared-")
             sc.setCheckpointDir(own)
         return own.rstrip("/")
@@ -64,7 +67,15 @@ def materialise(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     uri = new_folder(spark, kind)
     df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+    out = spark.read.schema(df.schema).parquet(uri)
+    out.stored_at = uri
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no later plan reads."""
+    for df in written:
+        _delete(df.sparkSession, df.stored_at)
 
 
 def partition_number() -> int:

@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+import xxhash
 
 from postlode.llm import sharding
 
@@ -27,7 +28,28 @@ def test_shards_are_even_and_gapless(spark):
     texts = [f"text {i} " + "wörd " * (i * 37 % 101) for i in range(900)] + [None, "", ""] + ["same words"] * 40
     out = sharding.shard_by_bytes(docs_of(spark, texts)).collect()
     check(out, texts)
-    assert len({r.shard for r in out if texts[r.doc_id] == "same words"}) == 1
+
+
+def test_shards_equal_brute_force(spark):
+    texts = [f"text {i} " + "wörd " * (i * 37 % 101) for i in range(300)] + [None, "", ""] + ["same words"] * 40 + ["z" * 9000]
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), seed=42) + 2**63) % 2**64 - 2**63
+    order = sorted(range(len(texts)), key=lambda i: (signed(texts[i] or ""), i))
+    sizes = [len((t or "").encode()) + 1 for t in texts]
+    want, seen, slots = {}, 0, {}
+    for i in order:
+        middle = seen + sizes[i] / 2
+        shard = sum(middle > sum(sizes) * k / 8 for k in range(1, 8))
+        want[i] = (shard, slots.setdefault(shard, 0))
+        slots[shard] += 1
+        seen += sizes[i]
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard_by_bytes(docs_of(spark, texts)).collect()} == want
+
+
+def test_equal_rows_are_split(spark):
+    rows = spark.createDataFrame([(7, "one row that repeats", "t")] * 900, "doc_id long, text string, tie string")
+    out = sharding.shard_by_bytes(rows.repartition(5)).collect()
+    held = [sorted(r.slot for r in out if r.shard == k) for k in range(8)]
+    assert all(x == list(range(len(x))) and len(x) in (112, 113) for x in held) and sum(map(len, held)) == 900
 
 
 def test_hot_text_is_split(spark):
