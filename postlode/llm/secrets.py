@@ -1,10 +1,16 @@
 """Secret scan: three fixed patterns, and sliding-window Shannon entropy.
 
 Candidate strings are maximal runs of token characters. Over each, a window of fixed
-width moves one character at a time; the sum of c*log2(c) over the counts in the window
-is kept and only the counts of the character that leaves and the one that enters are
-changed. A candidate is a finding if its highest window entropy reaches the threshold of
-its character class and no allow-list rule names it.
+width moves one character at a time. The counts of the window's characters lie in seven
+64-bit numbers, five bits a character; a step changes only the counts of the character
+that enters and the one that leaves, and adjusts the sum of c*log2(c), kept in whole
+units of 2**-40, by those two terms. A candidate is a finding if its highest window entropy
+reaches the threshold of its character class and no allow-list rule clears it.
+
+The allow list knows placeholders (parts of a candidate that hold such a word are left out
+before the rest is judged), whole UUIDs, and plain identifiers, paths and dates: candidates
+in which no letter stands beside a digit and no small letter alone between two capitals.
+Its patterns repeat single characters only, so no candidate is too long for them.
 
 Everything is Catalyst expressions on one scan: no shuffle, no Python on executors. The
 expensive expressions stand behind ``rlike`` gates, so ordinary documents cost only those.
@@ -15,6 +21,7 @@ than ``doc_id`` and ``text`` are not read, so their names cannot clash.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -32,18 +39,17 @@ HEX = r"[0-9a-f]{24,}"
 class EntropyRule:
     """Parameters of the entropy scan."""
 
+    #: At most 31: a count takes five bits.
     window: int = 20
     #: Bits a character; a window of 20 has at most log2(20) = 4.32.
     hex_bits: float = 3.0
     mixed_bits: float = 3.6
-    #: Regular expressions over a whole candidate that mark it as harmless: identifiers,
-    #: paths and dates made of pure words and numbers; UUIDs; placeholders.
-    allow: tuple[str, ...] = (
-        r"^[+/_=-]*(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*$",
-        r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-        r"(?i)example|placeholder|changeme|dummy|redacted|xxxx|0123456789|abcdefghij",
-        r"^[+/_=-]+$",
-    )
+    #: Words that mark the part of a candidate in which they stand as a placeholder.
+    placeholders: tuple[str, ...] = ("example", "placeholder", "changeme", "dummy", "redacted", "xxxx", "0123456789", "abcdefghij")
+    #: Regular expressions that clear a whole candidate.
+    allow: tuple[str, ...] = (r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",)
+    #: Without a match of this a candidate is made of plain words and numbers.
+    odd: str = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Z][a-z][A-Z]"
 
 
 def _quoted(text: str) -> str:
@@ -73,26 +79,50 @@ def _located(pattern: str, group: int, kind: int, keep: str, extra: str = "") ->
         acc -> acc.out)"""
 
 
+#: Characters of candidates are the codes 43 ("+") to 122 ("z"); twelve counts of five bits fill a long.
+_FIRST, _PER = 43, 12
+_UNIT = 1 << 40
+
+
 def _entropy_reached(candidate: str, rule: EntropyRule) -> str:
-    """SQL: whether the highest window entropy of ``candidate`` reaches its class's threshold."""
+    """SQL: whether the highest window entropy of ``candidate`` (at least a window long) reaches its class's threshold."""
     w = rule.window
-    term = lambda c: f"if({c} < 2, 0d, {c} * log2({c}))"
-    count = lambda chars, c: f"size(filter({chars}, q -> q = {c}))"
-    middle = f"slice(b.chars, i + 1, {w - 1})"
-    gone, come = "element_at(b.chars, i)", f"element_at(b.chars, i + {w})"
-    first = f"""aggregate(array_distinct(slice(b.chars, 1, {w})), 0d,
-        (a, c) -> a + {term(f"cast({count(f'slice(b.chars, 1, {w})', 'c')} as double)")})"""
-    step = f"""transform(array(named_struct('o', cast({count(middle, gone)} as double), 'n', cast({count(middle, come)} as double))),
-        k -> acc.sum + {term("k.o")} - {term("(k.o + 1)")} + {term("(k.n + 1)")} - {term("k.n")})[0]"""
-    bits = f"""aggregate(
-        if(size(b.chars) > {w}, sequence(1, size(b.chars) - {w}), cast(array() as array<int>)),
-        named_struct('sum', b.first, 'low', b.first),
-        (acc, i) -> transform(array({step}), v -> named_struct('sum', v, 'low', least(acc.low, v)))[0],
-        acc -> log2({w}d) - acc.low / {w}d)"""
-    threshold = f"if({candidate} rlike '^[0-9A-Fa-f]+$', {rule.hex_bits}d, {rule.mixed_bits}d)"
-    chars = f"transform(array(split({candidate}, '')), h -> named_struct('chars', filter(h, q -> q <> ''), 'first', 0d))"
-    seeded = f"transform({chars}, b -> named_struct('chars', b.chars, 'first', {first}))"
-    return f"(transform({seeded}, b -> {bits})[0] >= {threshold})"
+    if not 1 < w < 32:
+        raise ValueError("a window has 2 to 31 characters")
+    terms = "array(" + ", ".join(f"{round(c * math.log2(c) * _UNIT) if c else 0}L" for c in range(w + 1)) + ")"
+    least = lambda bits: f"{math.floor(w * (math.log2(w) - bits) * _UNIT + 0.5)}L"
+    code = lambda at: f"ascii(cast(substring(b, {at}, 1) as string)) - {_FIRST}"
+    shift = lambda c: f"cast(5 * ({c} % {_PER}) as int)"
+    held = lambda c: f"cast(shiftright(acc.c[cast({c} div {_PER} as int)], {shift(c)}) & 31 as int)"
+    one = lambda c: f"if(f = {c} div {_PER}, shiftleft(1L, {shift(c)}), 0L)"
+    changed = f"""named_struct(
+        'c', transform(acc.c, (x, f) -> x + {one("p.come")} - if(p.gone < 0, 0L, {one("p.gone")})),
+        'sum', acc.sum + t[p.n + 1] - t[p.n] + if(p.gone < 0, 0L, t[greatest(p.o - 1, 0)] - t[p.o]),
+        'low', acc.low)"""
+    step = f"""transform(transform(
+            array(named_struct('come', {code("i")}, 'gone', if(i > {w}, {code(f"i - {w}")}, -1))),
+            p -> named_struct('come', p.come, 'gone', p.gone, 'n', {held("p.come")}, 'o', if(p.gone < 0, 0, {held("p.gone")}))),
+        p -> if(p.come = p.gone, acc, {changed}))[0]"""
+    lowest = f"""aggregate(sequence(1, length(b)),
+        named_struct('c', array_repeat(0L, {(122 - _FIRST) // _PER + 1}), 'sum', 0L, 'low', {w * w * _UNIT}L),
+        (acc, i) -> transform(array({step}), v -> named_struct('c', v.c, 'sum', v.sum, 'low', if(i < {w}, v.low, least(v.low, v.sum))))[0],
+        acc -> acc.low)"""
+    most = f"if({candidate} rlike '^[0-9A-Fa-f]+$', {least(rule.hex_bits)}, {least(rule.mixed_bits)})"
+    return f"transform(array(cast({candidate} as binary)), b -> transform(array({terms}), t -> {lowest})[0])[0] <= {most}"
+
+
+def _judged(candidate: str, rule: EntropyRule) -> str:
+    """SQL: what is left of ``candidate`` without the parts that placeholders mark."""
+    words = "|".join(rule.placeholders)
+    part = f"(?i)(?<![A-Za-z0-9])[A-Za-z0-9]*(?:{words})[A-Za-z0-9]*"
+    return f"if({candidate} rlike {_quoted(f'(?i){words}')}, regexp_replace({candidate}, {_quoted(part)}, ''), {candidate})" if words else candidate
+
+
+def _suspicious(candidate: str, rule: EntropyRule) -> str:
+    """SQL: whether the candidate is a finding."""
+    allowed = "".join(f" and not {candidate} rlike {_quoted(a)}" for a in rule.allow)
+    rest = f"length(j) >= {rule.window} and j rlike {_quoted(rule.odd)} and {_entropy_reached('j', rule)}"
+    return f"{candidate} rlike {_quoted(rule.odd)}{allowed} and transform(array({_judged(candidate, rule)}), j -> {rest})[0]"
 
 
 def with_spans(docs: DataFrame, rule: EntropyRule | None = None) -> DataFrame:
@@ -111,10 +141,7 @@ def with_spans(docs: DataFrame, rule: EntropyRule | None = None) -> DataFrame:
     access = gated(ACCESS, _located(ACCESS, 0, 1, "true"))
     hexes = gated(HEX, _located(HEX, 0, 2, "true"))
     run = f"[A-Za-z0-9+/_=-]{{{rule.window},}}"
-    allowed = " or ".join(f"z['1'] rlike {_quoted(a)}" for a in rule.allow)
-    high = f"not ({allowed}) and {_entropy_reached("z['1']", rule)}"
-    # a candidate must hold both a letter and a digit: the first allow rule takes all others
-    entropy = gated(run, _located(run, 0, 3, high))
+    entropy = gated(run, _located(run, 0, 3, _suspicious("z['1']", rule)))
     base = texts.withColumns({"_a": F.expr(assign), "_c": F.expr(access), "_h": F.expr(hexes), "_e": F.expr(entropy)})
     return base.select(
         "doc_id",

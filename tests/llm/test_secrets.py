@@ -7,7 +7,15 @@ import pytest
 from postlode.llm import secrets
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-ALLOW = [re.compile(a) for a in secrets.EntropyRule().allow]
+UUID = re.compile("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+WORDS = ("example", "placeholder", "changeme", "dummy", "redacted", "xxxx", "0123456789", "abcdefghij")
+
+
+def odd(c):
+    pairs, triples = zip(c, c[1:]), zip(c, c[1:], c[2:])
+    return any(a.isalpha() and b.isdigit() or a.isdigit() and b.isalpha() for a, b in pairs) or any(
+        a.isupper() and b.islower() and d.isupper() for a, b, d in triples
+    )
 
 
 def brute(text):
@@ -18,7 +26,10 @@ def brute(text):
     found = list(base)
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         c = m[0]
-        if any(a.search(c) for a in ALLOW):
+        if UUID.fullmatch(c) or not odd(c):
+            continue
+        c = "".join(p for p in re.split("([^A-Za-z0-9]+)", c) if not any(w in p.lower() for w in WORDS))
+        if len(c) < 20 or not odd(c):
             continue
         best = 0
         for i in range(len(c) - 19):
@@ -45,6 +56,9 @@ TEXTS = [
     "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B2B0B822C",
     ("passwd=" + "q1W2e3R4t5Y6 ") * 300,
     "AKe93jdK3jdkW02lfmQz" * 400,
+    "path/example/AKe93jdK3jdkW02lfmQz83kd example/dummy/path/of/words AKe93jdKexample3jdkW02lfmQz83kd",
+    "kdJrQmXbTzLpWvCnHsYgFaDe getElementsByTagNameAndValue InternationalOrganization/ForStandardization",
+    "a-" * 1500 + " " + "1/" * 1500 + " " + "a-1_" * 900 + " " + "-" * 5000,
     "ΠASSWORD=abcdefgh ſecret=abcdefgh toKen=abcdefgh",
 ]
 
@@ -57,6 +71,16 @@ def test_scan_matches_brute_force(spark):
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == brute(t), t
 
 
+def test_candidates_of_ten_megabytes(spark):
+    """A separator chain, and a secret at the end of a run that is all one candidate."""
+    n = 10_000_000
+    long = f"case doc_id when 0 then repeat('a-', {n // 2}) when 1 then repeat('0', {n}) else repeat('zk1', {n // 30}) || 'AKe93jdK3jdkW02lfmQz' end as text"
+    docs = spark.range(3).withColumnRenamed("id", "doc_id").selectExpr("doc_id", long)
+    rows = secrets.scan(docs).orderBy("doc_id").collect()
+    assert [r.spans for r in rows] == ["", f"hex:0:{n}", f"entropy:0:{n // 10 + 19}"]
+    assert [r.n for r in secrets.redact(docs).orderBy("doc_id").selectExpr("length(text) as n").collect()] == [n, 8, 8]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scan(docs).collect() == []
