@@ -7,7 +7,8 @@ gradient histograms, and all trees lie in flat arrays by heap order, so that a b
 documents walks down all trees at once by indexing.
 
 Null text counts as empty and is scored like any other. Labels that are null, or of rows
-without id, teach nothing; several labels of one id count by their mean. With no label the
+without id, teach nothing; several labels of one id count by their mean, and of several texts
+of one id the one with the least statistics teaches. With no label the
 score is 1 (nothing is rejected); with labels of one kind it is their smoothed mean. Repeated
 rows are scored alike. An empty table gives no rows. Only doc_id and text of documents are
 read; doc_id only to choose and join labels.
@@ -149,8 +150,10 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 20_0
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "y", "l_id"])
 
     # the limit bounds what is broadcast, and (but for repeats of an id) what comes back
-    rows = docs.join(F.broadcast(chosen), docs.doc_id == chosen.l_id).select(F.col("text").cast("binary").alias("text"), "y", "l_id")
-    got = rows.mapInArrow(features, "x array<double>, y double, l_id long").dropDuplicates(["l_id"]).orderBy("l_id").toArrow()
+    texts = docs.select(F.col("doc_id").alias("l_id"), F.col("text").cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "l_id").select("text", "y", "l_id")
+    each = rows.mapInArrow(features, "x array<double>, y double, l_id long").groupBy("l_id").agg(F.min(F.struct("x", "y")).alias("r"))
+    got = each.select("l_id", "r.x", "r.y").orderBy("l_id").toArrow()
     x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, len(NAMES))
     return fit(x, (got["y"].to_numpy() >= 0.5).astype(np.float64))
 
