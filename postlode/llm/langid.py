@@ -12,9 +12,11 @@ Long chains are exact too: words are scanned in windows whose transfer matrices
 multiplied first, entry and exit vectors then pass from window to window, and the windows of
 all documents of a batch are worked through at once.
 
-The model is fitted on the driver to a bounded sample: about ``rows`` documents a language,
-of each a span of ``span`` words at a place chosen by hash. Emissions of distinct words are
-remembered by workers up to a bound.
+The model is fitted on the driver to a bounded sample: ``rows`` passages a language at most,
+drawn by hash from all passages of ``span`` characters into which the documents of the language
+fall, so that every part of every text is as likely to be drawn. Passages of equal texts are
+one. Languages are a closed set of at most ``most_languages``; more are an error. Emissions of
+distinct words are remembered by workers up to a bound.
 
 Null text and text without letters give ``und`` with score 0; so does everything where no
 language could be learned. Rows without language teach nothing. Repeated rows are predicted
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postlode.llm.common import crc_bucket
 
@@ -246,23 +249,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_bucket(doc_id, 3) == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, usable: Column, rows: int = 600, span: int = 300, **options) -> Field:
-    """A field from about ``rows`` usable documents a language; ``usable`` is over ``doc_id``."""
+def _whole_words(passage: str, first: bool, last: bool) -> list[str]:
+    """A passage's words without those that its edges cut."""
+    words = passage.split()
+    if not first and words and not passage[0].isspace():
+        words = words[1:]
+    if not last and words and not passage[-1].isspace():
+        words = words[:-1]
+    return words
+
+
+def learn(docs: DataFrame, usable: Column, rows: int = 600, span: int = 2_000, most_languages: int = 200, **options) -> Field:
+    """A field from at most ``rows`` passages a language of usable documents; ``usable`` is over ``doc_id``."""
     spark = docs.sparkSession
-    known = docs.filter(usable & F.col("lang").isNotNull())
-    # one row a language; languages are a small closed set
-    counts = known.groupBy("lang").count().collect()
+    known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    parts = F.greatest(F.ceil(F.length("text") / span), F.lit(1)).cast("int")
+    one, places = F.array(F.xxhash64(F.lit(3), "text")), F.sequence(F.lit(0), parts - 1)  # hashed once a text, not once a passage
+    hashes = F.flatten(F.transform(one, lambda t: F.transform(places, lambda p: F.xxhash64(t, p))))
+    counts = known.select("lang", F.explode(hashes).alias("h")).groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    counts = counts.limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"over {most_languages} languages")
     if not counts:
         return fit([])
-    share = spark.createDataFrame([(r.lang, min(1.0, rows / r["count"])) for r in counts], "l_lang string, share double")
-    token = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
-    drawn = known.join(F.broadcast(share), known.lang == share.l_lang)
-    drawn = drawn.withColumn("h", F.xxhash64(F.lit(3), "doc_id", "text"))
-    drawn = drawn.filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).withColumn("w", token)
-    place = F.pmod(F.xxhash64("h"), F.greatest(F.size("w") - span, F.lit(0)) + 1).cast("int") + 1
-    got = drawn.filter("w is not null").select("lang", "h", F.slice("w", place, F.lit(span)).alias("w"))
-    taken = got.orderBy("lang", "h").limit(4 * rows * len(counts)).collect()
-    return fit([(r.lang, r.w) for r in sorted(taken, key=lambda r: (r.lang, r.h))], **options)
+    # twice what is wanted of the different passages passes by hash; the exact number follows by rank
+    share = spark.createDataFrame([(r.lang, min(1.0, (2 * rows + 20) / max(1, r.n))) for r in counts], "lang string, share double")
+    near = lambda t: lambda p: F.pmod(F.xxhash64(t, p), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    drawn = F.flatten(F.transform(one, lambda t: F.transform(F.filter(places, near(t)), lambda p: F.struct(p.alias("part"), F.xxhash64(t, p).alias("h")))))
+    each = known.join(F.broadcast(share), "lang").select("lang", "text", parts.alias("parts"), F.explode(drawn).alias("d"))
+    passage = F.substr("text", F.col("d.part") * span + 1, F.lit(span))
+    got = each.select("lang", "d.h", "d.part", passage.alias("passage"), (F.col("d.part") == F.col("parts") - 1).alias("last"))
+    ranked = got.dropDuplicates(["lang", "h"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    taken = ranked.filter(F.col("n") <= rows).collect()
+    taken.sort(key=lambda r: (r.lang, r.h))
+    return fit([(r.lang, _whole_words(r.passage, r.part == 0, r["last"])) for r in taken if r.passage], **options)
 
 
 def predict(docs: DataFrame, field: Field, at_once: int = 300_000) -> DataFrame:

@@ -82,6 +82,21 @@ def test_held_out_accuracy_and_code_switching(spark):
     assert (p[:40].argmax(axis=1) == 0).mean() > 0.9 and (p[40:].argmax(axis=1) == 1).mean() > 0.9
 
 
+def test_every_part_of_every_text_is_drawn_alike(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda spans, **_: seen.append(spans))
+    late = "early " * 5_000 + "late " * 15_000
+    docs = spark.createDataFrame([(0, late, "aa", 0.5)] + [(i, "copy of a text", "zz", 0.5) for i in range(1, 900)] + [(999, "ende gut", "zz", 0.5)], "doc_id long, text string, lang string, share double")
+    langid.learn(docs, F.lit(True), rows=20)
+    (spans,) = seen
+    count = {lang: sum(x == lang for x, _ in spans) for lang in ("aa", "zz")}
+    assert 5 < count["aa"] <= 20 and count["zz"] == 2
+    words = [w for lang, ws in spans if lang == "aa" for w in ws]
+    assert set(words) == {"early", "late"} and words.count("late") > words.count("early")
+    with pytest.raises(ValueError):
+        langid.learn(docs.withColumn("lang", F.col("doc_id").cast("string")), F.lit(True))
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "words here", None)], "doc_id long, text string, lang string")
     field = langid.learn(docs, F.lit(True))
