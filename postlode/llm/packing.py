@@ -5,10 +5,11 @@ a bitset keyed by free space. A piece goes to the open bin with the least space
 it (the lowest set bit at or above its length); if none does, a new bin opens, and if too
 many were open the fullest closes first.
 
-Pieces (ids, lengths, checksums; no text) are written once, then dealt by hash to partitions
-of about ``pieces_per_bin_set`` pieces, each packed by one task in a fixed order. A task
-holds its open bins and a batch of pieces. Pieces arrive longest first: then the bins that
-close early are the full ones, and small pieces come last to fill what is left.
+Pieces (ids, lengths, checksums; no text) are written once, then dealt by hash (of the row's
+number too, so that equal rows spread) to partitions of about ``pieces_per_bin_set`` pieces,
+each packed by one task as they arrive in hash order. A task holds its open bins and a
+lookahead of ``ahead`` pieces, of which the longest is placed first: short pieces then fill what
+the long ones leave.
 
 Null text counts as empty: one piece with the end token. Repeated rows are packed as rows of
 their own. An empty table gives no rows. Columns other than doc_id and text are not read.
@@ -55,14 +56,16 @@ class Encoder:
     """Token ids of a byte-level BPE file of the tokenizers library.
 
     Where the file's merges rise with its ids, which makes ids ranks, a rank-based encoder
-    gives the same ids several times faster; else, or where that fails on a text, the
-    tokenizers library itself encodes. Special tokens' strings are ordinary text.
+    gives the same ids several times faster; else, and for texts that hold the string of an
+    added token (which is one id) or on which the other fails, the tokenizers library itself
+    encodes.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path, self.slow, self.fast = path, None, None
+        self.path, self.slow = path, None
+        self.added = [t["content"] for t in spec.get("added_tokens", ())]
         self.fast = self._ranked(spec)
 
     @staticmethod
@@ -85,7 +88,7 @@ class Encoder:
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None:
+        if self.fast is not None and not any(t in text for t in self.added):
             try:
                 return self.fast.encode_to_numpy(text, disallowed_special=())
             except BaseException as e:  # the library raises its panics past Exception
@@ -96,7 +99,6 @@ class Encoder:
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -130,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
                 for k in range(n):
                     part = ids[edges[k] : edges[k + 1]]
                     row = (doc, k, edges[k], len(part), zlib.crc32(part.astype("<u4").tobytes()), part.astype(np.int32))
-                    for column, value in zip(got, row, strict=True):
+                    for column, value in zip(got[: 5 + with_ids], row, strict=False):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
@@ -171,14 +173,14 @@ class BestFit:
         return to, offset
 
 
-def pack(
-    cut: DataFrame, length: int = LENGTH, most_open: int = 32_768, pieces_per_bin_set: int = 100_000
-) -> DataFrame:
+def pack(cut: DataFrame, length: int = LENGTH, most_open: int = 1_024, ahead: int = 1_000, pieces_per_bin_set: int = 100_000) -> DataFrame:
     """``cut`` (pieces, written by the caller) with ``sequence_id`` and ``offset``."""
     n = max(1, -(-cut.count() // pieces_per_bin_set))
     names = cut.columns
-    dealt = cut.withColumn("order", F.xxhash64("doc_id", "piece", "ids_crc32"))
-    dealt = dealt.repartition(n, "order").sortWithinPartitions(F.desc("length"), "order").drop("order")
+    # the table is written, so a row's number is the same whenever a task runs again
+    dealt = cut.withColumn("number", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("order", F.xxhash64("doc_id", "piece", "ids_crc32", "number"))
+    dealt = dealt.repartition(n, "order").sortWithinPartitions("order", "number").drop("order", "number")
     schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +188,14 @@ def pack(
 
         fit, first = BestFit(length, most_open), partition_number() << 40
         for b in batches:
-            placed = [fit.place(size) for size in b.column(names.index("length")).to_pylist()]
-            to = np.array([p[0] for p in placed], np.int64) + first
-            at = np.array([p[1] for p in placed], np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to), pa.array(at)], names=[*names, "sequence_id", "offset"])
+            for at in range(0, b.num_rows, ahead):
+                some = b.slice(at, ahead)
+                sizes = some.column(names.index("length")).to_numpy()
+                order = np.argsort(-sizes, kind="stable")
+                placed = np.empty((len(sizes), 2), np.int64)
+                placed[order] = [fit.place(size) for size in sizes[order].tolist()]
+                columns = [*some.columns, pa.array(placed[:, 0] + first), pa.array(placed[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
     return dealt.mapInArrow(each, schema)
 

@@ -5,8 +5,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from postlode.llm import packing
+from postlode.llm.common import materialise
 
 TEXTS = ["one two three", "", None, " \n\n  x\t", "<|endoftext|> é😀", "word " * 5000, "<" * 3000, "don't we'll 123 4567", "x" * 20_000, "a\r\nb   c "]
 
@@ -15,7 +17,6 @@ def slow_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -31,7 +32,6 @@ def test_fast_encoder_agrees_with_the_library(text):
 from tokenizers import Tokenizer  # noqa: E402
 
 slow = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
-slow.encode_special_tokens = True
 
 
 @pytest.mark.parametrize("most_open", [1, 5, 10_000])
@@ -90,5 +90,47 @@ def test_packing_is_a_round_trip(spark):
     assert ids == [*slow_ids(texts[0]), 2]
 
 
+def test_special_token_strings_are_one_id(spark):
+    text = "a <|endoftext|> b"
+    ids = packing.pieces(spark.createDataFrame([(0, text)], "doc_id long, text string"), with_ids=True).first().ids
+    assert ids == [64, 220, 50256, 275, 2]
+
+
+def test_packing_equals_a_plain_search_in_hash_order(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i * 37 % 301)) for i in range(700)], "doc_id long, text string")
+    cut = materialise(packing.pieces(docs), "test")
+    rows = packing.pack(cut, most_open=6, ahead=16).collect()
+    number = cut.withColumn("number", F.monotonically_increasing_id()).selectExpr("doc_id", "piece", "xxhash64(doc_id, piece, ids_crc32, number) as h", "length").collect()
+    arrive, open_, want, opened = sorted(number, key=lambda r: r.h), {}, {}, 0
+    for at in range(0, len(arrive), 16):
+        for r in sorted(arrive[at : at + 16], key=lambda r: -r.length):
+            room = {b: v for b, v in open_.items() if v >= r.length}
+            if room:
+                space = min(room.values())
+                want[r.doc_id, r.piece] = 1024 - space
+                to = next(b for b, v in room.items() if v == space)
+                open_[to] -= r.length
+                if not open_[to]:
+                    del open_[to]
+            else:
+                want[r.doc_id, r.piece] = 0
+                opened += 1
+                if r.length < 1024:
+                    if len(open_) == 6:
+                        del open_[min(open_, key=lambda b: (open_[b], b))]
+                    open_[opened] = 1024 - r.length
+    assert {(r.doc_id, r.piece): r.offset for r in rows} == want
+    assert len({r.sequence_id for r in rows}) == opened
+
+
+def test_equal_rows_spread(spark):
+    docs = spark.createDataFrame([(5, "the same row again", "n", 0)] * 900, "doc_id long, text string, number string, order int")
+    rows = packing.pack_documents(docs, pieces_per_bin_set=100).collect()
+    tasks = [sum(r.sequence_id >> 40 == k for r in rows) for k in range(9)]
+    assert len(rows) == 900 and max(tasks) < 200
+    used = sorted({(r.sequence_id, r.offset) for r in rows})
+    assert len(used) == 900
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
