@@ -6,14 +6,15 @@ shares of the sources, say which source each slot of the mix draws from; the ran
 slot among its source's slots names the block it takes, round and round up to
 ``most_repeats`` times. The last slot of a source takes only what its target still needs.
 
-The sources' totals (a row each) come to the driver: sources are named collections, and
-their number is the documented bound. Nothing else is gathered. Prefix sums come from the
+The sources' totals (a row each) come to the driver: sources are named collections, at most
+``most_sources``; more are an error. Nothing else is gathered. Prefix sums come from the
 totals of range partitions and slot ranks from the totals of chunks of slots, so that a
 source with a third of all rows is spread like any other.
 
 Null text has no words; null is a source of its own, last in order; documents without words
-are returned with nothing taken. Repeated rows are rows of their own. An empty table gives
-no rows. Columns other than doc_id, source and text are not read.
+are returned by ``mix`` with nothing taken and are not in ``mixed_documents``. Repeated rows
+are rows of their own, told apart by number. An empty table gives no rows. Of other columns
+``mix`` reads none, and ``mixed_documents`` carries all whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ GOLDEN = 0.6180339887498949
 GOLDEN_20 = math.modf((1 << 20) * 0.6180339887498949)[0]
 CHUNK = 1 << 16
 WEIGHTS = (1, 2, 3)
+WHITE = r"[\x20\x09-\x0D]"
 
 
 @dataclass(frozen=True)
@@ -65,8 +67,10 @@ def targets(sizes: list[int], weights: list[float], most_repeats: int = 3) -> li
     return out
 
 
-def _sources(rows: DataFrame, block: int, weights: tuple[float, ...], most_repeats: int) -> list[Source]:
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
+def _sources(rows: DataFrame, block: int, weights: tuple[float, ...], most_repeats: int, most_sources: int) -> list[Source]:
+    totals = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(most_sources + 1).collect()
+    if len(totals) > most_sources:
+        raise ValueError(f"over {most_sources} sources")
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in totals]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most_repeats)
@@ -134,19 +138,30 @@ def words_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("long")
 
 
-def mix(
-    docs: DataFrame, block: int = 4096, weights: tuple[float, ...] = WEIGHTS, most_repeats: int = 3, seed: int = 7
-) -> DataFrame:
-    """``doc_id, source, size, content, source_size, target, taken`` of every row: the words that the mix takes of it."""
-    spark = docs.sparkSession
-    rows = materialise(docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("content")), "mix-sizes")
-    sources = _sources(rows, block, weights, most_repeats)
+#: Columns that a row to be mixed has besides those that its caller keeps.
+_SIZED = ("source", "size", "content")
+
+
+def _sized(docs: DataFrame, row: Column, *keep: Column) -> DataFrame:
+    return docs.select(row.alias("row"), *keep, "source", words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
+
+
+def _spans(
+    rows: DataFrame, keep: list[str], block: int, weights: tuple[float, ...], most_repeats: int, seed: int, most_sources: int
+) -> tuple[DataFrame, DataFrame]:
+    """What the schedule takes of the written ``rows``.
+
+    All rows in order (``part, pos``, those kept, ``source_size, target``), and for each block that a
+    row has words in: its words ``low`` to ``high`` there, ``shift`` from the block's to the row's
+    counting, and ``uses`` (words from the block's start, times).
+    """
+    spark = rows.sparkSession
+    sources = _sources(rows, block, weights, most_repeats, most_sources)
     known = spark.createDataFrame(
-        [(s.name, s.number, s.size, s.target) for s in sources], "source string, number int, source_size long, target double"
-    )
-    told = rows.join(F.broadcast(known), rows.source.eqNullSafe(known.source)).select(
-        "doc_id", rows.source, "size", "content", "number", "source_size", "target", F.xxhash64(F.lit(seed), "doc_id", "content").alias("key")
+        [(s.name, s.number, s.size, s.target) for s in sources], "name string, number int, source_size long, target double"
     )
+    told = rows.join(F.broadcast(known), rows.source.eqNullSafe(known.name)).drop("name")
+    told = told.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "content"))
     ordered = in_global_order(told, ["number", "key", "doc_id", "size"], "mix")
     totals = ordered.groupBy("number", "part").agg(F.sum("size").alias("all"))
     before = Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,53 +169,74 @@ def mix(
     run = Window.partitionBy("number", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = ordered.withColumn("upto", F.sum("size").over(run)).join(starts, ["number", "part"])
     placed = placed.withColumn("a", F.col("first") + F.col("upto") - F.col("size"))
-    keep = ["doc_id", "source", "size", "content", "source_size", "target"]
-    held = placed.filter("size > 0").select(
-        *keep,
-        "number",
-        "part",
-        "pos",
-        "a",
-        F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block))).alias("block"),
-    )
-    low = F.greatest(F.col("a") - F.col("block") * block, F.lit(0))
-    high = F.least(F.col("a") + F.col("size") - F.col("block") * block, F.lit(block))
-    spans = held.select(*keep, "number", "part", "pos", "block", low.alias("low"), high.alias("high"))
+    last = F.floor((F.col("a") + F.col("size") - 1) / block)
+    held = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block), last)))
+    shift = F.col("block") * block - F.col("a")
+    spans = held.select(
+        "part", "pos", *keep, "number", "block", shift.alias("shift"),
+        F.greatest(-shift, F.lit(0)).alias("low"), F.least(F.col("size") - shift, F.lit(block)).alias("high"),
+    )
     used = schedule(spark, sources, block).groupBy("number", "block", "words").agg(F.count("*").alias("times"))
     used = used.groupBy("number", "block").agg(F.collect_list(F.struct("words", "times")).alias("uses"))
-    took = F.expr(
-        "aggregate(coalesce(uses, array()), 0L, (t, u) -> t + u.times * greatest(least(high, u.words) - low, 0L))"
-    )
-    taken = spans.join(used, ["number", "block"], "left").withColumn("t", took)
-    out = taken.groupBy("part", "pos", *keep).agg(F.sum("t").alias("taken")).select(*keep, "taken")
+    return ordered, spans.join(used, ["number", "block"], "left")
+
+
+def mix(
+    docs: DataFrame, block: int = 4096, weights: tuple[float, ...] = WEIGHTS, most_repeats: int = 3, seed: int = 7, most_sources: int = 10_000
+) -> DataFrame:
+    """``doc_id, source, size, content, source_size, target, taken`` of every row: the words that the mix takes of it."""
+    rows = materialise(_sized(docs, F.monotonically_increasing_id(), F.col("doc_id")), "mix-sizes")
+    keep = ["doc_id", *_SIZED, "source_size", "target"]
+    ordered, spans = _spans(rows, keep, block, weights, most_repeats, seed, most_sources)
+    took = F.expr("aggregate(coalesce(uses, array()), 0L, (t, u) -> t + u.times * greatest(least(high, u.words) - low, 0L))")
+    out = spans.withColumn("t", took).groupBy("part", "pos", *keep).agg(F.sum("t").alias("taken")).select(*keep, "taken")
     return out.unionByName(ordered.filter("size = 0").select(*keep, F.lit(0).cast("long").alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows like ``docs``: whole copies of a document, and at most one cut to its first words.
+#: Parts of a block span by how often they are taken, in the row's counting: the cuts are the ends of uses inside it.
+_PARTS = """transform(array(array_sort(array_distinct(concat(array(low, high),
+        transform(filter(uses, u -> low < u.words and u.words < high), u -> u.words))))),
+    p -> transform(sequence(1, size(p) - 1), i -> named_struct('f', p[i - 1] + shift, 't', p[i] + shift,
+        'n', aggregate(uses, 0L, (a, u) -> a + if(u.words >= p[i], u.times, 0L)))))[0]"""
 
-    Rows that agree in doc_id, source and text share equally what the mix takes of them.
+#: For each number of takes the runs of words that are taken at least so often, neighbouring parts joined.
+_RUNS = """flatten(transform(sequence(1L, greatest(1L, array_max(transform(parts, x -> x.n)))), k -> aggregate(
+    filter(parts, x -> x.n >= k),
+    cast(array() as array<struct<f:bigint,t:bigint>>),
+    (a, x) -> if(size(a) > 0 and try_element_at(a, -1).t = x.f,
+        concat(slice(a, 1, size(a) - 1), array(named_struct('f', try_element_at(a, -1).f, 't', x.t))),
+        concat(a, array(named_struct('f', x.f, 't', x.t)))))))"""
+
+
+def mixed_documents(
+    docs: DataFrame, block: int = 4096, weights: tuple[float, ...] = WEIGHTS, most_repeats: int = 3, seed: int = 7, most_sources: int = 10_000
+) -> DataFrame:
+    """The mix as rows like ``docs``: of each document the words that the schedule draws, as often as it draws them.
+
+    A document of which all words are taken n times gives n whole copies; what more is taken of
+    some of its words follows as passages, from the first of them to the last, as they stand in the
+    text. ``n_chars``, where present, is set anew for passages.
     """
     columns = docs.columns
-    size = F.greatest("m_size", F.lit(1))
-    each = mix(docs, **options).groupBy("doc_id", "source", "content", "size")
-    counts = each.agg((F.sum("taken") / F.count("*")).cast("long").alias("m_taken")).filter("m_taken > 0")
-    counts = counts.select(
-        F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "content", F.col("size").alias("m_size"), "m_taken"
-    )
-    same = docs.doc_id.eqNullSafe(counts.m_id) & docs.source.eqNullSafe(counts.m_source) & (F.xxhash64(docs.text) == counts.content)
-    joined = docs.join(counts, same)
-    copies = joined.withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("m_taken") / size))))
-    rest = F.when(F.col("m_copy") * size > F.col("m_taken"), F.col("m_taken") % size)
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), rest.cast("int")), " ")
-    text = F.when(rest.isNull(), docs.text).otherwise(first)
-    out = copies.withColumn("m_text", text)
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole")
+    held = materialise(docs.select(F.monotonically_increasing_id().alias("row"), whole), "mix-docs")
+    fields = held.select("row", "whole.doc_id", "whole.source", "whole.text")
+    rows = materialise(_sized(fields, F.col("row"), F.col("doc_id")), "mix-sizes")
+    _, spans = _spans(rows, ["row", "size"], block, weights, most_repeats, seed, most_sources)
+    parts = spans.filter("uses is not null").select("row", "size", F.expr(_PARTS).alias("p"))
+    each = parts.groupBy("row", "size").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("parts"))
+    runs = materialise(each.select(F.col("row").alias("at"), "size", F.expr(_RUNS).alias("runs")).filter("size(runs) > 0"), "mix-runs")
+    drawn = held.join(runs, held.row == runs["at"]).select("whole", "size", F.explode("runs").alias("run"))
+    words = F.regexp_extract_all(F.col("whole.text"), F.lit(WORD_PATTERN + WHITE + "*"), F.lit(0))
+    some = F.slice(words, (F.col("run.f") + 1).cast("int"), (F.col("run.t") - F.col("run.f")).cast("int"))
+    passage = F.regexp_replace(F.array_join(some, ""), WHITE + "+$", "")
+    drawn = drawn.select("whole", F.when((F.col("run.f") > 0) | (F.col("run.t") < F.col("size")), passage).alias("passage"))
     final = []
     for c in columns:
+        old = F.col("whole").getField(c)
         if c == "text":
-            final.append(F.col("m_text").alias(c))
+            old = F.coalesce("passage", old)
         elif c == "n_chars":
-            final.append(F.when(rest.isNull(), docs[c]).otherwise(F.length("m_text")).cast("long").alias(c))
-        else:
-            final.append(docs[c])
-    return out.select(*final)
+            old = F.coalesce(F.length("passage").cast("long"), old.cast("long"))
+        final.append(old.alias(c))
+    return drawn.select(*final)

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -46,7 +47,7 @@ def test_taken_words_meet_targets(spark):
 
 
 def test_schedule_is_spread_evenly(spark):
-    sources = mixing._sources(docs_of(spark, [("a", "w " * 6400), ("b", "w " * 12800)]).selectExpr("source", "size(split(text,' '))-1 as size"), 64, (1, 2), 3)
+    sources = mixing._sources(docs_of(spark, [("a", "w " * 6400), ("b", "w " * 12800)]).selectExpr("source", "size(split(text,' '))-1 as size"), 64, (1, 2), 3, 2)
     slots = mixing.schedule(spark, sources, 64).orderBy("slot").collect()
     assert [sum(s.number == k for s in slots) for k in (0, 1)] == [s.slots for s in sources]
     for n in range(30, len(slots), 30):
@@ -68,6 +69,58 @@ def test_mixed_documents(spark):
     assert got == {k: v for k, v in took.items() if v}
 
 
+def brute(df, weights=(1, 2, 3)):
+    """(doc_id, text) to how often each of its words is taken: round and round a source's words in shuffled order."""
+    rows = df.selectExpr("doc_id", "source", "text", "xxhash64(7, doc_id, xxhash64(text)) as key").collect()
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    strings = [[(r, i) for r in sorted((r for r in rows if r.source == s), key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0)) for i in range(words(r.text))] for s in names]
+    sizes = [len(x) for x in strings]
+    count = {}
+    for string, target in zip(strings, mixing.targets(sizes, [weights[i % 3] for i in range(len(names))]), strict=True):
+        rounds, rest = divmod(min(round(target), 3 * len(string)), len(string)) if string else (0, 0)
+        for at, (r, i) in enumerate(string):
+            count.setdefault((r.doc_id, r.text), {}).setdefault(i, []).append(rounds + (at < rest))
+    return count
+
+
+def test_mix_equals_brute_force(spark):
+    rows = [(f"s{i % 4}" if i % 3 else None, f"a{i}\tb\nc  " + "w é " * (i * 31 % 70) + "end") for i in range(160)]
+    rows += [("s1", None), ("s9", ""), ("s3", "x y z\n" * 900)]
+    df = docs_of(spark, rows).selectExpr(*[f"{c} as {n}" for c, n in (("doc_id", "doc_id"), ("text", "text"), ("source", "source"))], "'k' as row", "'l' as whole", "'m' as passage", "7 as runs", "8 as size")
+    want = brute(df)
+    for block in (16, 4096):
+        got = {(r.doc_id, rows[r.doc_id][1]): r.taken for r in mixing.mix(df, block=block).collect()}
+        assert got == {(i, t): sum(map(sum, want.get((i, t), {}).values())) for i, (_, t) in enumerate(rows)}
+        out = mixing.mixed_documents(df, block=block)
+        assert out.columns == df.columns
+        texts = {}
+        for r in out.collect():
+            assert (r.row, r.whole, r.passage, r.runs, r["size"], r.source) == ("k", "l", "m", 7, 8, rows[r.doc_id][0])
+            assert r.text in rows[r.doc_id][1]
+            texts.setdefault(r.doc_id, []).append(r.text)
+        for i, (_, t) in enumerate(rows):
+            times = [sum(x) for _, x in sorted(want.get((i, t), {}).items())]
+            whole = min(times, default=0)
+            assert texts.get(i, []).count(t) == whole or not t
+            rest = [x for x in texts.get(i, []) if x != t]
+            if max(times, default=0) > whole:
+                assert len(rest) == 1 and rest[0].split() == t.split()[: sum(times) - whole * len(times)]
+
+
+def test_repeated_rows_are_mixed_by_themselves(spark):
+    rows = [(1, "a", "one two three")] * 5 + [(None, "a", "one two three")] * 4 + [(2, "b", "x y z w v")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    took = sorted(r.taken for r in mixing.mix(df, block=4).collect())
+    out = mixing.mixed_documents(df, block=4).collect()
+    assert sum(words(r.text) for r in out) == sum(took) == 177
+    assert sum(r.doc_id is None for r in out) > 4 and len(took) == 39
+
+
+def test_too_many_sources_are_an_error(spark):
+    with pytest.raises(ValueError):
+        mixing.mix(docs_of(spark, [(f"s{i}", "a b") for i in range(30)]), most_sources=20)
+
+
 def test_empty_table(spark):
     assert mixing.mix(docs_of(spark, [])).collect() == []
     assert mixing.mix(docs_of(spark, [("a", None), (None, "")])).selectExpr("sum(taken)").first()[0] == 0
