@@ -2,19 +2,22 @@
 
 Candidates are dealt by hash to shards of about ``shard`` rows. In a shard each of ``trees``
 trees is the sorted array of its candidates' long hash strings (sign bits of random
-projections, 64 of them). A query descends in every tree by binary search to its longest
+projections, 32 of them). A query descends in every tree by binary search to its longest
 prefix match and then ascends all trees at once, level by level, each step taking all
-entries that share the shorter prefix, until a share of the shard's candidates (``least`` rows
-at least) is found; these are compared by exact cosine, in double precision. Every row is in every tree; nothing
-is fitted but a seed and the mean of a bounded sample.
+entries that share the shorter prefix; what is met is compared by exact cosine, in double
+precision. Every row is in every tree; nothing is fitted but a seed and the mean of a bounded
+sample.
+
+A query stops when it has probably met all that is nearer than its k-th best so far: a
+vector at that angle agrees with the query in a bit with probability p = 1 - angle / pi, so
+it shares no prefix of l bits in any of t trees with probability (1 - p**l)**t. The ascent goes
+on, the last level tree by tree, until that is at most 1 - ``recall``. So clustered data end after
+few candidates and independent isotropic vectors, where nothing separates neighbours well,
+after many; no share or number of candidates is set. ``README`` has measured recall.
 
 Every query visits every shard, so a tile of one query group and one shard bounds memory,
 and the shards' best are merged by query.
 
-How far to ascend is a share of the shard: on data without structure (independent isotropic
-vectors, nearest cosines of 0.4) no hash separates neighbours well, and high recall needs a
-large share; on clustered data a small one does. ``README`` has measured recall.
-
 Rows without id or vector, zero vectors, and those with null or non-finite components take no
 part. Vectors of unequal length are filled with zeros. Repeated rows are rows of their own:
 only the query's own row is left out. Ties go to the smaller id. An empty table gives no
@@ -31,80 +34,89 @@ from pyspark.sql import functions as F
 from postlode.llm.common import materialise
 from postlode.llm.vectors import best, in_tiles, matrix, ranked, valid, widen
 
-BITS = 64
+BITS = 32
 
 
-def hashes(v: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """Hash strings of the rows, one a tree, as unsigned numbers: (rows, trees)."""
+def hashes(v: np.ndarray, planes: np.ndarray, step: int = 2_048) -> np.ndarray:
+    """Hash strings of the rows, one a tree, as unsigned numbers: (trees, rows)."""
     trees = planes.shape[1] // BITS
-    bits = (v @ planes > 0).reshape(len(v), trees, BITS)
-    return np.packbits(bits, axis=2, bitorder="big").view(">u8")[:, :, 0].astype(np.uint64)
+    out = np.empty((len(v), trees), np.uint32)
+    for at in range(0, len(v), step):
+        bits = v[at : at + step].astype(np.float32) @ planes > 0
+        out[at : at + step] = np.packbits(bits.reshape(-1, trees, BITS), axis=2, bitorder="big").view(">u4")[:, :, 0]
+    return np.ascontiguousarray(out.T)
 
 
 class Forest:
-    """Sorted arrays of hash strings over the rows of one shard, one a tree."""
+    """Sorted arrays of hash strings over the rows of one shard, one a tree, laid end to end: the tree's number leads each string."""
 
     def __init__(self, codes: np.ndarray):
-        by_tree = np.ascontiguousarray(codes.T)
-        self.order = np.argsort(by_tree, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(by_tree, self.order, axis=1)
-
-    def deepest(self, codes: np.ndarray) -> np.ndarray:
-        """Bits of each query's longest prefix match in any tree: its neighbours in sorted order."""
-        out = np.zeros(len(codes), int)
-        for t, tree in enumerate(self.sorted):
-            at = np.searchsorted(tree, codes[:, t])
-            for near in (np.maximum(at - 1, 0), np.minimum(at, len(tree) - 1)):
-                differ = tree[near] ^ codes[:, t]
-                # the bit length of x is one more than the exponent of its highest bit
-                high = differ & ~(differ >> np.uint64(1))
-                length = np.where(differ == 0, 0, np.frexp(high.astype(np.float64))[1])
-                out = np.maximum(out, BITS - length)
-        return out
-
-    def ranges(self, codes: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(queries, trees): where the entries begin and end that share each query's first ``level`` bits."""
-        rest = (BITS - level).astype(np.uint64)
-        mask = np.where(level == 0, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(rest, np.uint64(63))) - np.uint64(1))
-        first, last = codes & ~mask[:, None], codes | mask[:, None]
-        low = np.stack([np.searchsorted(tree, first[:, t]) for t, tree in enumerate(self.sorted)], axis=1)
-        high = np.stack([np.searchsorted(tree, last[:, t], "right") for t, tree in enumerate(self.sorted)], axis=1)
-        return low, high
-
-    def ascend(self, codes: np.ndarray, enough: int) -> list[np.ndarray]:
-        """For each query the rows that share the longest prefixes with it, all trees rising together, until ``enough`` are met."""
-        n = self.sorted.shape[1]
-        level, open_ = self.deepest(codes), np.arange(len(codes))
-        met: dict[int, np.ndarray] = {}
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(codes)
-        while len(open_):
-            low, high = self.ranges(codes[open_], level[open_])
-            # fewer entries than ``enough`` in all trees together cannot be enough different rows
-            many = ((high - low).sum(axis=1) >= min(enough, n)) | (level[open_] == 0)
-            stay = ~many
-            for j in np.flatnonzero(many):
-                i = open_[j]
-                mark = met.setdefault(i, np.zeros(n, bool))
-                for order, a, b in zip(self.order, low[j], high[j], strict=True):
-                    mark[order[a:b]] = True
-                if level[i] == 0 or np.count_nonzero(mark) >= enough:
-                    out[i] = np.flatnonzero(met.pop(i))
-                else:
-                    stay[j] = True
-            open_ = open_[stay]
-            level[open_] -= 1
-        return out
+        self.trees, self.size = codes.shape
+        order = np.argsort(codes, axis=1, kind="stable")
+        self.lead = np.arange(self.trees, dtype=np.uint64) << np.uint64(BITS)
+        self.flat = (np.take_along_axis(codes, order, axis=1).astype(np.uint64) | self.lead[:, None]).ravel()
+        self.order = order.astype(np.int32).ravel()
+
+    def sharing(self, code: np.ndarray, level: int) -> list[np.ndarray]:
+        """For each of the first ``len(code)`` trees the rows that share the first ``level`` bits of the query's string there."""
+        string, mask = code.astype(np.uint64) | self.lead[: len(code)], np.uint64((1 << BITS - level) - 1)
+        low, high = self.flat.searchsorted(string & ~mask), self.flat.searchsorted(string | mask, "right")
+        return [self.order[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+
+    def deepest(self, code: np.ndarray) -> int:
+        """Bits of a query's longest prefix match in any tree: its neighbours in sorted order."""
+        string = code.astype(np.uint64) | self.lead
+        at = self.flat.searchsorted(string)
+        first = np.arange(self.trees) * self.size
+        near = np.stack([np.maximum(at - 1, first), np.minimum(at, first + self.size - 1)])
+        differ = int((self.flat[near] ^ string).min())
+        return BITS - min(differ.bit_length(), BITS)
+
+    def ascend(self, code: np.ndarray, near, k: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that a query meets, and their scores by ``near(rows)`` (-inf: not a candidate); ``miss``: the probability to end at."""
+        met, score, best, level = np.zeros(self.size, bool), np.full(self.size, -np.inf), -1.0, self.deepest(code)
+
+        def take(rows: list[np.ndarray]) -> None:
+            nonlocal best
+            new = np.zeros(self.size, bool)
+            new[np.concatenate(rows)] = True
+            some = np.flatnonzero(new & ~met)
+            met[some], score[some] = True, near(some)
+            known = score[met]
+            if len(known) >= k:
+                best = max(best, float(np.partition(known, len(known) - k)[len(known) - k]))
+
+        take(self.sharing(code, level))
+        while level:
+            p = 1 - np.arccos(np.clip(best, -1, 1)) / np.pi
+            # log probability that one tree's prefix of so many bits misses
+            alone = np.log1p(-np.minimum(p ** np.arange(level + 1), 1 - 1e-12))
+            if self.trees * alone[level] <= np.log(miss):
+                break
+            last = int(np.searchsorted(self.trees * alone[: level + 1], np.log(miss), "right")) - 1
+            if level - last > 2:  # far to go: what the next levels bring may shorten the way
+                level = (level + last) // 2
+                take(self.sharing(code, level))
+                continue
+            level -= 1
+            # trees that must go up this level so that (1 - p**(level + 1))**(others) * (1 - p**level)**(those) is small enough
+            gain = alone[level] - alone[level + 1]
+            more = int(min(np.ceil((np.log(miss) - self.trees * alone[level + 1]) / gain), self.trees)) if gain < 0 else self.trees
+            take(self.sharing(code[: max(more, 1)], level))
+            if more < self.trees:
+                break
+        rows = np.flatnonzero(met & (score > -np.inf))
+        return rows, score[rows]
 
 
 def nearest(
     vectors: DataFrame,
     is_query: Column,
     k: int = 5,
-    trees: int = 32,
-    share: float = 0.45,
-    least: int = 1_000,
-    shard: int = 8_192,
-    query_group: int = 4_096,
+    trees: int = 128,
+    recall: float = 0.95,
+    shard: int = 16_384,
+    query_group: int = 1_024,
     sample: int = 4_096,
     seed: int = 11,
 ) -> DataFrame:
@@ -133,13 +145,12 @@ def nearest(
             qn = qv / np.abs(qv).max(axis=1, keepdims=True)
             cn = cv / np.abs(cv).max(axis=1, keepdims=True)
             qn, cn = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (qn, cn))
-            planes = np.random.default_rng(seed).standard_normal((width, trees * BITS))
+            planes = np.random.default_rng(seed).standard_normal((width, trees * BITS), np.float32)
             centre = mean / max(float(np.linalg.norm(mean)), 1e-300) * min(1.0, float(np.linalg.norm(mean)))
             forest, codes = Forest(hashes(cn - centre, planes)), hashes(qn - centre, planes)
-            enough = max(least, 4 * k, int(np.ceil(share * len(c_ids))))
-            for i, met in enumerate(forest.ascend(codes, enough)):
-                met = met[c_rows[met] != rows[i]]
-                score = cn[met] @ qn[i]
+            for i in range(len(rows)):
+                near = lambda some: np.where(c_rows[some] != rows[i], cn[some] @ qn[i], -np.inf)  # noqa: B023
+                met, score = forest.ascend(codes[:, i], near, k, 1 - recall)
                 top = best(score, c_ids[met], k)
                 for column, value in zip(got, (np.full(len(top), rows[i]), np.full(len(top), ids[i]), c_ids[met[top]], score[top]), strict=True):
                     column.append(value)
@@ -150,6 +161,6 @@ def nearest(
     candidates = held.select("row", "vec_id", "v", F.pmod(by_hash, F.lit(groups)).cast("int").alias("cgroup"))
     every = F.sequence(F.lit(0), F.lit(int(groups) - 1))
     asking = held.filter("asks").select("row", "vec_id", "v", every.alias("cgroups"))
-    dealt = in_tiles(candidates, asking, F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(qgroups)), qgroups)
+    dealt = in_tiles(candidates, asking, F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(qgroups)))
     found = dealt.groupBy("cgroup", "qgroup").applyInArrow(tile, "query_row long, query_id long, vec_id long, score double")
     return ranked(found, ["query_row"], k).select("query_id", "rank", "vec_id", "score")

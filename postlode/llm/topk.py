@@ -3,7 +3,8 @@
 Components are floored to integers (floor(scale * x)). Candidates are sorted by descending
 length and cut into groups of ``group`` rows. Queries first meet the longest group, which
 gives each a lower bound of its k-th score; then they visit only the groups whose longest
-vector could still reach it (Cauchy-Schwarz), a prefix of the groups. Within a tile of one
+vector could still reach it (Cauchy-Schwarz), a prefix of the groups. Queries are grouped by
+length too, so that whole tiles of short queries and short candidates drop out. Within a tile of one
 query group and one candidate group, candidates are taken in blocks of descending length:
 vectors are rotated by the right singular vectors of a bounded sample, the inner product of
 the first coordinates plus the product of the residual lengths bounds the score, and only
@@ -114,16 +115,17 @@ def top_k(
     held = materialise(placed.withColumn("cgroup", (F.col("row") / group).cast("int")), "vectors-ordered")
     # the longest vector of each group, one number for ``group`` rows; floored components are longer by less than one each
     longest = held.groupBy("cgroup").agg(
-        F.sqrt(F.max(-F.col("shorter"))).alias("l"), F.sqrt(F.max(F.size("v")).cast("double")).alias("w")
+        F.sqrt(F.max(-F.col("shorter"))).alias("l"), F.sqrt(F.max(F.size("v")).cast("double")).alias("w"), F.count_if("asks").alias("q")
     )
-    tops = [r.l + r.w for r in longest.orderBy("cgroup").collect()]
+    by_group = longest.orderBy("cgroup").collect()
+    tops = [r.l + r.w for r in by_group]
     lengths = np.maximum.accumulate(np.array(tops)[::-1])[::-1]
     picked = held.filter(F.col("row") % max(1, seen // sample) == 0).limit(sample).select("v").toArrow()
     rotate = rotation(np.floor(matrix(picked["v"])))
     queries = held.filter("asks")
-    asked = queries.count()
-    qgroups = max(1, -(-asked // query_group))
-    by_hash = F.pmod(F.xxhash64("row"), F.lit(qgroups))
+    # queries of neighbouring lengths: those of whole candidate groups, until ``query_group`` are together
+    asked = np.cumsum([0, *[r.q for r in by_group[:-1]]]) // query_group
+    by_length = F.element_at(F.array(*[F.lit(int(x)) for x in asked]), F.col("own") + 1)
 
     def tile(table: pa.Table) -> pa.Table:
         asks = table["query"].to_numpy(zero_copy_only=False)
@@ -148,13 +150,13 @@ def top_k(
         )
 
     def visit(candidates: DataFrame, asking: DataFrame) -> DataFrame:
-        dealt = in_tiles(candidates, asking, by_hash, qgroups)
+        dealt = in_tiles(candidates, asking, by_length)
         return dealt.groupBy("cgroup", "qgroup").applyInArrow(tile, SCHEMA)
 
     row = ["row", "vec_id", "v", "theta"]
     unknown = F.lit(float("-inf")).alias("theta")
-    first = queries.withColumn("theta", unknown).select(*row, F.array(F.lit(0)).alias("cgroups"))
-    all_rows = held.withColumn("theta", unknown).select(*row, "cgroup")
+    first = queries.withColumn("theta", unknown).select(*row, F.col("cgroup").alias("own"), F.array(F.lit(0)).alias("cgroups"))
+    all_rows = held.withColumn("theta", unknown).select(*row, F.col("cgroup").alias("own"), "cgroup")
     seeds = materialise(visit(all_rows.filter("cgroup = 0"), first), "topk-seeds")
     if len(lengths) == 1:
         found = seeds
@@ -165,6 +167,6 @@ def top_k(
         theta = F.coalesce("reached", F.lit(float("-inf")))
         steps = F.array(*[F.lit(float(x)) for x in lengths[1:]])
         reach = F.filter(F.sequence(F.lit(1), F.lit(len(lengths) - 1)), lambda g: length * F.element_at(steps, g) >= theta)
-        rest = back.select("row", "vec_id", "v", theta.alias("theta"), reach.alias("cgroups"))
+        rest = back.select("row", "vec_id", "v", theta.alias("theta"), F.col("cgroup").alias("own"), reach.alias("cgroups"))
         found = seeds.unionByName(visit(all_rows.filter("cgroup > 0"), rest))
     return ranked(found, ["query_row"], k).select("query_id", "rank", "vec_id", "score")

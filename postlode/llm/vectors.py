@@ -34,17 +34,17 @@ def widen(m: np.ndarray, width: int) -> np.ndarray:
     return m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
 
-def in_tiles(candidates: DataFrame, queries: DataFrame, query_group: Column, query_groups: int) -> DataFrame:
+def in_tiles(candidates: DataFrame, queries: DataFrame, query_group: Column) -> DataFrame:
     """Rows of both sides dealt to tiles: ``cgroup, qgroup, query`` and the columns both sides have.
 
     ``candidates`` has ``cgroup``; ``queries`` has ``cgroups``, an array of the candidate groups
-    it visits. A candidate goes to every query group, a query to its candidate groups: a tile
-    holds at most one group of each, whatever the tables' sizes.
+    it visits. A query goes to its candidate groups, a candidate to the query groups of which any query
+    visits it: a tile holds at most one group of each, whatever the tables' sizes.
     """
     columns = [c for c in candidates.columns if c != "cgroup"]
-    every = F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))).alias("qgroup")
-    left = candidates.select(*columns, "cgroup", every).withColumn("query", F.lit(False))
     right = queries.select(*columns, query_group.cast("int").alias("qgroup"), F.explode("cgroups").alias("cgroup"))
+    tiles = right.select("cgroup", "qgroup").distinct()
+    left = candidates.join(tiles, "cgroup").select(*columns, "qgroup", "cgroup").withColumn("query", F.lit(False))
     return left.unionByName(right.withColumn("query", F.lit(True)))
 
 

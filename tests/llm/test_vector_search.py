@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 from postlode.llm import ann, topk
 
 ODD = [
-    (900, None),
-    (901, []),
-    (902, [1.0, None] + [0.0] * 14),
-    (903, [float("nan")] * 16),
-    (904, [float("inf")] * 16),
+    (9900, None),
+    (9901, []),
+    (9902, [1.0, None] + [0.0] * 14),
+    (9903, [float("nan")] * 16),
+    (9904, [float("inf")] * 16),
     (None, [1.0] * 16),
-    (905, [0.0] * 16),
-    (920, [0.0] * 16),
-    (906, [0.5] * 7),
+    (9905, [0.0] * 16),
+    (9920, [0.0] * 16),
+    (9906, [0.5] * 7),
 ]
 
 
@@ -82,7 +82,7 @@ def test_nearest_recall_and_scores(spark, shard):
     all_ = [(i, v) for i, v in padded(rows, False) if np.any(v)]
     ids, x = [i for i, _ in all_], np.array([v for _, v in all_])
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    out = ann.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, shard=shard, least=60).collect()
+    out = ann.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, shard=shard).collect()
     got = {}
     for r in out:
         assert abs(r.score - x[ids.index(r.query_id)] @ x[ids.index(r.vec_id)]) < 1e-12
@@ -97,15 +97,55 @@ def test_nearest_recall_and_scores(spark, shard):
         hit += sum(r.score >= -best[-1][0] - 1e-12 for r in some)
         total += 5
     assert len(got) == sum(i % 50 == 0 for i in ids) and hit / total >= 0.9
-    again = ann.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, shard=shard, least=60).collect()
+    again = ann.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, shard=shard).collect()
     assert sorted(out) == sorted(again)
 
 
-def test_ascent_takes_whole_levels():
+def shared_bits(a, b):
+    return 32 - (int(a) ^ int(b)).bit_length()
+
+
+def test_forest_finds_prefixes():
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 2**64, (300, 4), dtype=np.uint64)
-    asks = np.vstack([codes[:20], rng.integers(0, 2**64, (20, 4), dtype=np.uint64)])
-    for q, got in zip(asks, ann.Forest(codes).ascend(asks, 50), strict=True):
-        shared = np.array([max(64 - (int(a) ^ int(b)).bit_length() for a, b in zip(row, q, strict=True)) for row in codes])
-        level = next(x for x in range(64, -1, -1) if np.count_nonzero(shared >= x) >= 50)
-        assert sorted(got) == sorted(np.flatnonzero(shared >= level))
+    codes = rng.integers(0, 2**32, (4, 300), dtype=np.uint32)
+    forest = ann.Forest(codes)
+    for q in [*codes[:, :10].T, *rng.integers(0, 2**32, (10, 4), dtype=np.uint32)]:
+        bits = np.array([[shared_bits(a, b) for a in tree] for tree, b in zip(codes, q, strict=True)])
+        assert forest.deepest(q) == bits.max()
+        for level in (0, 1, 5, 9, 32):
+            got = forest.sharing(q, level)
+            assert all(sorted(g) == np.flatnonzero(row >= level).tolist() for g, row in zip(got, bits, strict=True))
+
+
+@pytest.mark.parametrize("miss", [0.5, 0.05, 1e-9])
+def test_ascent_goes_on_until_a_miss_is_unlikely(miss):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    planes = rng.standard_normal((24, 6 * ann.BITS), np.float32)
+    codes = ann.hashes(x, planes)
+    forest = ann.Forest(codes)
+    for q in range(12):
+        near = lambda rows: np.where(rows != q, x[rows] @ x[q], -np.inf)  # noqa: B023, E731
+        met, score = forest.ascend(codes[:, q], near, 5, miss)
+        assert np.allclose(score, x[met] @ x[q]) and q not in met and len(met) >= 5
+        p = 1 - np.arccos(np.sort(score)[-5]) / np.pi
+        bits = np.array([[shared_bits(a, b) for a in tree] for tree, b in zip(codes, codes[:, q], strict=True)])
+        # the levels that every tree has been searched down to: nothing that shares more was left out
+        left = np.ones(400, bool)
+        left[met] = left[q] = False
+        level = [int(b[left].max(initial=-1)) + 1 for b in bits]
+        assert np.prod([1 - p**n for n in level]) <= miss or not left.any()
+
+
+def test_recall_on_clustered_and_isotropic_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 32))
+    for x in (rng.standard_normal((2500, 32)), centres[rng.integers(0, 40, 2500)] + 0.3 * rng.standard_normal((2500, 32))):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        found = {}
+        for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = sum(len(found[q] & {j for j in np.argsort(-(u @ u[q]))[:6] if j != q}) for q in range(0, 2500, 50))
+        assert hits >= 0.9 * 250
