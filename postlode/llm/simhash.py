@@ -17,9 +17,10 @@ again, and join exactly the pairs' components. Components come from alternating
 and small-star rounds over the links, each round written to the shared folder.
 
 Null or blank text has fingerprint zero. Rows with equal fingerprints link whatever their
-number (they are one node, their smallest id). A row without doc_id is fingerprinted and
-takes its group's component but never names one. An empty table gives no rows. Other columns
-are not read.
+number: a node is a fingerprint, and a component is named by the smallest doc_id of its
+fingerprints' rows. Rows that share a doc_id but not a fingerprint are as far apart as their
+texts. A row without doc_id links like any other but names no component; one that only such
+rows are in has none (null). An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlode.llm.common import materialise
+from postlode.llm.common import discard, materialise
 
 RADIUS = 3
 HALF = 32
@@ -48,10 +49,15 @@ def fingerprint_bytes(text: bytes | None, width: int = 3, seed: int = 42) -> int
         hashes = [digest(b"%b %b %b" % w, seed) for w in zip(words, words[1:], words[2:], strict=False)]
     else:
         hashes = [digest(b" ".join(words[i : i + width]), seed) for i in range(len(words) - width + 1)]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The number whose bits are set where over half of the hashes have them set."""
     n = len(hashes)
     bits = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+        part = np.asarray(hashes[at : at + (1 << 16)], dtype="<u8")
         bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
 
@@ -156,35 +162,49 @@ def links(nodes: DataFrame, bucket_limit: int = 50_000, key_bits: int = 5) -> Da
     return sent.groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u of distinct edges (u, v) has one v, which is no u."""
+    each = edges.groupBy("u").agg(F.count("*").alias("n"))
+    roots = edges.select(F.col("v").alias("root")).distinct()
+    return each.join(roots, each.u == roots.root, "left").filter("n > 1 or root is not null").isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``node, component``: for every node of ``edges`` (u, v) the smallest node that it reaches."""
     now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
-    state = None
     for _ in range(most_rounds):
+        if _are_stars(now):
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = materialise(small.filter("u <> v").distinct(), "stars")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == state:
-            break
-        state = mark
+        before, now = now, materialise(small.filter("u <> v").distinct(), "stars")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def _grouped(prints: DataFrame, bucket_limit: int, *named: Column) -> DataFrame:
+    """``fp`` and the aggregates ``named`` over all rows of the fingerprint's component, one row a fingerprint."""
+    nodes = materialise(prints.select("fp").distinct(), "nodes")
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), bucket_limit))
+    placed = nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    placed = materialise(placed, "placed")
+    own = prints.groupBy("fp").agg(*named)
+    names = [c for c in own.columns if c != "fp"]
+    whole = own.join(placed, "fp").groupBy("component").agg(*[F.min(c).alias(c) for c in names])
+    return placed.join(whole, "component").select("fp", *names)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, bucket_limit: int = 50_000) -> DataFrame:
     """``doc_id, fp, component_id`` of every row: the smallest doc_id that links reach."""
     prints = materialise(fingerprints(docs, width), "prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(links(nodes, bucket_limit))
-    placed = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(placed, "fp").select("doc_id", "fp", "component_id")
+    named = _grouped(prints, bucket_limit, F.min("doc_id").alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp) -> F.col:
@@ -192,8 +212,16 @@ def hex_digits(fp) -> F.col:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component; repeats of a kept id go, rows without id stay."""
-    kept = near_duplicates(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    first = docs.join(kept, docs.doc_id == kept.kept, "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id is null"))
+def keep_one(docs: DataFrame, width: int = 3, bucket_limit: int = 50_000) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), and of several such rows the first."""
+    columns = docs.columns
+    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"))
+    held = materialise(packed, "simhash-docs")
+    # a row's number stands for its id while texts are fingerprinted
+    numbered = fingerprints(held.select(F.col("row").alias("doc_id"), "whole.text"), width).withColumnRenamed("doc_id", "row")
+    prints = materialise(numbered, "prints")
+    ids = held.select("row", F.col("whole.doc_id").alias("doc_id"))
+    ordered = prints.join(ids, "row").select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("first"))
+    named = _grouped(ordered, bucket_limit, F.min("first").alias("first"))
+    kept = named.select("first.row").distinct()
+    return held.join(kept, "row", "left_semi").select(*[F.col("whole").getField(c).alias(c) for c in columns])

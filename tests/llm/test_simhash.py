@@ -84,10 +84,24 @@ def test_nulls_repeats_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "z")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
     assert got == [("1", "1"), ("1", "1"), ("None", "1"), ("None", "None")]
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["1", "None", "None"]
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["1", "None"]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_one_id_with_two_texts_joins_no_strangers(spark):
+    texts = [" ".join(f"{k}{random.Random(i * 77 + j).randrange(500)}" for j in range(60)) for i, k in enumerate("abcd")]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1]), (None, texts[2]), (None, texts[2]), (4, texts[3])]
+    docs = spark.createDataFrame([(i, t, "r", "w") for i, t in rows], "doc_id long, text string, row string, whole string")
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    fp = [int(np.uint64(brute_print(t)).astype(np.int64)) for t in texts]
+    assert got == {(1, fp[0]): 1, (1, fp[1]): 1, (2, fp[0]): 1, (3, fp[1]): 1, (None, fp[2]): None, (4, fp[3]): 4}
+    apart = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.filter("doc_id <> 1")).collect()}
+    assert apart == {2: 2, 3: 3, 4: 4}
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", texts[0]), ("1", texts[1]), ("None", texts[2]), ("4", texts[3])])
+
+
 def test_long_chain(spark):
     chain = [sum(3 << (2 * k) for k in range(i)) for i in range(33)]  # neighbours differ in two bits
     rows = [((i * 7) % 33, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(chain)]
