@@ -3,13 +3,14 @@
 Words are 64-bit hashes; the sorted distinct hashes of the training text are the vocabulary,
 and a word's place among them its number. A bigram is the pair of its numbers, mixed by an
 invertible 64-bit function; the sorted mixed pairs and their counts are the model. Counting
-runs three times over one scheme: tasks count keys over a few million tokens at a time and
-send them, sorted, as packed blocks to the shard of their leading bits; one task a shard
-merges its blocks and writes the sorted arrays as files of the shared folder. The number of
-shards follows the counted tokens, so a shard's size does not, and mixing spreads a hot
-context over all shards. Only a row a shard (its size and counts of counts) comes to the
-driver. Workers map the files into memory and look up sorted batches of keys; where the
-shared folder is no file system they can map, a file is first copied beside the worker.
+runs three times over one scheme: tasks count keys over a bounded number of tokens at a time
+and send them, sorted, as packed blocks by ranges of keys; a task merges one range after
+another and appends it to a sorted file of the shared folder. The number of ranges follows the
+counted tokens, so a range's size does not, and mixing spreads a hot context over all of them;
+ranges lie in at most ``FILES`` files, and a row a file (its length and counts of counts) is all
+that comes to the driver and goes to the tasks. Workers map the files into memory and look up
+sorted batches of keys; where the shared folder is no file system they can map, a file is
+first copied beside the worker, unlinked as soon as it is mapped.
 
 P(w|h) = max(c(hw) - D, 0)/c(h) + g(h) * P(w), P(w) from the number of different words
 before w, discounted alike, and the rest spread over the vocabulary and one unknown word.
@@ -27,6 +28,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,12 @@ from postlode.llm.common import local_path, new_folder, open_store
 
 #: No word contains white space.
 END = b"\n"
-TOKENS_AT_ONCE = 3_000_000
-KEYS_A_SHARD = 4_000_000
+#: Tokens that a task counts, and scores, at a time.
+TOKENS_AT_ONCE = 1_500_000
+SCORED_AT_ONCE = 250_000
+#: Keys of a range, about, and files that all ranges lie in at most.
+KEYS_A_RANGE = 1_000_000
+FILES = 4096
 WORDS_KEPT = 300_000
 #: Odd multipliers of an invertible mixing function (public splitmix64 constants) and their inverses modulo 2**64.
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -99,30 +105,37 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[start], np.add.reduceat(counts, start)
 
 
-PACKED = "shard int, keys binary, counts binary"
+PACKED = "part int, keys binary, counts binary"
 
 
 def blocks(keys: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> pa.RecordBatch:
-    """Sorted distinct keys as one packed row for each shard; ``firsts``: the shards' least keys."""
+    """Sorted distinct keys as one packed row for each range; ``firsts``: the ranges' least keys."""
     edges = np.append(np.searchsorted(keys, firsts), len(keys))
     rows = [(s, *packed(keys[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
     columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-    return pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "counts"])
+    return pa.RecordBatch.from_arrays(columns, names=["part", "keys", "counts"])
 
 
-def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpacked(k.as_py(), c.as_py()) for k, c in zip(table["keys"], table["counts"], strict=True)]
+def merged(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [unpacked(k, c) for k, c in rows]
     return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
-def write_array(folder: str, name: str, values: np.ndarray) -> str:
-    """Write under a name of this attempt's own, so that repeated tasks never share a file."""
-    fs, base = open_store(folder)
-    fs.create_dir(base, recursive=True)
-    name = f"{name}-{uuid.uuid4().hex}.bin"
-    with fs.open_output_stream(f"{base}/{name}") as out:
-        out.write(np.ascontiguousarray(values).data)
-    return f"{folder}/{name}"
+class ArrayFile:
+    """A file that grows by arrays, under a name of this attempt's own, so that repeated tasks never share one."""
+
+    def __init__(self, folder: str, name: str):
+        fs, base = open_store(folder)
+        fs.create_dir(base, recursive=True)
+        name = f"{name}-{uuid.uuid4().hex}.bin"
+        self.uri, self.out = f"{folder}/{name}", fs.open_output_stream(f"{base}/{name}")
+
+    def add(self, values: np.ndarray) -> None:
+        self.out.write(np.ascontiguousarray(values).data)
+
+    def close(self) -> str:
+        self.out.close()
+        return self.uri
 
 
 _mapped: dict[str, np.ndarray] = {}
@@ -134,45 +147,50 @@ def read_array(uri: str, kind: str, n: int) -> np.ndarray:
         return np.zeros(0, kind)
     if uri not in _mapped:
         path = local_path(uri)
-        if path is None:
-            fs, far = open_store(uri)
-            path = os.path.join(tempfile.mkdtemp(prefix="lm-"), os.path.basename(far))
-            with fs.open_input_stream(far) as source, open(path, "wb") as out:
-                while chunk := source.read(1 << 24):
-                    out.write(chunk)
-        if len(_mapped) > 4096:
+        if len(_mapped) > 4 * FILES:
             _mapped.clear()
-        _mapped[uri] = np.memmap(path, kind, "r", shape=(n,))
+        if path is not None:
+            _mapped[uri] = np.memmap(path, kind, "r", shape=(n,))
+        else:
+            fs, far = open_store(uri)
+            with tempfile.TemporaryFile(prefix="lm-") as near:
+                with fs.open_input_stream(far) as source:
+                    while chunk := source.read(1 << 24):
+                        near.write(chunk)
+                near.flush()
+                _mapped[uri] = np.memmap(near, kind, "r", shape=(n,))
     return _mapped[uri]
 
 
 @dataclass(frozen=True)
 class Store:
-    """Sorted keys and their counts in files: for each shard (key file, count file, length), and its least key."""
+    """Sorted keys and their counts in files: of each file (key file, count file, length), least key and place of the first."""
 
-    shards: tuple[tuple[str, str, int], ...]
+    files: tuple[tuple[str, str, int], ...]
     firsts: tuple[int, ...]
 
-    def starts(self) -> np.ndarray:
-        return np.cumsum([0, *[n for _, _, n in self.shards]])
+    @property
+    def size(self) -> int:
+        return sum(n for _, _, n in self.files)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sorted keys: their places among all (-1: none) and their counts (0: none)."""
         place, count = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        edges = np.append(np.searchsorted(keys, np.array(self.firsts, np.uint64)), len(keys))
-        for s, (k, c, n) in enumerate(self.shards):
-            a, b = edges[s], edges[s + 1]
+        edges = np.append(np.searchsorted(keys, np.array(self.firsts, np.uint64)), len(keys)).tolist()
+        before = 0
+        for (k, c, n), a, b in zip(self.files, edges, edges[1:], strict=False):
             if b > a and n:
                 held, some = read_array(k, "<u8", n), keys[a:b]
                 at = np.minimum(np.searchsorted(held, some), n - 1)
                 hit = np.asarray(held[at]) == some
-                place[a:b] = np.where(hit, at + self.starts()[s], -1)
+                place[a:b] = np.where(hit, at + before, -1)
                 count[a:b] = np.where(hit, read_array(c, "<u8", n)[at], 0)
+            before += n
         return place, count
 
 
-def even_firsts(shards: int, over: int = 1 << 64) -> np.ndarray:
-    return np.array([over * s // shards for s in range(shards)], dtype=np.uint64)
+def even_firsts(parts: int, over: int = 1 << 64) -> np.ndarray:
+    return np.array([over * s // parts for s in range(parts)], dtype=np.uint64)
 
 
 def batched(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -210,8 +228,8 @@ def bigrams(numbers: np.ndarray, lengths: np.ndarray, start: int, unknown: int)
 class Model:
     vocabulary: Store
     pairs: Store
-    #: For each vocabulary shard and the start symbol: files of the four context and continuation counts.
-    contexts: tuple[str, ...]
+    #: Files of four context and continuation counts a number, with each file's first number and the one after its last.
+    contexts: tuple[tuple[str, int, int], ...]
     #: Tokens, documents.
     tokens: int
     documents: int
@@ -223,11 +241,11 @@ class Model:
 
     @property
     def words(self) -> int:
-        return sum(n for _, _, n in self.vocabulary.shards)
+        return self.vocabulary.size
 
     @property
     def types(self) -> int:
-        return sum(n for _, _, n in self.pairs.shards)
+        return self.pairs.size
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -242,80 +260,119 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def _stored(packed_rows: DataFrame, folder: str, name: str, firsts: np.ndarray, more) -> tuple[Store, list]:
-    """Merge packed rows by shard into files; ``more(keys, counts)`` gives further numbers of each shard's row."""
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Range, merged keys and counts of packed rows sorted by range."""
+    part, rows = None, []
+    for b in batches:
+        for p, k, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if p != part and rows:
+                yield (part, *merged(rows))
+                rows = []
+            part = p
+            rows.append((k, c))
+    if rows:
+        yield (part, *merged(rows))
+
+
+def _in_files(packed_rows: DataFrame, parts: int, files: int, write, schema: str) -> list:
+    """Rows that ``write(ranges)`` makes of each file's ranges; a file holds neighbouring ranges."""
+    dealt = packed_rows.withColumn("file", F.floor(F.col("part") * F.lit(files) / parts).cast("int"))
+    dealt = dealt.repartition(files, "file").sortWithinPartitions("part").select("part", "keys", "counts")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(_ranges(batches), key=lambda x: x[0] * files // parts):
+            yield pa.RecordBatch.from_pylist([write(group)])
+
+    rows = dealt.mapInArrow(each, schema).collect()
+    return sorted(rows, key=lambda r: r.file)
+
+
+def _stored(packed_rows: DataFrame, folder: str, name: str, parts: int, files: int, more) -> tuple[Store, list]:
+    """Packed rows in sorted files; ``more(counts)`` gives further numbers, which are summed by file."""
 
-    def write(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        keys, counts = merged(table)
-        k = write_array(folder, f"{name}-keys-{shard}", keys.astype("<u8"))
-        c = write_array(folder, f"{name}-counts-{shard}", counts.astype("<u8"))
-        return pa.table({"shard": pa.array([shard], pa.int32()), "k": [k], "c": [c], "n": [len(keys)], "more": pa.array([more(keys, counts)], pa.list_(pa.int64()))})
+    def write(ranges) -> dict:
+        keys, counts, n, said = ArrayFile(folder, f"{name}-keys"), ArrayFile(folder, f"{name}-counts"), 0, 0
+        for part, k, c in ranges:
+            keys.add(k.astype("<u8"))
+            counts.add(c.astype("<u8"))
+            n, said = n + len(k), said + np.array(more(c), np.int64)
+        return {"file": part * files // parts, "k": keys.close(), "c": counts.close(), "n": n, "more": said.tolist()}
 
-    rows = packed_rows.groupBy("shard").applyInArrow(write, "shard int, k string, c string, n long, more array<long>").collect()
-    by = {r.shard: r for r in rows}
-    shards = tuple((by[s].k, by[s].c, by[s].n) if s in by else ("", "", 0) for s in range(len(firsts)))
-    return Store(shards, tuple(int(f) for f in firsts)), [r.more for r in rows]
+    rows = _in_files(packed_rows, parts, files, write, "file long, k string, c string, n long, more array<long>")
+    by, first = {r.file: r for r in rows}, even_firsts(parts)
+    held = tuple((by[f].k, by[f].c, by[f].n) if f in by else ("", "", 0) for f in range(files))
+    return Store(held, tuple(int(first[-(-f * parts // files)]) for f in range(files))), [r.more for r in rows]
 
 
-def train(docs: DataFrame, at_once: int = TOKENS_AT_ONCE, keys_a_shard: int = KEYS_A_SHARD) -> Model:
+def train(docs: DataFrame, at_once: int = TOKENS_AT_ONCE, keys_a_range: int = KEYS_A_RANGE, most_files: int = FILES) -> Model:
     """Count and write the model of ``docs`` (``doc_id, text``)."""
     spark = docs.sparkSession
     folder = new_folder(spark, "lm")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    # a count of bytes bounds the words, and so the shards, without reading words
+    # a count of bytes bounds the words, and so the ranges, without reading words
     size = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    shards = max(1, -(-((size[0] or 0) // 6 + size[1]) // keys_a_shard))
-    even = even_firsts(shards)
+    parts = max(1, -(-((size[0] or 0) // 6 + size[1]) // keys_a_range))
+    files = min(parts, most_files)
+    even = even_firsts(parts)
 
     def count_words(batches):
         for _, tokens, _ in batched(batches, at_once):
             yield blocks(*np.unique(tokens, return_counts=True), even)
 
-    vocabulary, sums = _stored(texts.mapInArrow(count_words, PACKED), folder, "words", even, lambda k, c: [int(c.sum())])
-    words = sum(n for _, _, n in vocabulary.shards)
+    vocabulary, sums = _stored(texts.mapInArrow(count_words, PACKED), folder, "words", parts, files, lambda c: [c.sum()])
+    words = vocabulary.size
     start, unknown = words, words + 1
+    if unknown >= 1 << 32:
+        raise OverflowError("word numbers take 32 bits: over 4294967294 different words")
 
     def count_pairs(batches):
         for _, tokens, lengths in batched(batches, at_once):
             number, _ = numbered(tokens, vocabulary)
             yield blocks(*np.unique(bigrams(number, lengths, start, unknown)[1], return_counts=True), even)
 
-    classes = lambda c: [int(np.count_nonzero(c == k)) for k in (1, 2, 3, 4)]
-    pairs, counted = _stored(texts.mapInArrow(count_pairs, PACKED), folder, "pairs", even, lambda k, c: classes(c))
+    classes = lambda c: [np.count_nonzero(c == k) for k in (1, 2, 3, 4)]
+    pairs, counted = _stored(texts.mapInArrow(count_pairs, PACKED), folder, "pairs", parts, files, classes)
 
     # contexts by count class (fields 0 to 2) and different words before a word (field 3), keyed by number * 4 + field
-    edges = np.append(vocabulary.starts()[:-1], words).astype(np.uint64)
-    ends = np.append(edges[1:], words + 1)
-    held = spark.createDataFrame([(k, c, n) for k, c, n in pairs.shards if n], "k string, c string, n long")
+    some = max(1, -(-(words + 1) // keys_a_range))
+    few = min(some, most_files)
+    edges = np.append(even_firsts(some, words + 1), np.uint64(words + 1))
+    step = max(1, at_once // 4)
+    held = spark.createDataFrame([(k, c, n) for k, c, n in pairs.files if n], "k string, c string, n long")
+    held = held.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
 
     def count_contexts(batches):
         for b in batches:
-            for k, c, n in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                pair, count = unmix(np.array(read_array(k, "<u8", n))), np.asarray(read_array(c, "<u8", n))
+            for k, c, n, at in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                pair, count = (np.array(read_array(x, "<u8", n)[at : at + step]) for x in (k, c))
+                pair = unmix(pair)
                 field = (np.minimum(count, 3) - 1).astype(np.uint64)
                 before = (pair >> np.uint64(32)) << np.uint64(2) | field
                 after = (pair & np.uint64(0xFFFFFFFF)) << np.uint64(2) | np.uint64(3)
-                yield blocks(*np.unique(np.concatenate([before, after]), return_counts=True), edges << np.uint64(2))
-
-    def write_contexts(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        keys, counts = merged(table)
-        first, n = int(edges[shard]), int(ends[shard] - edges[shard])
-        out = np.zeros((4, n), "<u4")
-        out[(keys & np.uint64(3)).astype(int), (keys >> np.uint64(2)).astype(int) - first] = counts
-        uri = write_array(folder, f"contexts-{shard}", out)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "uri": [uri], "more": pa.array([[*classes(out[3]), int(np.count_nonzero(out[3] >= 3))]], pa.list_(pa.int64()))})
-
-    spread = held.repartition(max(1, min(shards, held.count() or 1)))
-    stats = spread.mapInArrow(count_contexts, PACKED).groupBy("shard").applyInArrow(write_contexts, "shard int, uri string, more array<long>").collect()
-    by = {r.shard: r.uri for r in stats}
+                yield blocks(*np.unique(np.concatenate([before, after]), return_counts=True), edges[:-1] << np.uint64(2))
+
+    def write_contexts(ranges) -> dict:
+        out, said, at = ArrayFile(folder, "contexts"), 0, None
+        for part, keys, counts in ranges:
+            file = part * few // some
+            at = int(edges[-(-file * some // few)]) if at is None else at
+            first, last = int(edges[part]), int(edges[part + 1])
+            out.add(np.zeros((first - at, 4), "<u4"))  # ranges without a row
+            rows = np.zeros((last - first, 4), "<u4")
+            rows[(keys >> np.uint64(2)).astype(int) - first, (keys & np.uint64(3)).astype(int)] = counts
+            out.add(rows)
+            at, said = last, said + np.array([*classes(rows[:, 3]), np.count_nonzero(rows[:, 3] >= 3)])
+        return {"file": file, "uri": out.close(), "n": at, "more": said.tolist()}
+
+    spread = held.repartition(max(1, min(4096, pairs.size // step + 1)))
+    stats = _in_files(spread.mapInArrow(count_contexts, PACKED), some, few, write_contexts, "file long, uri string, n long, more array<long>")
     n = [sum(x) for x in zip(*counted, strict=True)] or [0] * 4
     m = [sum(x) for x in zip(*[r.more for r in stats], strict=True)] or [0] * 5
+    by = {r.file: (r.uri, int(edges[-(-r.file * some // few)]), r.n) for r in stats}
     return Model(
         vocabulary,
         pairs,
-        tuple(by.get(s, "") for s in range(len(edges))),
+        tuple(by[f] for f in sorted(by)),
         sum(s[0] for s in sums),
         size[1],
         discounts(n),
@@ -327,15 +384,11 @@ def train(docs: DataFrame, at_once: int = TOKENS_AT_ONCE, keys_a_shard: int = KE
 def _context_rows(model: Model, numbers: np.ndarray) -> np.ndarray:
     """The four counts of each number (-1: zeros)."""
     out = np.zeros((4, len(numbers)), np.float64)
-    starts = np.append(model.vocabulary.starts()[:-1], model.words)
-    ends = np.append(starts[1:], model.words + 1)
-    shard = np.searchsorted(starts, numbers, "right") - 1
-    for s in np.unique(shard[numbers >= 0]):
-        if model.contexts[s]:
-            mine = np.flatnonzero((shard == s) & (numbers >= 0) & (numbers < ends[s]))
-            width = int(ends[s] - starts[s])
-            held = read_array(model.contexts[s], "<u4", 4 * width).reshape(4, width)
-            out[:, mine] = held[:, numbers[mine] - starts[s]]
+    for uri, first, end in model.contexts:
+        mine = np.flatnonzero((numbers >= first) & (numbers < end))
+        if len(mine):
+            held = read_array(uri, "<u4", 4 * (end - first)).reshape(-1, 4)
+            out[:, mine] = held[numbers[mine] - first].T
     return out
 
 
@@ -371,7 +424,7 @@ def token_probabilities(model: Model, tokens: np.ndarray, lengths: np.ndarray) -
     return p, count[which]
 
 
-def score(docs: DataFrame, model: Model, at_once: int = TOKENS_AT_ONCE) -> DataFrame:
+def score(docs: DataFrame, model: Model, at_once: int = SCORED_AT_ONCE) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every text."""
     n, v = model.tokens, model.words
 

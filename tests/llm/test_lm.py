@@ -59,14 +59,13 @@ def sample(n, seed=0):
 ODD = [None, "", " \t", "Unseen ÉÀ words", "w1 W1\x0bw2", "w1 " * 5000]
 
 
-@pytest.mark.parametrize("at_once,keys_a_shard", [(3_000_000, 4_000_000), (50, 40)])
-def test_scores_match_brute_force(spark, at_once, keys_a_shard):
+@pytest.mark.parametrize("at_once,keys_a_range,files", [(3_000_000, 4_000_000, 9), (50, 40, 256), (70, 9, 7)])
+def test_scores_match_brute_force(spark, at_once, keys_a_range, files):
     texts = sample(150) + ODD
     df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
     learn = [t for i, t in enumerate(texts) if i % 4]
-    model = lm.train(df.filter("doc_id % 4 <> 0"), at_once, keys_a_shard)
-    if keys_a_shard == 40:
-        assert len(model.pairs.shards) > 5
+    model = lm.train(df.filter("doc_id % 4 <> 0"), at_once, keys_a_range, files)
+    assert len(model.pairs.files) <= files and (keys_a_range > 50 or len(model.pairs.files) > 5)
     want, totals = brute(learn, texts)
     assert all(abs(t - 1) < 1e-9 for t in totals)
     got = {r.doc_id: r for r in lm.score(df, model, at_once).collect()}
