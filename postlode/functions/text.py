@@ -6,9 +6,11 @@ white space, digits and letters are Unicode's.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,7 +69,7 @@ def to_ascii(x: Column) -> Column:
     source, target, many = _ascii_images()
     plain = F.translate(x, source, target)
     held = "".join(many)
-    pairs = F.create_map(*[F.lit(v) for pair in many.items() for v in pair])
+    pairs = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
     spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(pairs[c], c)), "")
     wide = F.when(x.rlike("[" + held + "]"), spelled).otherwise(plain)
     return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(wide, r"[^\x00-\x7F]", "")).otherwise(x)
@@ -158,19 +160,39 @@ def clean_company(x: Column) -> Column:
     return F.when(out == "", "Unknown").otherwise(out)
 
 
-#: The named entities that feeds use.
-ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "euro": "€", "ndash": "–", "mdash": "—", "hellip": "…", "bull": "•"}
+@lru_cache(maxsize=1)
+def _entities() -> str:
+    """Character references with their characters, as JSON: all named ones of the HTML standard (some may lack the semicolon),
+    and the numeric ones that stand for Windows-1252 characters."""
+    named = {f"&{k}": v for k, v in html5.items()}
+    old = {f"&#{n};": bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    return json.dumps(named | old)
+
+
+def unescape(x: Column) -> Column:
+    """Named, decimal and hexadecimal character references as their characters; unknown ones stay."""
+    pieces = F.regexp_extract_all(x, F.lit(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{0,31});?|[^&]+|&"), F.lit(0))
+    named = F.from_json(F.lit(_entities()), "map<string,string>")
+    digits = lambda p: F.regexp_extract(p, "[#xX]0*([0-9a-fA-F]+);?$", 1)
+    number = lambda p: F.when(p.rlike("^&#[xX]"), F.conv(digits(p), 16, 10)).otherwise(digits(p)).cast("bigint")
+    code = lambda p: F.when(F.length(digits(p)) > 9, F.lit(0)).otherwise(number(p))
+    wrong = lambda n: (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    char = lambda n: F.when(wrong(n), "\uFFFD").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    decimal = lambda p: F.concat(F.lit("&#"), code(p).cast("string"), F.lit(";"))
+    one = lambda p: (
+        F.when(p.rlike("^&#[0-9xX]"), F.coalesce(F.try_element_at(named, decimal(p)), char(code(p))))
+        .when(p.rlike("^&[A-Za-z]"), F.coalesce(F.try_element_at(named, p), p))
+        .otherwise(p)
+    )
+    return F.when(x.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(x)
 
 
 def html_to_text(x: Column, drop: tuple[str, ...] = (), limit: int | None = None) -> Column:
-    """Text of markup: elements in ``drop`` and comments go with their content, tags become spaces, entities characters."""
+    """Text of markup: elements in ``drop`` and comments go with their content, tags become spaces, references characters."""
     out = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     for tag in drop:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    out = F.regexp_replace(out, r"<[/!?]?[A-Za-z][^>]*>", " ")
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    out = collapse(F.replace(out, F.lit("&amp;"), F.lit("&")))
+    out = collapse(unescape(F.regexp_replace(out, r"<[/!?]?[A-Za-z][^>]*>", " ")))
     return F.substring(out, 1, limit) if limit else out
 
 

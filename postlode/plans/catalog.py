@@ -108,9 +108,10 @@ def _html_sql() -> str:
     for tag in ("script", "style", "noscript", "svg"):
         x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
     x = f"regexp_replace({x}, '<[/!?]?[A-Za-z][^>]*>', ' ', 'g')"
-    for name, char in text.ENTITIES.items():
+    # the references that the pages hold, and a few more; & last, so that nothing is decoded twice
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("#39", chr(39)), ("euro", "€"), ("ndash", "–")):
         x = f"replace({x}, '&{name};', {o.quote(char)})"
-    return f"trim(regexp_replace(replace({x}, '&amp;', '&'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({x}, '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"SELECT page_id, {_html_sql()} AS plain FROM pages")
