@@ -6,17 +6,19 @@ for plain substrings, as their results are defined.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlode import lexicon as lx
-from postlode.functions.match import alone, first_of, has_substring, has_term, stands_alone
+from postlode.functions.match import Marked, alone, first_of, has_substring, has_term, stands_alone, term_keys
 from postlode.functions.text import company_key, strip
 
 JAVA_UNICODE = "(?U)"
 
 
-def is_relevant(lowered: Column) -> Column:
+def is_relevant(lowered: Column | Marked) -> Column:
     """An AI term or the name of a workflow tool occurs."""
     return has_term(lowered, (*lx.AI_TERMS, *lx.EXTRA_AI_TERMS, *lx.AUTOMATION_TOOL_TERMS))
 
@@ -25,19 +27,20 @@ def is_board_title(lowered: Column) -> Column:
     return has_term(lowered, lx.BOARD_TITLE_TERMS)
 
 
-def language(text: Column) -> Column:
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+def language(text: Column, padded: Marked | None = None) -> Column:
+    """``padded``: the bits of the text in lower case with a space at either end, where they are known."""
+    padded = padded or F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     return first_of(
         [
             (text.rlike(r"[Ѐ-ӿ]"), "ru"),
-            (has_substring(padded, lx.GERMAN_HINTS) | padded.rlike("[äöüß]"), "de"),
+            (has_substring(padded, (*lx.GERMAN_HINTS, "ä", "ö", "ü", "ß")), "de"),
             (text.rlike(r"(?U)[^\s\x1C-\x1F]"), "en"),
             (F.lit(True), "unknown"),
         ]
     )
 
 
-def remote_type(lowered: Column) -> Column:
+def remote_type(lowered: Column | Marked) -> Column:
     return first_of(
         [
             (has_substring(lowered, lx.REMOTE_TERMS), "remote"),
@@ -48,7 +51,7 @@ def remote_type(lowered: Column) -> Column:
     )
 
 
-def seniority(lowered: Column) -> Column:
+def seniority(lowered: Column | Marked) -> Column:
     junior = has_substring(lowered, lx.JUNIOR_TERMS)
     senior = has_substring(lowered, lx.SENIOR_TERMS)
     return first_of(
@@ -64,8 +67,8 @@ def seniority(lowered: Column) -> Column:
     )
 
 
-def location_city(lowered: Column) -> Column:
-    return F.coalesce(first_of([(lowered.contains(c.lower()), c) for c in lx.CITY_HINTS]), F.lit(""))
+def location_city(lowered: Column | Marked) -> Column:
+    return F.coalesce(first_of([(has_substring(lowered, (c.lower(),)), c) for c in lx.CITY_HINTS]), F.lit(""))
 
 
 def _of_city(city: Column, field: int) -> Column:
@@ -75,30 +78,34 @@ def _of_city(city: Column, field: int) -> Column:
     return first_of([(city.isin(*cities), v) for v, cities in values.items()])
 
 
-def location_country(lowered: Column, city: Column) -> Column:
+def location_country(lowered: Column | Marked, city: Column) -> Column:
     named = first_of([(has_substring(lowered, hints), c) for c, hints in lx.COUNTRY_HINTS.items()])
     return F.coalesce(named, _of_city(city, 0), F.lit(""))
 
 
-def location_region(lowered: Column, city: Column) -> Column:
+def location_region(lowered: Column | Marked, city: Column) -> Column:
     named = first_of([(has_substring(lowered, hints), r) for r, hints in lx.REGION_HINTS.items()])
-    return F.coalesce(named, _of_city(city, 1), F.when(lowered.contains("remote"), "worldwide"), F.lit("unknown"))
+    return F.coalesce(named, _of_city(city, 1), F.when(has_substring(lowered, ("remote",)), "worldwide"), F.lit("unknown"))
 
 
-def skills(lowered: Column, most: int = 18) -> Column:
+def skills(lowered: Column | Marked, most: int = 18) -> Column:
     """The first skills of the vocabulary that occur, in its order."""
     found = []
+    if isinstance(lowered, Marked):
+        terms = dict.fromkeys((*lx.AI_TERMS, *lx.AUTOMATION_TERMS, *lx.ENGINEERING_TERMS))
+        each = ", ".join(f"if({lowered.sql(term_keys([t]))}, '{t}', null)" for t in terms)
+        return F.expr(f"array_join(slice(array_compact(array({each})), 1, {most}), ', ')")
     for term in dict.fromkeys((*lx.AI_TERMS, *lx.AUTOMATION_TERMS, *lx.ENGINEERING_TERMS)):
         test = lowered.rlike(alone([term])) if stands_alone(term) else lowered.contains(term)
         found.append(F.when(test, term))
     return F.array_join(F.slice(F.array_compact(F.array(*found)), 1, most), ", ")
 
 
-def startup_likely(lowered: Column) -> Column:
+def startup_likely(lowered: Column | Marked) -> Column:
     return has_substring(lowered, ("startup", "early-stage", "saas", "y combinator"))
 
 
-def company_fit(lowered: Column) -> Column:
+def company_fit(lowered: Column | Marked) -> Column:
     return first_of(
         [
             (has_substring(lowered, ("enterprise", "corporation", "konzern", "10,000+", "10000+")), "enterprise"),
@@ -125,10 +132,15 @@ def _number(x: Column) -> Column:
     return F.replace(x, F.lit(","), F.lit("")).try_cast("int")
 
 
-def company_size(text: Column) -> Column:
-    """struct(size, source) of the first rule that applies to the text."""
+def company_size(text: Column, marks: Marked | None = None) -> Column:
+    """struct(size, source) of the first rule that applies to the text.
+
+    ``marks``: the bits of the lower-cased text, where they are known; patterns are then tried only where their words occur.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    part = lambda p, i: F.regexp_extract(low, JAVA_UNICODE + p, i)
+    gates = {SIZE_RANGE: ("employees", "people", "team members"), SIZE_COUNT: ("employees", "people", "team members"), SIZE_TEAM: ("team of", "team size", "company of")}
+    where = lambda p: F.when(has_substring(marks, gates[p]), low).otherwise("") if marks else low
+    part = lambda p, i: F.regexp_extract(where(p), JAVA_UNICODE + p, i)
     grouped = lambda x: F.format_number(_number(x), 0)
     start, count, team = part(SIZE_RANGE, 1), part(SIZE_COUNT, 1), part(SIZE_TEAM, 2)
     said, size = F.lit("posting text"), lambda label, source: F.struct(label.alias("size"), source.alias("source"))
@@ -143,7 +155,7 @@ def company_size(text: Column) -> Column:
             ((count != "") & (part(SIZE_COUNT, 2) == "+"), size(F.concat(grouped(count), F.lit("+")), said)),
             (count != "", size(bucket(_number(count)), said)),
             (team != "", size(bucket(_number(team)), said)),
-            *[(has_substring(low, terms), size(F.lit(label), F.lit(source))) for terms, label, source in wording],
+            *[(has_substring(marks or low, terms), size(F.lit(label), F.lit(source))) for terms, label, source in wording],
             (F.lit(True), size(F.lit("unknown"), F.lit(""))),
         ]
     )
@@ -192,12 +204,21 @@ def is_place(value: Column) -> Column:
     return clean.isin(*names) | ((F.size(parts) > 1) & F.forall(parts, lambda p: p.isin(*names)))
 
 
+def _stem(pattern: str) -> str:
+    """What any match of a currency's pattern holds."""
+    return re.match(r"[^?\\]*", pattern.removeprefix(r"\b").replace("s?", ""))[0]
+
+
 def low_cost_reason(salary: Column, location: Column, blob: Column) -> Column:
-    """Why a posting counts as one of a low-wage region: pay in such a currency, else such a place; '' if neither."""
+    """Why a posting counts as one of a low-wage region: pay in such a currency, else such a place; '' if neither.
+
+    The patterns are tried only where a byte search finds what they are about.
+    """
     none = F.lit("")
     text = F.lower(F.concat_ws("\n", F.coalesce(salary, none), F.coalesce(location, none), blob))
-    pay = F.trim(F.regexp_extract(text, JAVA_UNICODE + "(?:" + "|".join(lx.LOW_COST_PAY) + ")", 0))
-    place = F.trim(F.regexp_extract(text, JAVA_UNICODE + r"\b(?:" + "|".join(lx.LOW_COST_PLACES) + r")\b", 0))
+    search = lambda words, p: F.trim(F.regexp_extract(F.when(has_substring(text, words), text).otherwise(""), JAVA_UNICODE + p, 0))
+    pay = search([_stem(p) for p in lx.LOW_COST_PAY], "(?:" + "|".join(lx.LOW_COST_PAY) + ")")
+    place = search(lx.LOW_COST_PLACES, r"\b(?:" + "|".join(lx.LOW_COST_PLACES) + r")\b")
     return (
         F.when(pay != "", F.concat(F.lit("low-wage-region pay ("), pay, F.lit(")")))
         .when(place != "", F.concat(F.lit("low-wage region ("), place, F.lit(")")))

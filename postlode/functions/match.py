@@ -3,6 +3,9 @@
 A term of up to three letters or digits must stand alone (no ASCII letter or digit beside
 it); any other matches anywhere. Long terms become byte searches, which cost far less than
 one alternation; a term that holds another of its list is left out, since the other decides.
+
+Where many lists are looked for in one text, an ``Index`` gives each term a bit: each is
+searched once, all into a few long columns, and every list is a test of bits.
 """
 
 from __future__ import annotations
@@ -34,8 +37,64 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(or_, tests) if tests else F.lit(False)
 
 
-def has_substring(lowered: Column, terms: Iterable[str]) -> Column:
+class Index:
+    """Bits of terms; filled by the tests that ask for them, and then searched by ``masks``."""
+
+    #: Bits of a mask: a long without its sign.
+    WIDTH = 63
+
+    def __init__(self) -> None:
+        self.bits: dict[tuple[str, bool], int] = {}
+
+    def on(self, prefix: str) -> Marked:
+        """Tests of a text whose masks are the columns ``prefix`` 0, 1, ..."""
+        return Marked(self, prefix)
+
+    @property
+    def count(self) -> int:
+        return -(-len(self.bits) // self.WIDTH)
+
+    def masks(self, prefix: str, low: str, words: str) -> dict[str, Column]:
+        """The masks of a text: ``low`` is its column in lower case with a space at either end, ``words`` that of ``word_runs``."""
+        quote = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+        def search(term: str, alone_: bool) -> str:
+            if not alone_:
+                return f"contains({low}, {quote(term)})"
+            if term.isascii():
+                return f"contains({words}, {quote(f' {term} ')})"
+            return f"contains({low}, {quote(term)}) and {low} rlike {quote(alone([term]))}"
+
+        parts: dict[int, list[str]] = {}
+        for (term, alone_), n in self.bits.items():
+            parts.setdefault(n // self.WIDTH, []).append(f"if({search(term, alone_)}, {1 << n % self.WIDTH}L, 0L)")
+        return {f"{prefix}{i}": F.expr(" | ".join(some)) for i, some in parts.items()}
+
+
+class Marked:
+    """A text known by the bits of an index: stands where a lower-cased text is asked for terms."""
+
+    def __init__(self, index: Index, prefix: str) -> None:
+        self.index, self.prefix = index, prefix
+
+    def sql(self, terms: Iterable[tuple[str, bool]]) -> str:
+        """Whether any of the terms (text, whether it must stand alone) occurs."""
+        masks: dict[int, int] = {}
+        for key in terms:
+            n = self.index.bits.setdefault(key, len(self.index.bits))
+            masks[n // Index.WIDTH] = masks.get(n // Index.WIDTH, 0) | 1 << n % Index.WIDTH
+        return "(" + (" or ".join(f"({self.prefix}{i} & {m}L) <> 0" for i, m in masks.items()) or "false") + ")"
+
+
+def word_runs(lowered: Column) -> Column:
+    """Runs of ASCII letters and digits of a lower-cased text, each with a space on either side."""
+    return F.regexp_replace(F.concat(F.lit(" "), lowered, F.lit(" ")), "[^a-z0-9]+", " ")
+
+
+def has_substring(lowered: Column | Marked, terms: Iterable[str]) -> Column:
     """Whether the lower-cased text holds any of the terms anywhere."""
+    if isinstance(lowered, Marked):
+        return F.expr(lowered.sql((t, False) for t in needed(terms)))
     return any_of([lowered.contains(t) for t in needed(terms)])
 
 
@@ -43,11 +102,20 @@ def alone(terms: Iterable[str]) -> str:
     return "(?<![a-z0-9])(?:" + "|".join(map(java_literal, terms)) + ")(?![a-z0-9])"
 
 
-def has_term(lowered: Column, terms: Iterable[str]) -> Column:
-    """Whether the lower-cased text holds any of the terms, short ones standing alone."""
+def term_keys(terms: Iterable[str]) -> list[tuple[str, bool]]:
+    """Each term with whether it must stand alone."""
     terms = [t.lower() for t in terms]
-    short = [t for t in terms if stands_alone(t)]
-    tests = [lowered.contains(t) for t in needed(t for t in terms if not stands_alone(t))]
+    long = needed(t for t in terms if not stands_alone(t))
+    return [*((t, False) for t in long), *((t, True) for t in dict.fromkeys(terms) if stands_alone(t))]
+
+
+def has_term(lowered: Column | Marked, terms: Iterable[str]) -> Column:
+    """Whether the lower-cased text holds any of the terms, short ones standing alone."""
+    keys = term_keys(terms)
+    if isinstance(lowered, Marked):
+        return F.expr(lowered.sql(keys))
+    short = [t for t, alone_ in keys if alone_]
+    tests = [lowered.contains(t) for t, alone_ in keys if not alone_]
     if short:
         tests.append(lowered.rlike(alone(short)))
     return any_of(tests)

@@ -6,29 +6,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlode import lexicon as lx
+from postlode.functions.match import has_substring
 
-_AMOUNT = r"(?:[.,](\d{3}))?\s?k?\s?(?:eur|euro|brutto)?\s?"
 #: Fixed patterns: amount a year, amount a month, amount in thousands after the currency, hours a week, hours.
-YEARLY = r"(\d{2,3})" + _AMOUNT + r"(year|jahr|jaehrlich|p\.a\.|per year|annum)"
-MONTHLY = r"(\d{1,2})" + _AMOUNT + r"(month|monat|monatlich|monthly)"
+YEARLY = r"(\d{2,3})(?:[.,](\d{3}))?\s?k?\s?(?:eur|euro|brutto)?\s?(year|jahr|jaehrlich|p\.a\.|per year|annum)"
+MONTHLY = r"(\d{1,2})(?:[.,](\d{3}))?\s?k?\s?(?:eur|euro|brutto)?\s?(month|monat|monatlich|monthly)"
 THOUSANDS = r"(?:eur|euro)\s?(\d{2,3})(?:[.,](\d{3}))?\s?k"
 WEEKLY_HOURS = r"(\d{2})\s?(?:h|std\.?|stunden)\s?(?:/|pro|per)?\s?(?:woche|week|weekly)"
 HOURS = r"(\d{2})\s?(?:stunden|hours)"
+#: What every match of a pattern holds: a text without it is not searched.
+NEEDED = {
+    YEARLY: ("year", "jahr", "jaehrlich", "p.a.", "annum"),
+    MONTHLY: ("month", "monat"),
+    THOUSANDS: ("eur",),
+    WEEKLY_HOURS: ("woche", "week"),
+    HOURS: ("stunden", "hours"),
+}
 
 
 def searched(salary: Column, blob: Column) -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce(salary, F.lit("")), blob))
 
 
+def _matches(text: Column, pattern: str) -> Column:
+    """All matches of a pattern, from one pass over the text."""
+    some = F.when(has_substring(text, NEEDED[pattern]), text).otherwise("")
+    return F.regexp_extract_all(some, F.lit("(?U)" + pattern), F.lit(0))
+
+
 def amounts(text: Column, pattern: str) -> Column:
     """Values of all matches: both digit groups together, or the one times 1000."""
-    first = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(1))
-    rest = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(2))
-    return F.zip_with(first, rest, lambda a, b: F.when(b != "", F.concat(a, b).try_cast("int")).otherwise(a.try_cast("int") * 1000))
+    group = lambda m, i: F.regexp_extract(m, "(?U)" + pattern, i)
+    value = lambda a, b: F.when(b != "", F.concat(a, b).try_cast("int")).otherwise(a.try_cast("int") * 1000)
+    return F.transform(_matches(text, pattern), lambda m: value(group(m, 1), group(m, 2)))
 
 
 def hours(text: Column) -> Column:
-    every = [F.regexp_extract_all(text, F.lit("(?U)" + p), F.lit(1)) for p in (WEEKLY_HOURS, HOURS)]
+    first = lambda p: F.transform(_matches(text, p), lambda m: F.regexp_extract(m, "(?U)" + p, 1))
+    every = [first(p) for p in (WEEKLY_HOURS, HOURS)]
     return F.transform(F.concat(*every), lambda x: x.try_cast("int"))
 
 

@@ -1,7 +1,7 @@
 """The additive relevance score: eight components, their clamped sum, priority and explanation.
 
-``facts`` adds every test once, on lower-cased texts held in helper columns; components and
-explanation are sums and lists over them, so nothing is searched twice.
+``with_facts`` searches title and text once for each term, into masks, and makes every test once;
+components and explanation are sums and lists over the tests.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from postlode import lexicon as lx
 from postlode.functions import pay
 from postlode.functions.classify import company_fit, is_relevant
-from postlode.functions.match import has_term
+from postlode.functions.match import Index, has_substring, has_term, word_runs
 from postlode.operators.barrier import seal
 from postlode.schema import SCORES, text_blob
 
 EXPERIENCE = r"(?U)\b([5-9]|10)\+?\s*(years|jahre|лет)\b"
-HELPERS = ("_blob", "_text", "_title", "_fact")
+HELPERS = ("_blob", "_paid", "_fact", "_fit")
 
 
 def priority(score: Column) -> Column:
@@ -25,12 +25,14 @@ def priority(score: Column) -> Column:
 
 
 def with_facts(df: DataFrame, profile: lx.TargetingProfile | None = None) -> DataFrame:
-    """``df`` with ``_blob``, ``_text``, ``_title`` and the struct ``_fact`` of all tests."""
+    """``df`` with ``_blob``, the structs ``_paid`` and ``_fact`` of all tests, and ``_fit``."""
     profile = profile or lx.TargetingProfile()
+    padded = lambda c: F.concat(F.lit(" "), F.lower(c), F.lit(" "))
     df = df.withColumn("_blob", text_blob())
-    df = df.withColumns({"_text": F.lower("_blob"), "_title": F.lower("job_title")})
-    text, title = F.col("_text"), F.col("_title")
-    paid = pay.analysis(pay.searched(F.col("salary"), F.col("_blob")))
+    df = df.withColumns({"_text": padded("_blob"), "_title": padded("job_title")})
+    index, titles = Index(), Index()
+    text, title = index.on("_text_"), titles.on("_title_")
+    aged = has_substring(text, ("years", "jahre", "лет"))
     tests = {
         "target": has_term(title, profile.target_titles),
         "role": has_term(title, lx.ROLE_TITLE_TERMS),
@@ -38,19 +40,26 @@ def with_facts(df: DataFrame, profile: lx.TargetingProfile | None = None) -> Dat
         "away": has_term(text, ("remote", "hybrid", "homeoffice", "удал")),
         "automation": has_term(text, lx.AUTOMATION_TERMS),
         "ai": has_term(text, lx.AI_TERMS),
-        "remote_europe": text.contains("remote europe"),
+        "remote_europe": has_substring(text, ("remote europe",)),
         "startup": has_term(text, lx.STARTUP_TERMS),
         "senior": has_term(text, lx.SENIOR_TERMS),
         "senior_title": has_term(title, lx.SENIOR_TERMS),
-        "experience": text.rlike(EXPERIENCE),
+        "experience": F.when(aged, F.col("_text")).otherwise("").rlike(EXPERIENCE),
         "qa": has_term(text, lx.QA_TERMS),
         "core_automation": has_term(text, lx.AUTOMATION_TERMS[:8]),
         "relevant_title": is_relevant(title),
         "off_target": has_term(title, profile.off_target_title_signals),
         "unrelated": has_term(title, lx.UNRELATED_TITLE_TERMS),
-        **paid,
     }
-    return df.withColumn("_fact", F.struct(*[c.alias(n) for n, c in tests.items()]))
+    fit = company_fit(text)
+    df = df.withColumns({"_text_words": word_runs(F.col("_text")), "_title_words": word_runs(F.col("_title"))})
+    masks = index.masks("_text_", "_text", "_text_words") | titles.masks("_title_", "_title", "_title_words")
+    df = df.withColumns(masks).withColumn("_paid_text", pay.searched(F.col("salary"), F.col("_blob")))
+    df = df.withColumn("_paid", F.struct(*[c.alias(n) for n, c in pay.analysis(F.col("_paid_text")).items()]))
+    df = seal(df, *masks, "_paid")
+    paid = {n: F.col("_paid")[n] for n in ("salary_target_met", "hours_target_met")}
+    df = df.withColumn("_fact", F.struct(*[c.alias(n) for n, c in (tests | paid).items()]))
+    return seal(df.withColumn("_fit", fit), "_fact").drop("_text", "_title", "_text_words", "_title_words", "_paid_text", *masks)
 
 
 def _points(*cases: tuple[int, Column]) -> Column:
@@ -125,7 +134,7 @@ def score(df: DataFrame, profile: lx.TargetingProfile | None = None) -> DataFram
     scored = seal(scored.withColumn("relevance_score", F.greatest(F.lit(0), F.least(F.lit(100), total))), "relevance_score")
     return scored.withColumns(
         {
-            "company_fit": company_fit(F.col("_text")),
+            "company_fit": F.col("_fit"),
             "priority_level": priority(F.col("relevance_score")),
             "reason_for_score": explanation(),
         }

@@ -1,4 +1,4 @@
-"""A barrier that keeps filters on costly columns above the projection that makes them."""
+"""A barrier that keeps the optimizer from copying costly columns."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def seal(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` with the columns ``names`` passed through a one-row generator, column order kept.
+    """``df`` with the columns ``names`` behind a condition that is always true but not known to be.
 
     The optimizer pushes a filter through a projection by copying the column's whole expression
     into the filter, once per mention. For scores built from hundreds of term searches that
-    copies the searches until the plan itself fills the memory. It pushes no filter on a generator's output,
-    so sealed columns are computed once; filters on the other columns still reach the scan.
+    copies the searches until the plan itself fills the memory. An expression that it takes for
+    nondeterministic is neither copied nor merged into another, so sealed columns are computed once,
+    and those that nothing reads are pruned one by one. Filters stop at the projection, so rows are best chosen before.
     """
-    rest = [c for c in df.columns if c not in names]
-    made = F.inline(F.array(F.struct(*[F.col(c) for c in names])))
-    return df.select(*rest, made).select(*df.columns)
+    always = F.monotonically_increasing_id() >= 0
+    return df.withColumns({n: F.when(always, F.col(n)) for n in names})

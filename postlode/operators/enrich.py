@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlode.functions import classify
+from postlode.functions.match import Index, word_runs
 from postlode.functions.text import clean_field
 from postlode.operators.barrier import seal
 from postlode.operators.joins import with_size_override
@@ -13,9 +14,6 @@ from postlode.schema import COLUMNS, text_blob
 
 CLEANED = ("job_title", "company_name", "location", "job_description", "salary")
 
-#: Filled columns that runs and dashboards filter by.
-FILTERED = ("remote_type", "seniority", "language", "region", "country", "company_size")
-
 
 def _unless_known(name: str, value: Column) -> Column:
     return F.when(F.col(name) != "unknown", F.col(name)).otherwise(value)
@@ -31,31 +29,40 @@ def enrich(df: DataFrame, sizes: dict[str, str] | DataFrame | None = None) -> Da
     extra = [c for c in df.columns if c not in COLUMNS]
     df = df.withColumns({c: clean_field(F.col(c)) for c in CLEANED})
     df = df.withColumn("_text", text_blob())
-    df = df.withColumns({"_low": F.lower("_text"), "_place": F.lower("location")})
-    place = F.col("_place")
+    padded = lambda c: F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    df = df.withColumns({"_low": padded("_text"), "_place": padded("location")})
+
+    # every term has a bit, and each text is searched for it once; the classifiers are tests of bits
+    index = Index()
+    low, place, where = index.on("_low_"), index.on("_place_"), index.on("_where_")
     own = (F.col("location") != "") & (classify.location_region(place, classify.location_city(place)) != "unknown")
-    df = df.withColumn("_where", F.when(own, place).otherwise(F.col("_low")))
-    df = df.withColumn("_city", classify.location_city(F.col("_where")))
-    low, where, city = F.col("_low"), F.col("_where"), F.col("_city")
     filled = lambda name, value: F.when(F.col(name) != "", F.col(name)).otherwise(value)
-    df = df.withColumns(
-        {
-            "remote_type": _unless_known("remote_type", classify.remote_type(low)),
-            "seniority": _unless_known("seniority", classify.seniority(low)),
-            "language": _unless_known("language", classify.language(F.col("_text"))),
-            "region": F.when(~F.col("region").isin("", "unknown"), F.col("region")).otherwise(classify.location_region(where, city)),
-            "country": filled("country", classify.location_country(where, city)),
-            "city": filled("city", city),
-            "required_skills": filled("required_skills", classify.skills(low)),
-            "is_startup_likely": F.col("is_startup_likely") | classify.startup_likely(low),
-            "_size": classify.company_size(F.col("_text")),
-        }
-    )
+    city = F.col("_city")
+    places = {
+        "region": F.when(~F.col("region").isin("", "unknown"), F.col("region")).otherwise(classify.location_region(where, city)),
+        "country": filled("country", classify.location_country(where, city)),
+        "city": filled("city", city),
+    }
+    found_city, of_places = classify.location_city(where), index.count
+    others = {
+        "remote_type": _unless_known("remote_type", classify.remote_type(low)),
+        "seniority": _unless_known("seniority", classify.seniority(low)),
+        "language": _unless_known("language", classify.language(F.col("_text"), low)),
+        "required_skills": filled("required_skills", classify.skills(low)),
+        "is_startup_likely": F.col("is_startup_likely") | classify.startup_likely(low),
+        "_size": classify.company_size(F.col("_text"), low),
+    }
+    df = df.withColumns({"_low_words": word_runs(F.col("_low")), "_place_words": word_runs(F.col("_place"))})
+    masks = index.masks("_low_", "_low", "_low_words")
+    df = df.withColumns(masks | dict(list(index.masks("_place_", "_place", "_place_words").items())[:of_places]))
+    df = seal(df, *masks).withColumn("_own", own)
+    df = df.withColumns({f"_where_{i}": F.when(F.col("_own"), F.col(f"_place_{i}")).otherwise(F.col(f"_low_{i}")) for i in range(of_places)})
+    df = seal(df.withColumn("_city", found_city), "_city").withColumns(places | others)
     unset = F.col("company_size").isin("", "unknown")
-    df = df.withColumns(
+    df = seal(df, "_size").withColumns(
         {
             "company_size_source": F.when(unset, F.col("_size.source")).otherwise(F.col("company_size_source")),
             "company_size": F.when(unset, F.col("_size.size")).otherwise(F.col("company_size")),
         }
     )
-    return seal(with_size_override(df, sizes).select(*COLUMNS, *extra), *FILTERED)
+    return with_size_override(df, sizes).select(*COLUMNS, *extra)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postlode import lexicon as lx
 from postlode.functions.classify import exceeds_employees, low_cost_reason
 from postlode.functions.score import score
+from postlode.operators.barrier import seal
 from postlode.operators.dedup import collapse_similar, drop_repeats, prepare
 from postlode.operators.enrich import enrich
 from postlode.operators.joins import unseen
@@ -63,12 +64,13 @@ def score_and_flag(unique: DataFrame, config: RunConfig | None = None) -> DataFr
     """Prepared anew and scored, with ``_large`` and ``_low_cost`` (the reason, or '')."""
     config = config or RunConfig()
     scored = score(prepare(unique).drop("_signature"), config.profile)
-    return scored.withColumns(
+    flagged = scored.withColumns(
         {
             "_large": exceeds_employees(F.col("company_size"), config.most_employees),
             "_low_cost": low_cost_reason(F.col("salary"), F.col("location"), text_blob()),
         }
     )
+    return seal(flagged, "_large", "_low_cost")
 
 
 def run(raw: DataFrame, seen: DataFrame | None = None, config: RunConfig | None = None, sizes=None) -> RunResult:
