@@ -287,6 +287,28 @@ ROLE_WORDS = (
 )
 
 
+# ---- Fixed values: patterns of hiring threads ----
+
+BACKED_BY = r"(?iU)\b(backed|back)\s+by\b.*$"
+THREAD_MODES = {
+    "hybrid": r"(?U)\bhybrid\b",
+    "remote": r"(?U)\bremote\b",
+    "onsite": r"(?U)\b(onsite|on-site|in office|in-office)\b",
+}
+THREAD_ROLE = (
+    r"(?iU)\b(?:senior|junior|lead|staff|principal|founding|applied|forward[- ]deployed)?\s*"
+    r"(?:ai|ml|machine learning|software|full[- ]?stack|back[- ]?end|front[- ]?end|platform|data|automation|infrastructure)?\s*"
+    r"(?:engineer|developer|scientist|specialist)s?\b"
+)
+THREAD_NO_PLACE = r"(?U)\b(remote|onsite|on-site|hybrid|full[- ]time|part[- ]time|contract|intern)\b"
+THREAD_PLACES = r"(?U)\b(usa|uk|eu|europe|germany|berlin|munich|london|nyc|new york|san francisco|sf|amsterdam|paris|canada|austin|boston)\b"
+
+# ---- Fixed values: searches for company boards ----
+
+BOARD_SITES = {"greenhouse": "boards.greenhouse.io", "lever": "jobs.lever.co", "ashby": "jobs.ashbyhq.com", "workable": "apply.workable.com"}
+DISCOVERY_KEYWORDS = ("AI engineer", "AI automation", "machine learning engineer")
+MOST_DISCOVERY_SEARCHES = 5
+
 #: Companies whose size postings rarely give.
 COMPANY_SIZES = {
     "Siemens Energy": "90000", "Siemens": "300000", "Bosch": "400000", "SAP": "100000", "Deutsche Telekom": "200000",

@@ -61,3 +61,18 @@ def merge_slugs(stored: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(b, "provider", "full_outer").select(
         "provider", F.array_sort(F.array_union(old, new)).alias("merged"), F.array_sort(F.array_except(new, old)).alias("added")
     )
+
+
+def discovery_queries(limit: int = lx.MOST_DISCOVERY_SEARCHES) -> list[str]:
+    """Searches for company boards: each keyword on every board's site, cut at the most that a run may ask."""
+    every = [f'site:{site} "{keyword}"' for keyword in lx.DISCOVERY_KEYWORDS for site in lx.BOARD_SITES.values()]
+    return every[: min(limit, lx.MOST_DISCOVERY_SEARCHES)]
+
+
+def discover(answers: DataFrame, stored: DataFrame) -> DataFrame:
+    """``provider, merged, added`` of stored slugs and those that search answers (``_file, body``) name."""
+    from postlode.sources.payload import field, objects
+
+    body = F.coalesce(F.get_json_object("body", "$.data"), F.col("body"))
+    links = objects(answers.withColumn("body", body), "organic_results").select(field("link").alias("link"))
+    return merge_slugs(stored, collect_slugs(links))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,3 +129,24 @@ def workable(spark: SparkSession, path: str) -> DataFrame:
         location=first(place, field("location")), remote_type=remote, job_url=first(field("url"), field("application_url")),
         date_posted=first(field("published_on"), field("created_at")), job_description=html_to_text(field("description"), limit=7000),
     )
+
+
+#: Company boards in the order in which a run reads them.
+COMPANY_BOARDS = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "workable": workable}
+
+
+def ats(spark: SparkSession, path: str, slugs: dict[str, list[str]] | None = None) -> DataFrame:
+    """All company boards, of which ``path`` has a folder each: boards in fixed order, companies as ``slugs`` lists them (else by name), so that a limit cuts them together."""
+    parts = []
+    for place, (name, read) in enumerate(COMPANY_BOARDS.items()):
+        if slugs is not None and not slugs.get(name):
+            continue
+        rows, company = read(spark, f"{path}/{name}"), stem(F.col("_file"))
+        if slugs is not None:
+            listed = F.array_position(F.array(*[F.lit(s) for s in slugs[name]]), company)
+            rows = rows.filter(listed > 0).withColumn("_file", F.concat(F.lit(f"{place} "), F.lpad(listed.cast("string"), 9, "0")))
+        else:
+            rows = rows.withColumn("_file", F.concat(F.lit(f"{place} "), "_file"))
+        parts.append(rows)
+    none = spark.createDataFrame([], "_o map<string,string>, _file string, _at int")
+    return reduce(DataFrame.unionByName, parts, mapped(none))

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """``_file, body`` of each file under ``path``."""
+def files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """``_file, body`` of each file under ``path``; a table of such rows is taken as it is."""
+    if isinstance(path, DataFrame):
+        return path.select("_file", "body")
     read = spark.read.text(path, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("body"))
 

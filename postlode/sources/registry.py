@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from postlode.operators.order import numbered
 from postlode.schema import POSTING_SCHEMA
-from postlode.sources import boards, captures, feeds
+from postlode.sources import boards, captures, feeds, literals, structured, threads
 
 Source = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ SOURCES: dict[str, Source] = {
     **{f.__name__: f for f in (boards.remoteok, boards.remotive, boards.arbeitnow, boards.workingnomads)},
     **{f.__name__: f for f in (boards.greenhouse, boards.lever, boards.ashby, boards.workable)},
     **{f.__name__: f for f in (feeds.weworkremotely, feeds.rss, feeds.manual)},
+    **{f.__name__: f for f in (boards.ats, structured.join, threads.hackernews, literals.mock)},
     **{name: partial(captures.search_results, engine=name) for name in captures.ENGINES},
     **dict.fromkeys(("yc", "wellfound", "germantechjobs", "berlinstartupjobs"), _nothing),
 }
@@ -34,6 +35,11 @@ def register_source(name: str, source: Source) -> None:
     SOURCES[name] = source
 
 
+def parse_bool(value: str | bool) -> bool:
+    """A switch as people write it: 1, true, yes, y and on are true."""
+    return value if isinstance(value, bool) else value.strip().lower() in ("1", "true", "yes", "y", "on")
+
+
 def read_sources(spark: SparkSession, paths: dict[str, str], limit: int | None = 50) -> DataFrame:
     """Postings of the named sources with ``_seq``: sources in the given order, files by name, places within.
 
