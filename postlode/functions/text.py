@@ -144,19 +144,13 @@ def url_path(x: Column) -> Column:
 
 def clean_title(x: Column) -> Column:
     out = collapse(F.coalesce(x, F.lit("")))
-    out = F.regexp_replace(
-        out,
-        r"(?iU)\s*\|\s*(Jobs?|Careers?|Apply|LinkedIn|Built In.*|Strider Jobs|Visa Sponsorship Jobs|Jetzt bewerben.*|Remote Jobs on.*).*$",
-        "",
-    )
-    out = F.regexp_replace(out, r"(?iU)\s*[-–—]\s*(Jetzt bewerben|Apply Now|Work From Home)!?.*$", "")
+    out = F.regexp_replace(F.regexp_replace(out, lx.TITLE_TAIL, ""), lx.TITLE_CALL, "")
     return F.substring(strip(out, " -–—|"), 1, 160)
 
 
 def clean_company(x: Column) -> Column:
     out = strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "), " -–—|")
-    out = F.regexp_replace(out, r"(?iU)\s+(Djinni|JazzHR|Greenhouse|Lever|Ashby|Workable|Built In.*|Jetzt bewerben.*|Apply Now.*)$", "")
-    out = strip(F.regexp_replace(out, r"(?iU)\s+(in|im|for|at|bei|f[uü]r)$", ""), " -–—|")
+    out = strip(F.regexp_replace(F.regexp_replace(out, lx.COMPANY_TAIL, ""), lx.COMPANY_LINK, ""), " -–—|")
     return F.when(out == "", "Unknown").otherwise(out)
 
 

@@ -198,7 +198,7 @@ LOW_COST_PAY = (
     "\\bcrores?\\b", "\\bnaira\\b", "\\btaka\\b", "\\brupiah\\b", "\\bcedi\\b", "\\brs\\.?\\s?\\d",
 )
 
-# ---- Fixed values: web-search results ----
+# ---- Fixed values: web-search results; the domain lists are sets, so their order means nothing ----
 
 BLOCKED_DOMAINS = (
     "aiexpertmagazine.com", "anthropic.com", "bdjobs.com", "bing.com", "brightermonday.com", "careerexplorer.com",
@@ -248,6 +248,48 @@ HARD_NOISY_PATHS = (
     "/services/", "/top", "/u/",
 )
 
+EDITORIAL_HOSTS = ("magazine", "wikipedia", "wikihow")
+
+#: A title that counts postings ("1,200+ jobs ...").
+COUNTED_TITLE = r"(?U)\b\d{3,}[,\d]*\+?\s+"
+
+# ---- Fixed values: what cannot be a company ----
+
+NO_COMPANY_WORDS = r"(?U)\b(department|abteilung|team|jetzt bewerben|bewerben|apply now|work from home|home office|remote jobs|freelancers?)\b"
+NO_COMPANY_ROLES = (
+    r"(?U)\b(specialist|engineer|developer|workflow|workflows|automation|automate|manager|analyst|intern|consultant|architect|recruiter)\b"
+)
+NO_COMPANY_NAMES = ("apply", "careers", "jobs", "remote", "hybrid", "new", "work from home", "freelance")
+BARE_DOMAIN = r"^[a-z0-9][a-z0-9-]*\.[a-z]{2,}(?:\.[a-z]{2,})?$"
+COMPANY_AFTER = r"(?iU)(?:\bat\s+|\bbei\s+|@\s*)([^|,–—-]+)"
+TITLE_PIECES = r"(?U)\s[-|–—]\s"
+NO_COMPANY_PIECES = ("jazzhr", "greenhouse", "lever", "workable", "ashby", "apply", "careers", "jobs")
+NO_COMPANY_PIECE_WORDS = r"(?U)\b(remote|hybrid|job|jobs|career|careers)\b"
+DOMAIN_WORDS = ("com", "co", "io", "jobs", "careers")
+
+# ---- Fixed values: titles and companies without their trimmings ----
+
+TITLE_TAIL = (
+    r"(?iU)\s*\|\s*(Jobs?|Careers?|Apply|LinkedIn|Built In.*|Strider Jobs|Visa Sponsorship Jobs|Jetzt bewerben.*|Remote Jobs on.*).*$"
+)
+TITLE_CALL = r"(?iU)\s*[-–—]\s*(Jetzt bewerben|Apply Now|Work From Home)!?.*$"
+COMPANY_TAIL = r"(?iU)\s+(Djinni|JazzHR|Greenhouse|Lever|Ashby|Workable|Built In.*|Jetzt bewerben.*|Apply Now.*)$"
+COMPANY_LINK = r"(?iU)\s+(in|im|for|at|bei|f[uü]r)$"
+
+# ---- Fixed values: places in a search result, in order ----
+
+RESULT_PLACES = (
+    r"(?iU)\b(remote\s+(germany|europe|dach|worldwide))\b",
+    r"(?iU)\b(hybrid\s+(berlin|germany|europe|dach))\b",
+    r"(?iU)\b(onsite\s+[^.,;|]{2,40})\b",
+    r"(?iU)\b(berlin|munich|münchen|hamburg|frankfurt|germering|vienna|wien|zurich|zürich|london|amsterdam|paris)\b",
+)
+
+# ---- Fixed values: slugs of company boards ----
+
+SLUG = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
+NO_SLUGS = ("embed", "job_board", "j", "jobs", "o", "api", "v1", "v0", "")
+
 PRIORITY_TITLES = (
     "Junior AI Automation Specialist", "AI Automation Specialist", "Junior Workflow Automation Specialist",
     "AI Workflow Specialist", "Junior AI Solutions Specialist", "AI Implementation Specialist",
