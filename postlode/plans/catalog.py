@@ -103,9 +103,9 @@ def normalize_url(spark, d):
     return table(spark, d, "pages").select("page_id", text.normalize_url(u).alias("normal"), host.alias("domain"), text.root_domain(host).alias("root_domain"))
 
 
-def _html_sql() -> str:
-    x = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in ("script", "style", "noscript", "svg"):
+def _html_sql(x: str = "html", drop: tuple[str, ...] = ("script", "style", "noscript", "svg")) -> str:
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in drop:
         x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
     x = f"regexp_replace({x}, '<[/!?]?[A-Za-z][^>]*>', ' ', 'g')"
     # the references that the pages hold, and a few more; & last, so that nothing is decoded twice
@@ -190,14 +190,61 @@ def _page_results(spark, d):
     return pages.join(F.broadcast(rows), pages.page_id % len(TEMPLATES) == rows["_k"]).drop("_k")
 
 
-@query()
+_PLACES = ", ".join(map(o.quote, classify.place_names()))
+
+
+def _place_sql(x: str) -> str:
+    clean = f"lower(trim(trim(regexp_replace({x}, '\\s+', ' ', 'g')), ' ,-–—|'))"
+    parts = f"list_filter(list_transform(regexp_split_to_array({clean}, '[,/]'), lambda w: trim(w)), lambda w: w <> '')"
+    return f"({clean} IN ({_PLACES}) OR (len({parts}) > 1 AND len(list_filter({parts}, lambda w: w NOT IN ({_PLACES}))) = 0))"
+
+
+def _bad_sql(x: str) -> str:
+    key = f"lower(trim(trim(regexp_replace({x}, '\\s+', ' ', 'g')), ' ()[].,'))"
+    words = "department|abteilung|team|jetzt bewerben|bewerben|apply now|work from home|home office|remote jobs|freelancers?"
+    roles = "specialist|engineer|developer|workflow|workflows|automation|automate|manager|analyst|intern|consultant|architect|recruiter"
+    names = "('', 'unknown', 'apply', 'careers', 'jobs', 'remote', 'hybrid', 'new', 'work from home', 'freelance')"
+    return (
+        f"({key} IN {names} OR {_place_sql(x)} OR length(regexp_replace({x}, '[^\\p{{L}}]', '', 'g')) < 2"
+        f" OR regexp_matches({key}, '^[a-z0-9][a-z0-9-]*\\.[a-z]{{2,}}(?:\\.[a-z]{{2,}})?$') OR regexp_extract({key}, '[a-zäöüß0-9&.+-]+') IN ({_PLACES})"
+        f" OR regexp_matches({key}, '\\b({words})\\b') OR regexp_matches({key}, '\\b({roles})\\b'))"
+    )
+
+
+def _company_sql(x: str) -> str:
+    out = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' -–—|')"
+    out = f"regexp_replace({out}, '(?i)\\s+(Djinni|JazzHR|Greenhouse|Lever|Ashby|Workable|Built In.*|Jetzt bewerben.*|Apply Now.*)$', '')"
+    out = f"trim(regexp_replace({out}, '(?i)\\s+(in|im|for|at|bei|f[uü]r)$', ''), ' -–—|')"
+    return f"coalesce(nullif({out}, ''), 'Unknown')"
+
+
+_AFTER = "(?i)(?:\\bat\\s+|\\bbei\\s+|@\\s*)([^|,–—-]+)"
+_GUESSED = f"""split AS (SELECT *, regexp_matches(title, '{_AFTER}') AS after, {_company_sql(f"regexp_extract(title, '{_AFTER}', 1)")} AS named,
+    list_filter(list_transform(regexp_split_to_array(title, '\\s[-|–—]\\s'), lambda w: trim(w)), lambda w: w <> '') AS pieces,
+    list_filter(string_split(host, '.'), lambda w: w NOT IN ('com', 'co', 'io', 'jobs', 'careers', {', '.join(map(o.quote, lx.GEO_DOMAIN_PARTS))})) AS parts FROM hosts),
+tails AS (SELECT *, {_company_sql('pieces[-2]')} AS before, list_transform(list_filter(list_reverse(pieces[2:]), lambda w:
+    lower(w) NOT IN ('jazzhr', 'greenhouse', 'lever', 'workable', 'ashby', 'apply', 'careers', 'jobs') AND NOT regexp_matches(lower(w), '\\b(remote|hybrid|job|jobs|career|careers)\\b')
+    AND NOT {_bad_sql(_company_sql('w'))}), lambda w: {_company_sql('w')}) AS usable, {o.titled("replace(parts[1], '-', ' ')")} AS made FROM split),
+guessed AS (SELECT *, CASE WHEN after AND NOT {_bad_sql('named')} THEN named WHEN len(pieces) >= 2 AND contains(lower(pieces[-1]), 'built in') AND NOT {_bad_sql('before')} THEN before
+    WHEN {_IN('host', lx.BOARD_DOMAINS)} OR {_IN('root', lx.BOARD_DOMAINS)} THEN 'Unknown' WHEN len(usable) > 0 THEN usable[1]
+    WHEN {_bad_sql("coalesce(made, 'Unknown')")} THEN 'Unknown' ELSE made END AS company FROM tails)"""
+
+
+def _title_sql(x: str) -> str:
+    out = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    ends = "Jobs?|Careers?|Apply|LinkedIn|Built In.*|Strider Jobs|Visa Sponsorship Jobs|Jetzt bewerben.*|Remote Jobs on.*"
+    out = f"regexp_replace({out}, '(?i)\\s*\\|\\s*({ends}).*$', '')"
+    out = f"regexp_replace({out}, '(?i)\\s*[-–—]\\s*(Jetzt bewerben|Apply Now|Work From Home)!?.*$', '')"
+    return f"trim({out}, ' -–—|')[1:160]"
+
+
+@query(f"""WITH {_TITLED}, hosts AS (SELECT *, {_HOST} AS host, {_ROOT} AS root FROM r), {_GUESSED} SELECT page_id, title, company, {_title_sql('title')} AS clean FROM guessed""")
 def guess_company(spark, d):
     """Company guessed from a result's title and host."""
     r = _page_results(spark, d)
     return r.select("page_id", "title", results.guess_company(F.col("title"), text.domain(F.col("url"))).alias("company"), text.clean_title(F.col("title")).alias("clean"))
 
 
-_PLACES = ", ".join(map(o.quote, classify.place_names()))
 _PLACE_PARTS = "list_filter(list_transform(regexp_split_to_array(clean, '[,/]'), lambda p: trim(p)), lambda p: p <> '')"
 
 
@@ -213,7 +260,7 @@ def location_name(spark, d):
     return both.select("seq", "which", classify.is_place(F.col("v")).alias("place"))
 
 
-@query()
+@query(f"WITH {o.RAW} SELECT seq, {_bad_sql('company_name')} AS bad, {_bad_sql('job_title')} AS bad_title FROM raw")
 def bad_company(spark, d):
     """Values that cannot be companies."""
     r = raw_postings(spark, d)
@@ -491,3 +538,6 @@ def pipeline_full(spark, d):
     """The whole run with the fuzzy pass."""
     done = pipeline.run(postings(spark, d)).ranked
     return done.select(F.col("_seq").alias("seq"), "relevance_score", "priority_level", "company_name")
+
+
+from postlode.plans import payloads  # noqa: E402, F401  (registers its queries)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from postlode.functions import classify, results
 from postlode.functions.text import collapse, html_to_text, unescape
+from postlode.operators.barrier import seal
 from postlode.sources.boards import mapped, relevant
 from postlode.sources.payload import field, files, first, objects
 
@@ -90,10 +91,10 @@ def page_postings(pages: DataFrame, headcounts: DataFrame | None = None) -> Data
     rows = pages.select("_file", "_at", link.alias("link"), "status", "html").filter(results.is_posting_url(F.col("link")))
     turn = F.row_number().over(Window.partitionBy("link").orderBy("_file", "_at"))
     rows = rows.withColumn("_turn", turn).filter("_turn = 1 and coalesce(status, 200) < 400").select("_file", "_at", "link", job_posting(F.col("html")).alias("p"))
-    rows = rows.filter("p is not null")
+    rows = seal(rows, "p").filter("p is not null")
     company_page = F.when(F.try_variant_get("p", "$.hiringOrganization", "map<string,variant>").isNotNull(), _text(F.col("p"), "$.hiringOrganization.url"))
     told = rows.select("_file", "_at", "link", company_page.alias("company_page"), *[c.alias(f"p_{n}") for n, c in posting_fields(F.col("p")).items()])
-    told = told.filter("p_title <> ''")
+    told = seal(told, *[c for c in told.columns if c.startswith("p_")]).filter("p_title <> ''")
     size = F.lit("")
     if headcounts is not None:
         known = headcounts.groupBy(F.col("url").alias("company_page")).agg(F.max(classify.headcount(F.col("html"))).alias("headcount"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,15 @@ from postlode.schema import POSTING_SCHEMA, STORED, conform
 def pinned(df: DataFrame) -> DataFrame:
     """``df`` computed and cut from its lineage by a checkpoint in the shared folder.
 
-    The folder is spark.checkpoint.dir; only where no cluster names one (local runs) is a
-    temporary folder set.
+    The folder is spark.checkpoint.dir. Where the session names none, a local master (tests) gets a temporary one;
+    on a cluster that is an error, as executors do not share such a folder.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="postlode-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="postlode-"))
     return df.checkpoint()
 
 
