@@ -58,14 +58,20 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return uri
 
 
-def materialise(df: DataFrame, kind: str) -> DataFrame:
+def materialise(df: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage so that lost executors cost only the tasks that they ran, and
     pins columns such as partition numbers that a recomputation could change.
+
+    ``rows``: about how many narrow rows there are at most; they are written in as few files as a million a
+    file makes, since each file costs a task, and where the store is a local file system without native code also
+    several processes that the executor forks to set permissions.
     """
     spark = df.sparkSession
     uri = new_folder(spark, kind)
+    if rows is not None:
+        df = df.coalesce(1 + rows // 1_000_000)
     df.write.parquet(uri)
     out = spark.read.schema(df.schema).parquet(uri)
     out.stored_at = uri
@@ -78,6 +84,18 @@ def discard(*written: DataFrame) -> None:
         _delete(df.sparkSession, df.stored_at)
 
 
+def bounded_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """``df``, whose session passes at most ``rows`` rows at once to Python workers from now on.
+
+    A batch lies in the executor's memory outside the heap and again in the worker's; with the default of
+    10,000 rows, texts make it tens of megabytes and more.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+    return df
+
+
 def partition_number() -> int:
     return TaskContext.get().partitionId()
 

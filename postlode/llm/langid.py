@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postlode.llm.common import crc_bucket
+from postlode.llm.common import bounded_batches, crc_bucket
 
 UNKNOWN = "und"
 SLOTS = 1 << 15
@@ -336,4 +336,4 @@ def predict(docs: DataFrame, field: Field, at_once: int = 300_000) -> DataFrame:
         if ids:
             yield flush(ids, texts)
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, lang_pred string, score double")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(each, "doc_id long, lang_pred string, score double")

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlode.llm.common import local_path, new_folder, open_store
+from postlode.llm.common import bounded_batches, local_path, new_folder, open_store
 
 #: No word contains white space.
 END = b"\n"
@@ -308,7 +308,7 @@ def train(docs: DataFrame, at_once: int = TOKENS_AT_ONCE, keys_a_range: int = KE
     """Count and write the model of ``docs`` (``doc_id, text``)."""
     spark = docs.sparkSession
     folder = new_folder(spark, "lm")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = bounded_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
     # a count of bytes bounds the words, and so the ranges, without reading words
     size = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     parts = max(1, -(-((size[0] or 0) // 6 + size[1]) // keys_a_range))
@@ -440,7 +440,7 @@ def score(docs: DataFrame, model: Model, at_once: int = SCORED_AT_ONCE) -> DataF
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(each, schema)
+    return bounded_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text"))).mapInArrow(each, schema)
 
 
 def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:

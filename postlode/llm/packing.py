@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlode.llm.common import materialise
+from postlode.llm.common import bounded_batches, materialise
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 1024
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(got[: 5 + with_ids], kinds, strict=False)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(each, schema)
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(each, schema)
 
 
 class BestFit:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlode.llm.common import crc_bucket
+from postlode.llm.common import bounded_batches, crc_bucket
 
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'\"()-", b"!", b"|", b" ", b"\n\r", b"\t\x0b\x0c"), 1):
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 20_0
     # the limit bounds what is broadcast, and (but for repeats of an id) what comes back
     texts = docs.select(F.col("doc_id").alias("l_id"), F.col("text").cast("binary").alias("text"))
     rows = texts.join(F.broadcast(chosen), "l_id").select("text", "y", "l_id")
-    each = rows.mapInArrow(features, "x array<double>, y double, l_id long").groupBy("l_id").agg(F.min(F.struct("x", "y")).alias("r"))
+    each = bounded_batches(rows).mapInArrow(features, "x array<double>, y double, l_id long").groupBy("l_id").agg(F.min(F.struct("x", "y")).alias("r"))
     got = each.select("l_id", "r.x", "r.y").orderBy("l_id").toArrow()
     x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, len(NAMES))
     return fit(x, (got["y"].to_numpy() >= 0.5).astype(np.float64))
@@ -172,7 +172,7 @@ def score(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(each, "doc_id long, score double, predicted int")
+    return bounded_batches(texts).mapInArrow(each, "doc_id long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:
@@ -183,4 +183,4 @@ def accepted(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame
         for b in batches:
             yield b.filter(pa.array(trees.scores(matrix(b.column(at).cast(pa.binary()))) >= threshold))
 
-    return docs.mapInArrow(each, docs.schema)
+    return bounded_batches(docs).mapInArrow(each, docs.schema)

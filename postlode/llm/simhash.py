@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlode.llm.common import discard, materialise
+from postlode.llm.common import bounded_batches, discard, materialise
 
 RADIUS = 3
 HALF = 32
@@ -70,7 +70,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             prints = np.fromiter((fingerprint_bytes(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, fp long")
+    texts = bounded_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
+    return texts.mapInArrow(each, "doc_id long, fp long")
 
 
 def _masks(b: int) -> tuple[list[int], list[int]]:
@@ -169,18 +170,19 @@ def _are_stars(edges: DataFrame) -> bool:
     return each.join(roots, each.u == roots.root, "left").filter("n > 1 or root is not null").isEmpty()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``node, component``: for every node of ``edges`` (u, v) the smallest node that it reaches."""
-    now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+def components(edges: DataFrame, most: int | None = None, most_rounds: int = 50) -> DataFrame:
+    """``node, component``: for every node of ``edges`` (u, v) the smallest node that it reaches. ``most``: about how many edges there are at most."""
+    now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links", most)
     for _ in range(most_rounds):
         if _are_stars(now):
             break
+        most = 2 * now.count()
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        before, now = now, materialise(small.filter("u <> v").distinct(), "stars")
+        before, now = now, materialise(small.filter("u <> v").distinct(), "stars", most)
         discard(before)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
@@ -190,10 +192,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 def _grouped(prints: DataFrame, bucket_limit: int, *named: Column) -> DataFrame:
     """``fp`` and the aggregates ``named`` over all rows of the fingerprint's component, one row a fingerprint."""
-    nodes = materialise(prints.select("fp").distinct(), "nodes")
+    rows = prints.count()
+    nodes = materialise(prints.select("fp").distinct(), "nodes", rows)
     found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), bucket_limit))
     placed = nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
-    placed = materialise(placed, "placed")
+    placed = materialise(placed, "placed", rows)
     own = prints.groupBy("fp").agg(*named)
     names = [c for c in own.columns if c != "fp"]
     whole = own.join(placed, "fp").groupBy("component").agg(*[F.min(c).alias(c) for c in names])
