@@ -1,12 +1,17 @@
-"""Near copies by Jaccard similarity of word shingles: all pairs at or above a threshold, by prefix filtering.
+"""Near copies by Jaccard similarity of word shingles: SimHash links first, then all other pairs by prefix filtering.
 
 A text is the set of hashes of its five-word shingles (white space is ASCII, A-Z are
-lower-cased; fewer than five words are one shingle). Equal sets become one node first. Two
-sets of similarity s or more share an element among the first n - ceil(s n) + 1 of each, in
-any order of all elements, so each node is sent to the elements of its prefix only. The order
-puts shingles that are common in a sample of the documents last and is by hash otherwise;
-it bears on cost, never on results. A candidate whose sets' parities by bit of hash differ in
-more bits than similar sets could is no pair; every other is held against both texts.
+lower-cased; fewer than five words are one shingle). Equal sets become one node first. Nodes
+whose SimHash fingerprints (of those shingles) the ball hashing of ``simhash`` brings together are
+held against each other's texts, and those that are similar are joined.
+
+Fingerprints within three bits are few of the pairs of similarity 0.8, so an exact pass finds
+the others. Two sets of similarity s or more share an element among the first
+n - ceil(s n) + 1 of each, in any order of all elements, so each node is sent to the elements of
+its prefix only. The order puts shingles that are common in a sample of the documents last and is by
+hash otherwise; it bears on cost, never on results. A candidate whose sets' parities by bit of
+hash differ in more bits than similar sets could is no pair; every other one whose nodes are
+not in one component yet is held against both texts.
 
 Nodes that share an element are all paired where they are few. Where they are more than
 ``few``, each is first paired with the smallest of them, which joins a large group of near
@@ -27,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlode.llm.common import materialise
-from postlode.llm.simhash import components
+from postlode.llm.common import bounded_batches, discard, materialise
+from postlode.llm.simhash import components, links, majority
 
 WIDTH = 5
 #: The least similarity as a fraction, so that every comparison is of whole numbers.
 SHARE, OF = 4, 5
-#: Bits of a sketch: each is the parity of how many elements fall on it.
-BITS = 2048
+#: Least bits of a sketch; a larger set has a bit an element or more, in powers of two.
+BITS = 256
 #: Rows of numbers that are broadcast at most.
 SMALL = 200_000
 
@@ -55,7 +60,28 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    """Bits, each the parity of how many elements fall on it, at least as many as elements (a power of two).
+
+    The xor of the halves of a sketch is the sketch of half the bits, so sketches of unlike length compare.
+    """
+    bits = max(BITS, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(one: bytes, size: int) -> np.ndarray:
+    """A sketch in ``size`` bytes, its own length or less."""
+    return np.bitwise_xor.reduce(np.frombuffer(one, np.uint8).reshape(-1, size), axis=0)
+
+
+def differing(one: bytes, other: bytes) -> int:
+    """Bits in which two sketches differ: no more than elements that only one of the sets has."""
+    size = min(len(one), len(other))
+    return int(np.bitwise_count(folded(one, size) ^ folded(other, size)).sum())
+
+
+def may_be_similar(n: int, one: bytes, other: bytes) -> bool:
+    """Whether two sets of ``n`` elements together, by their sketches, can be similar."""
+    return (OF + SHARE) * differing(one, other) <= (OF - SHARE) * n
 
 
 def common_shingles(rows: DataFrame, sample: int = 10_000, least: int = 3, most: int = 100_000) -> np.ndarray:
@@ -74,11 +100,11 @@ def common_shingles(rows: DataFrame, sample: int = 10_000, least: int = 3, most:
 
 
 def prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """``row, doc_id, digest, n, sketch, keys``: each text's set by digest, size and sketch, and the elements of its prefix."""
+    """``row, doc_id, digest, n, fp, sketch, keys``: each text's set by digest, size, fingerprint and sketch, and the elements of its prefix."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, sketches, keys = [], [], [], []
+            digests, sizes, prints, sketches, keys = [], [], [], [], []
             for text in b.column(2):
                 s = shingles(text.as_py())
                 n = len(s)
@@ -87,23 +113,25 @@ def prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
                 first = np.concatenate([s[~late], s[late]])[: n - -(-SHARE * n // OF) + 1 if n else 0]
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(n)
+                prints.append(majority(s) if n else 0)
                 sketches.append(sketch(s))
                 keys.append(first.view(np.int64))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-            columns = [b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "digest", "n", "sketch", "keys"])
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            columns = [b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), fp, pa.array(sketches, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "digest", "n", "fp", "sketch", "keys"])
 
     texts = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(each, "row long, doc_id long, digest binary, n long, sketch binary, keys array<long>")
+    return bounded_batches(texts).mapInArrow(each, "row long, doc_id long, digest binary, n long, fp long, sketch binary, keys array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of batches sorted by their first, cut so that no run of equal values is parted."""
     held = None
     for b in batches:
-        new = [c.to_numpy() for c in b.columns]
+        new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if held is not None:
             new = [np.concatenate(c) for c in zip(held, new, strict=True)]
         if not len(new[0]):
@@ -121,10 +149,11 @@ def _near_size(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidates(nodes: DataFrame, few: int = 16) -> DataFrame:
-    """``key, u, v``: pairs of nodes that share a key (key null), and the members u of keys that over ``few`` nodes have (v null)."""
+    """``key, u, v``: pairs of nodes (node, n, keys, component) of unlike components that share a key (key null), and the members u of
+    keys that over ``few`` nodes have (v null)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n in _runs(batches):
+        for key, node, n, part in _runs(batches):
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
             run = np.repeat(np.arange(len(start)), size)
@@ -138,7 +167,7 @@ def candidates(nodes: DataFrame, few: int = 16) -> DataFrame:
             left.append(start[run[far]])
             right.append(far)
             a, b = np.concatenate(left), np.concatenate(right)
-            near = _near_size(n[a], n[b])
+            near = _near_size(n[a], n[b]) & (part[a] != part[b])
             pairs = np.unique(np.stack([node[a[near]], node[b[near]]], axis=1), axis=0)
             big = np.flatnonzero(many)
             kinds = [pa.array([None] * len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
@@ -146,26 +175,32 @@ def candidates(nodes: DataFrame, few: int = 16) -> DataFrame:
             kinds = [pa.array(key[big]), pa.array(node[big]), pa.array([None] * len(big), pa.int64())]
             yield pa.RecordBatch.from_arrays(kinds, names=["key", "u", "v"])
 
-    sent = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    sent = nodes.select(F.explode("keys").alias("key"), "node", "n", "component")
     return sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(each, "key long, u long, v long")
 
 
 def unjoined(members: DataFrame) -> DataFrame:
-    """``u, v``: of each key's members (key, node, n, component) the pairs whose components are unlike."""
+    """``u, v``: of each key's members (key, node, n, component, sketch) the pairs of unlike components whose sketches allow it."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, nodes, sizes, parts in _runs(batches):
+        for keys, nodes, sizes, parts, sketches in _runs(batches):
             edges = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
             for a, b in zip(edges, edges[1:], strict=False):
-                node, n, part = nodes[a:b], sizes[a:b], parts[a:b]
-                labels, count = np.unique(part, return_counts=True)
-                out = part != labels[count.argmax()]
-                for i in np.flatnonzero(out):
-                    pick = (part != part[i]) & _near_size(n, n[i]) & (~out | (np.arange(len(n)) > i))
-                    pair = [pa.array(np.full(np.count_nonzero(pick), node[i])), pa.array(node[pick])]
-                    yield pa.RecordBatch.from_arrays(pair, names=["u", "v"])
-
-    dealt = members.select("key", "node", "n", "component").repartition("key").sortWithinPartitions("key", "node")
+                # by size, so that a member meets only those of near size
+                order = a + np.argsort(sizes[a:b], kind="stable")
+                node, n, part, held = nodes[order], sizes[order], parts[order], sketches[order]
+                end = np.searchsorted(SHARE * n, OF * n, "right")
+                least = np.stack([folded(x, min(map(len, held))) for x in held])  # compared at once; whole sketches follow
+                for i in range(len(n)):
+                    some = np.flatnonzero(part[i + 1 : end[i]] != part[i]) + i + 1
+                    apart = np.bitwise_count(least[some] ^ least[i]).sum(axis=1, dtype=np.int64)
+                    some = some[(OF + SHARE) * apart <= (OF - SHARE) * (n[some] + n[i])]
+                    good = [j for j in some.tolist() if may_be_similar(int(n[i] + n[j]), held[i], held[j])]
+                    if good:
+                        pair = [pa.array(np.full(len(good), node[i])), pa.array(node[good])]
+                        yield pa.RecordBatch.from_arrays(pair, names=["u", "v"])
+
+    dealt = members.select("key", "node", "n", "component", "sketch").repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(each, "u long, v long")
 
 
@@ -179,10 +214,8 @@ def possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, other = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BITS // 8) for i in (3, 4))
-            differ = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
-            fits = differ * (OF + SHARE) <= b.column(2).to_numpy() * (OF - SHARE)
-            yield b.select(["u", "v"]).filter(pa.array(fits))
+            fits = [may_be_similar(*x) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
 
     first = prints.select(F.col("row").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
     second = prints.select(F.col("row").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
@@ -206,29 +239,47 @@ def verified(pairs: DataFrame, rows: DataFrame, prints: DataFrame) -> DataFrame:
     # the smaller node of a pair may be that of a whole group
     found = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     found = materialise(possible(found, prints), "copy-pairs")
-    asked = materialise(found.select(F.col("u").alias("row")).union(found.select("v")).distinct(), "copy-rows")
+    asked = materialise(found.select(F.col("u").alias("row")).union(found.select("v")).distinct(), "copy-rows", prints.count())
     text = F.col("text").cast("binary")
     texts = materialise(rows.join(small(asked), "row", "left_semi").select("row", text.alias("text")), "copy-texts")
     first = texts.select(F.col("row").alias("u"), F.col("text").alias("one"))
     second = texts.select(F.col("row").alias("v"), F.col("text").alias("other"))
     both = found.join(first, "u").join(second, "v").select("u", "v", "one", "other")
-    return materialise(both.mapInArrow(each, "u long, v long"), "copy-links")
+    out = materialise(bounded_batches(both).mapInArrow(each, "u long, v long"), "copy-links")
+    discard(found, asked, texts)
+    return out
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``u, v``: nodes of one fingerprint, and of fingerprints that ball hashing links, each by the least node of its fingerprint."""
+    lead = nodes.groupBy("fp").agg(F.min("node").alias("lead"))
+    same = nodes.join(lead, "fp").select(F.col("node").alias("u"), F.col("lead").alias("v")).filter("u <> v")
+    close = links(lead.select(F.col("fp").alias("node"), "fp"))
+    first = lead.select(F.col("fp").alias("u"), F.col("lead").alias("a"))
+    second = lead.select(F.col("fp").alias("v"), F.col("lead").alias("b"))
+    return same.union(close.join(first, "u").join(second, "v").select("a", "b"))
 
 
 def survivors(rows: DataFrame, prints: DataFrame, few: int = 16) -> DataFrame:
     """``row``: of each component of similar texts the row that stays."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    nodes = prints.groupBy("digest").agg(F.min(order).alias("first"), F.first("n").alias("n"))
-    nodes = materialise(nodes.select(F.col("first.row").alias("node"), "first", "n"), "copy-nodes")
-    keyed = prints.select(F.col("row").alias("node"), "n", "keys").join(nodes.select("node"), "node", "left_semi")
+    nodes = prints.groupBy("digest").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    most = prints.count()
+    nodes = materialise(nodes.select(F.col("first.row").alias("node"), "first", "n", "fp"), "copy-nodes", most)
+    near = verified(fingerprint_pairs(nodes), rows, prints)
+    placed = materialise(components(near, near.count()), "copy-near", most)
+    part = F.coalesce("component", "node").alias("component")
+    known = small(materialise(nodes.join(placed, "node", "left").select("node", part), "copy-parts", most))
+    keyed = prints.select(F.col("row").alias("node"), "n", "keys").join(known, "node")
     met = materialise(candidates(keyed, few), "copy-candidates")
-    links = verified(met.filter("v is not null").select("u", "v"), rows, prints)
-    placed = components(links)
+    near = near.union(verified(met.filter("v is not null").select("u", "v"), rows, prints))
+    placed = components(near, near.count())
     many = met.filter("v is null").select("key", F.col("u").alias("node"))
     if many.head(1):
-        members = many.join(nodes.select("node", "n"), "node").join(placed, "node", "left")
-        members = members.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        placed = components(links.union(verified(unjoined(members), rows, prints)))
+        held = prints.select(F.col("row").alias("node"), "n", "sketch")
+        members = many.join(held, "node").join(placed, "node", "left").select("key", "node", "n", part, "sketch")
+        near = near.union(verified(unjoined(members), rows, prints))
+        placed = components(near, near.count())
     whole = nodes.join(placed, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     return whole.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
 
@@ -240,6 +291,8 @@ def keep_one(docs: DataFrame, few: int = 16) -> DataFrame:
     held = materialise(packed, "copy-docs")
     rows = held.select("row", F.col("whole.doc_id").alias("doc_id"), F.col("whole.text").alias("text"))
     prints = materialise(prefixes(rows, common_shingles(rows)), "copy-prints")
-    kept = materialise(survivors(rows, prints, few), "copy-kept")
-    gone = materialise(prints.select("row").join(kept, "row", "left_anti"), "copy-gone")
+    most = held.count()
+    kept = materialise(survivors(rows, prints, few), "copy-kept", most)
+    gone = materialise(prints.select("row").join(kept, "row", "left_anti"), "copy-gone", most)
+    discard(prints, kept)
     return held.join(small(gone), "row", "left_anti").select(*[F.col("whole").getField(c).alias(c) for c in columns])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from postlode.llm import copies
@@ -70,6 +71,21 @@ def test_keep_one_matches_brute_force(spark, seed, few):
     assert kept == sorted(brute_kept(rows)) and len(kept) < len(rows) - 20
 
 
+def test_sketches_never_hide_similar_sets():
+    rng = np.random.default_rng(0)
+    for n in (1, 3, 40, 300, 5000):
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for gone, new in ((0, 0), (n // 10, n // 10), (n // 5, 0), (0, n // 4), (n // 2, n // 2), (n, n)):
+            b = np.concatenate([a[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)])
+            one, other = copies.sketch(a), copies.sketch(b)
+            apart = len(np.setxor1d(a, b))
+            assert copies.differing(one, other) == copies.differing(other, one) <= apart
+            if copies.similar(np.sort(a), np.sort(b)):
+                assert copies.may_be_similar(len(a) + len(b), one, other)
+            elif n >= 300 and gone >= n // 2:
+                assert not copies.may_be_similar(len(a) + len(b), one, other)
+
+
 def test_stage_takes_near_copies_beyond_three_bits(spark, tmp_path):
     rng = random.Random(7)
     words = [f"w{rng.randrange(900)}" for _ in range(60)]

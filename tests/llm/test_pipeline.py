@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlode.llm import mixing, quality
+from tests.llm.test_copies import brute_kept
 from tests.llm.test_packing import slow_ids
 from tests.llm.test_secrets import brute as spans_of
-from tests.llm.test_simhash import brute_components, brute_print
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -22,6 +22,7 @@ def make(spark, folder):
         texts.append(" ".join(words) + "." if i % 4 else " ".join(w + "###" for w in words))
     texts += [texts[1]] * 5 + [texts[2].replace("e", "E")] + [texts[3] + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end']
     texts += [None, "", "password: hunter2hunter2 " + texts[5]]
+    texts += [" ".join(word() for _ in range(40)) + ' api_key="AKe93jdK3jdkW02lfmQz83kd" and so on.']
     rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
     labels = [(i, int(i % 4 > 0), 0) for i in range(160)]
@@ -45,8 +46,7 @@ def test_stages_and_run_match_brute_force(spark, tmp_path):
         out[k] = [tuple(r) for r in docs.collect()]
     assert sorted(out[0], key=str) == sorted(expect, key=str)
 
-    parts = brute_components({r[0]: brute_print(r[1]) for r in expect})
-    expect = [r for r in expect if parts[r[0]] == r[0]]
+    expect = [expect[i] for i in brute_kept([(r[0], r[1]) for r in expect])]
     assert len(expect) < len(out[0]) and sorted(out[1], key=str) == sorted(expect, key=str)
 
     masked = []
@@ -67,7 +67,7 @@ def test_stages_and_run_match_brute_force(spark, tmp_path):
         assert abs(sum(len(r[1].split()) for r in out[3] if r[3] == s) - want) <= 1
     original = {r[0]: r for r in masked}
     for r in out[3]:
-        assert original[r[0]][1].split()[: len(r[1].split())] == r[1].split()
+        assert r[1] in original[r[0]][1] and r[2:4] == original[r[0]][2:4] and r[4] == len(r[1])
     assert max(sum(r[0] == i for r in out[3]) for i in size) == 2  # the third source is taken 1.5 times
 
     assert sum(r[3] for r in out[4]) == sum(len(slow_ids(r[1])) + 1 for r in out[3])
