@@ -58,7 +58,7 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return uri
 
 
-def materialise(df: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, kind: str, rows: int | None = None, files: dict | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage so that lost executors cost only the tasks that they ran, and
@@ -67,12 +67,13 @@ def materialise(df: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
     ``rows``: about how many narrow rows there are at most; they are written in as few files as a million a
     file makes, since each file costs a task, and where the store is a local file system without native code also
     several processes that the executor forks to set permissions.
+    ``files``: options of the Parquet writer.
     """
     spark = df.sparkSession
     uri = new_folder(spark, kind)
     if rows is not None:
         df = df.coalesce(1 + rows // 1_000_000)
-    df.write.parquet(uri)
+    df.write.options(**files or {}).parquet(uri)
     out = spark.read.schema(df.schema).parquet(uri)
     out.stored_at = uri
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm import ann, langid, lm, mixing, packing, quality, secrets, sharding, simhash, topk
+from postlode.llm import ann, clusters, langid, lm, mixing, packing, quality, secrets, sharding, simhash, topk
 from postlode.llm.common import crc_bucket, rows_of
 
 
@@ -77,6 +77,11 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty centroids of the vectors after five rounds, and each vector's own."""
+    return clusters.cluster(rows_of(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256.0, salt="2:")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
+        "op11_centroid_clusters": op11_centroid_clusters,
     }
 
 
@@ -111,5 +117,35 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd rounds written out one after another over (vector, centroid) rows."""
+    nearest = """a{r} AS MATERIALIZED (
+    SELECT i, arg_min(n, d * 64 + n) AS n, min(d) AS d FROM (
+        SELECT x.i, c.n, CAST(list_sum(list_transform(list_zip(x.v, c.v), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM x, c{r} c) GROUP BY i
+)"""
+    moved = """c{s} AS MATERIALIZED (
+    WITH e AS (SELECT n, unnest(v) AS y, unnest(range(64)) AS j FROM a{r} JOIN x USING (i)),
+    m AS (SELECT n, j, CAST(sum(y) AS BIGINT) AS t, count(*) AS q FROM e GROUP BY n, j),
+    f AS (SELECT n, list((t - ((t % q) + q) % q) // q ORDER BY j) AS v FROM m GROUP BY n)
+    SELECT c.n, coalesce(f.v, c.v) AS v FROM c{r} c LEFT JOIN f USING (n)
+)"""
+    steps = [step.format(r=r, s=r + 1) for r in range(rounds) for step in (nearest, moved)] + [nearest.format(r=rounds)]
+    return f"""
+WITH x AS MATERIALIZED (
+    SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, y -> CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, y -> y IS NULL OR NOT isfinite(y))) = 0
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h, v) - 1 AS n, v FROM (
+        SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, v FROM x WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k})
+), {", ".join(steps)}
+SELECT x.vec_id, CAST(n AS INTEGER) AS cluster, a.d AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN x USING (i) JOIN c{rounds} c USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": OP8_SQL}
+    return {"op8_exact_top_k": OP8_SQL, "op11_centroid_clusters": _op11_sql()}
