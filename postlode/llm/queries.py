@@ -121,7 +121,7 @@ def _op11_sql(k: int = 40, rounds: int = 5) -> str:
     """Lloyd rounds written out one after another over (vector, centroid) rows."""
     nearest = """a{r} AS MATERIALIZED (
     SELECT i, arg_min(n, d * 64 + n) AS n, min(d) AS d FROM (
-        SELECT x.i, c.n, CAST(list_sum(list_transform(list_zip(x.v, c.v), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        SELECT x.i, c.n, CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
         FROM x, c{r} c) GROUP BY i
 )"""
     moved = """c{s} AS MATERIALIZED (
@@ -133,9 +133,9 @@ def _op11_sql(k: int = 40, rounds: int = 5) -> str:
     steps = [step.format(r=r, s=r + 1) for r in range(rounds) for step in (nearest, moved)] + [nearest.format(r=rounds)]
     return f"""
 WITH x AS MATERIALIZED (
-    SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, y -> CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS v
+    SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS v
     FROM embeddings
-    WHERE len(embedding) = 64 AND len(list_filter(embedding, y -> y IS NULL OR NOT isfinite(y))) = 0
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
 ), c0 AS MATERIALIZED (
     SELECT row_number() OVER (ORDER BY h, v) - 1 AS n, v FROM (
         SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, v FROM x WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k})
