@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm import ann, clusters, langid, lm, mixing, packing, quality, secrets, sharding, simhash, topk
+from postlode.llm import ann, clusters, langid, lm, mixing, packing, quality, resampling, secrets, sharding, simhash, topk
 from postlode.llm.common import crc_bucket, rows_of
 
 
@@ -82,6 +82,12 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(rows_of(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256.0, salt="2:")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words and more, drawn towards the benchmark's words and word pairs."""
+    drawn = resampling.resample(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
         "op11_centroid_clusters": op11_centroid_clusters,
+        "op12_importance_resampling": op12_importance_resampling,
     }
 
 
@@ -147,5 +154,53 @@ FROM a{rounds} a JOIN x USING (i) JOIN c{rounds} c USING (n)
 """
 
 
+#: CRC-32 bit by bit and byte by byte over the different features; every other step is plain grouping.
+OP12_SQL = r"""
+WITH steps AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS step
+), texts AS MATERIALIZED (
+    SELECT 'd' AS side, row_number() OVER () AS i, doc_id, text FROM documents
+    UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark
+), words AS MATERIALIZED (
+    SELECT side, i, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+    FROM texts
+), held AS MATERIALIZED (
+    SELECT side, i, f, count(*) AS n FROM (
+        SELECT side, i, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM words)
+    GROUP BY side, i, f
+), hexed AS (
+    SELECT f, hex(f) AS x FROM (SELECT DISTINCT f FROM held)
+), bytes AS (
+    SELECT f, list_transform(range(len(x) // 2), lambda k:
+        16 * (instr('0123456789ABCDEF', x[2 * k + 1]) - 1) + instr('0123456789ABCDEF', x[2 * k + 2]) - 1) AS b
+    FROM hexed
+), bucketed AS MATERIALIZED (
+    SELECT f, xor(4294967295, list_reduce(b, lambda c, y: xor(c // 256, step[xor(c % 256, y) + 1]), 4294967295)) % 10000 AS bucket
+    FROM bytes, steps
+), sums AS MATERIALIZED (
+    SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 't') AS t FROM held JOIN bucketed USING (f) GROUP BY bucket
+), gains AS MATERIALIZED (
+    SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+        / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce(sum(t) OVER (), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain
+    FROM sums
+), weighed AS (
+    SELECT i, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS g
+    FROM held JOIN bucketed USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY i
+), scored AS MATERIALIZED (
+    SELECT i, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0) AS weight,
+           coalesce((g - ((g % n) + n) % n) // n, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM (SELECT *, CAST('0x' || substr(sha256('7:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM words WHERE side = 'd')
+    LEFT JOIN weighed USING (i)
+), able AS (
+    SELECT i, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank, count(*) OVER () AS n FROM scored
+    WHERE n_words >= 20 AND doc_id IS NOT NULL
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CAST(CASE WHEN rank <= 25 * n // 100 THEN rank END AS BIGINT) AS rank
+FROM scored LEFT JOIN able USING (i)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": OP8_SQL, "op11_centroid_clusters": _op11_sql()}
+    return {"op8_exact_top_k": OP8_SQL, "op11_centroid_clusters": _op11_sql(), "op12_importance_resampling": OP12_SQL}
