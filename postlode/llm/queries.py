@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm import ann, clusters, langid, lm, mixing, packing, quality, resampling, secrets, sharding, simhash, topk
+from postlode.llm import ann, clusters, langid, lm, mixing, packing, quality, resampling, secrets, sharding, simhash, topk, toxicity
 from postlode.llm.common import crc_bucket, rows_of
 
 
@@ -88,6 +88,14 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by voters and labels that are not held out."""
+    docs = rows_of(spark, sf_dir, "documents")
+    held = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.learn(docs, rows_of(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -102,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
         "op11_centroid_clusters": op11_centroid_clusters,
         "op12_importance_resampling": op12_importance_resampling,
+        "op13_toxicity": op13_toxicity,
     }
 
 
