@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from postlode import lexicon as lx
 from postlode.functions import classify, pay, results, text
-from postlode.operators import dedup, joins, order, reports
+from postlode.operators import dedup, joins, order, reports, similar
 from postlode.operators.enrich import enrich
 from postlode.operators.queries import search_queries
+from postlode.plans import likeness
 from postlode.plans import oracle as o
 from postlode.plans import pipeline
-from postlode.plans.views import TEMPLATES, documents, postings, raw_postings
+from postlode.plans.views import TEMPLATES, documents, postings, raw_postings, titled
 from postlode.schema import SCORES, text_blob
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,13 +369,27 @@ def dedup_exact(spark, d):
     return dedup.drop_repeats(dedup.prepare(postings(spark, d))).select(F.col("_seq").alias("seq"), "deduplication_key")
 
 
-@query()
+@query(likeness.collapsed(f"{o.RAW}, {o.prepared('raw')}, {o.GREEDY}, {likeness.held('unique_rows')}"))
 def dedup_fuzzy(spark, d):
     """Postings after merging similar ones."""
     kept = dedup.deduplicate(postings(spark, d))
     return kept.select(F.col("_seq").alias("seq"), "job_title", "company_name", "salary")
 
 
+@query(likeness.SIMILAR)
+def similar_titles(spark, d):
+    """Pairs of similar title cores inside a block, with their ratios."""
+    rows = dedup.drop_repeats(dedup.prepare(titled(spark, d)))
+    return similar.similar_pairs(dedup.cores(rows).groupBy("grp", "text").agg(F.min("id").alias("id")), 0.86)
+
+
+@query(likeness.collapsed(likeness.TITLED_ROWS))
+def collapse_titles(spark, d):
+    """Postings with whole documents for descriptions, similar ones merged in order."""
+    kept = dedup.deduplicate(titled(spark, d))
+    return kept.select(F.col("_seq").alias("seq"), "job_title", "company_name", "salary")
+
+
 # ---- state ----
 
 

@@ -72,3 +72,17 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the posting schema with ``_seq``."""
     return conform(raw_postings(spark, sf_dir), "_seq", now="2025-01-01T00:00:00+00:00")
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings made of whole documents: the first words as title, the source as company (each fifth unknown)."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = documents(spark, sf_dir).select(
+        i.alias("_seq"),
+        F.array_join(F.slice(words, F.lit(1), (3 + i % 3).cast("int")), " ").alias("job_title"),
+        F.when(i % 5 == 0, "Unknown").otherwise(F.col("source")).alias("company_name"),
+        F.when(i % 4 == 0, F.concat(i.cast("string"), F.lit(" EUR"))).otherwise("").alias("salary"),
+        text.alias("job_description"),
+    )
+    return conform(rows, "_seq", now="2025-01-01T00:00:00+00:00")
