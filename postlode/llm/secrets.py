@@ -58,25 +58,43 @@ def _quoted(text: str) -> str:
 
 _SPANS = "array<struct<s:int,k:int,e:int>>"
 
+#: Items of an array that are folded one after another; block results are folded again.
+_RUN = 64
 
-def _located(pattern: str, group: int, kind: int, keep: str, extra: str = "") -> str:
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` stands for ``value`` (computed once)."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _before(numbers: str, fold: str) -> str:
+    """SQL: for each of the ints ``numbers`` (none negative) the fold (of ``x`` and ``y``) of those before it, from 0.
+
+    Growing an array copies it, so runs of ``_RUN`` are folded by themselves and shifted by the fold of
+    the runs before: n items cost n * _RUN + (n / _RUN)**2 copies of an int.
+    """
+    grown = lambda items, start: f"""aggregate({items}, named_struct('x', {start}, 'out', cast(array() as array<int>)),
+        (acc, y) -> named_struct('x', {fold.replace("x", "acc.x", 1)}, 'out', concat(acc.out, array(acc.x))), acc -> acc.out)"""
+    runs = f"transform(sequence(0, (size(numbers) - 1) div {_RUN}), r -> slice(numbers, r * {_RUN} + 1, {_RUN}))"
+    whole = f"transform(runs, r -> aggregate(r, 0, (x, y) -> {fold}))"
+    shifted = f"flatten(zip_with(runs, {grown(whole, '0')}, (r, first) -> {grown('r', 'first')}))"
+    return _let("numbers", numbers, f"if(size(numbers) = 0, cast(array() as array<int>), {_let('runs', runs, shifted)})")
+
+
+def _located(pattern: str, group: int, kind: int, keep: str) -> str:
     """SQL: spans (start, kind, end) of the pattern's matches in ``text`` for which ``keep`` holds.
 
     Matches and the pieces between them come from the same left-to-right search, so their
-    lengths add up to the positions. ``keep`` sees the match's ``group`` as ``y.g``.
+    lengths add up to the positions. ``keep`` sees the match as ``z['1']`` and its ``group`` as ``z['2']``.
     """
     p = _quoted(pattern)
     whole = f"regexp_extract_all(text, {p}, 0)"
     part = whole if group == 0 else f"regexp_extract_all(text, {p}, {group})"
-    return f"""aggregate(
-        arrays_zip(split(text, {p}, -1), {whole}, {part}),
-        named_struct('at', 0, 'out', cast(array() as {_SPANS})),
-        (acc, z) -> named_struct(
-            'at', acc.at + length(z['0']) + coalesce(length(z['1']), 0),
-            'out', if(z['1'] is null, acc.out, concat(acc.out, filter(
-                array(named_struct('s', acc.at + length(z['0']), 'k', {kind}, 'e', acc.at + length(z['0']) + length(z['1']))),
-                one -> {keep})))),
-        acc -> acc.out)"""
+    starts = _before("transform(found, z -> length(z['0']) + coalesce(length(z['1']), 0))", "x + y")
+    placed = f"zip_with(found, {starts}, (z, at) -> named_struct('at', at + length(z['0']), 'z', z))"
+    kept = f"filter({placed}, f -> {_let('z', 'f.z', f"z['1'] is not null and {keep}")})"
+    spans = f"transform({kept}, f -> named_struct('s', f.at, 'k', {kind}, 'e', f.at + length(f.z['1'])))"
+    return _let("found", f"arrays_zip(split(text, {p}, -1), {whole}, {part})", spans)
 
 
 #: Characters of candidates are the codes 43 ("+") to 122 ("z"); twelve counts of five bits fill a long.
@@ -147,10 +165,33 @@ def with_spans(docs: DataFrame, rule: EntropyRule | None = None) -> DataFrame:
         "doc_id",
         "text",
         F.expr("array_sort(concat(_a, _c, _h))").alias("base"),
-        F.expr(
-            "array_sort(concat(_a, _c, _h, filter(_e, x -> not exists(concat(_a, _c, _h), b -> b.s <= x.s and x.e <= b.e))))"
-        ).alias("found"),
+        F.expr(_uncovered("array_sort(concat(_a, _c, _h, _e))")).alias("found"),
+    )
+
+
+def _uncovered(spans: str) -> str:
+    """SQL: sorted ``spans`` without those of entropy that lie in one of a pattern: one that ends as far begins before it."""
+    reach = _before("transform(spans, x -> if(x.k < 3, x.e, 0))", "greatest(x, y)")
+    kept = f"filter(zip_with(spans, {reach}, (x, far) -> named_struct('x', x, 'far', far)), p -> p.x.k < 3 or p.x.e > p.far)"
+    return _let("spans", spans, f"transform({kept}, p -> p.x)")
+
+
+#: Characters of the pieces that a text is cut into, in two steps, as a place in a text is found from its start.
+_LARGE, _PIECE = 1 << 18, 1 << 11
+
+
+def _masked(mask: str) -> str:
+    """SQL: ``text`` with its spans ``found`` masked; those that overlap become one."""
+    cut = lambda t, n: f"transform(sequence(0, (length({t}) - 1) div {n}), i -> substr({t}, i * {n} + 1, {n}))"
+    pieces = f"flatten(transform({cut('text', _LARGE)}, large -> {cut('large', _PIECE)}))"
+    part = lambda a, b: (
+        f"if({b} <= {a}, '', substr(array_join(slice(pieces, {a} div {_PIECE} + 1, ({b} - 1) div {_PIECE} - {a} div {_PIECE} + 1), ''), {a} % {_PIECE} + 1, {b} - {a}))"
     )
+    reach = _before("transform(found, x -> x.e)", "greatest(x, y)")
+    heads = f"filter(zip_with(found, {reach}, (x, far) -> named_struct('s', x.s, 'far', far)), p -> p.s >= p.far)"
+    clear = f"array_join(transform({heads}, p -> concat({part('p.far', 'p.s')}, {_quoted(mask)})), '')"
+    rest = _let("far", "array_max(transform(found, x -> x.e))", part("far", "length(text)"))
+    return _let("pieces", pieces, f"concat({clear}, {rest})")
 
 
 def _listed(spans_column: str) -> str:
@@ -181,15 +222,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rule: EntropyRule | None = N
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc_id"), "text")
     found = with_spans(packed, rule)
-    cut = f"""aggregate(found,
-        named_struct('at', 0, 'out', ''),
-        (acc, x) -> if(x.s < acc.at,
-            named_struct('at', greatest(acc.at, x.e), 'out', acc.out),
-            named_struct('at', x.e, 'out', concat(acc.out, substr(text, acc.at + 1, x.s - acc.at), {_quoted(mask)}))),
-        acc -> concat(acc.out, substr(text, acc.at + 1)))"""
     clean = found.select(
         F.col("doc_id").alias("row"),
-        F.when(F.size("found") > 0, F.expr(cut)).alias("masked"),
+        F.when(F.size("found") > 0, F.expr(_masked(mask))).alias("masked"),
     )
     out = []
     for c in columns:

@@ -81,6 +81,23 @@ def test_candidates_of_ten_megabytes(spark):
     assert [r.n for r in secrets.redact(docs).orderBy("doc_id").selectExpr("length(text) as n").collect()] == [n, 8, 8]
 
 
+def test_work_is_linear_in_findings(spark):
+    """Ten megabytes of hex lines: a finding each; and as many of entropy, assignments and names between."""
+    import time
+
+    lines = lambda n: f"case doc_id when 0 then repeat('{'0123456789abcdef' * 2}\\n', {n}) else repeat('key AKe93jdK3jdkW02lfmQz token=abcdefgh é ', {n // 2}) end as text"
+    table = lambda n: spark.range(2).withColumnRenamed("id", "doc_id").selectExpr("doc_id", lines(n))
+    secrets.scan(table(10)).collect()
+    start = time.perf_counter()
+    n = 10_000_000 // 33
+    rows = secrets.scan(table(n)).orderBy("doc_id").collect()
+    assert [(r.n_assign, r.n_hex, r.n_entropy) for r in rows] == [(0, n, 0), (n // 2, 0, n // 2)]
+    clean = secrets.redact(table(n)).orderBy("doc_id").selectExpr("length(text) as n", "substr(text, -30) as e").collect()
+    assert [(r.n, r.e) for r in clean] == [(9 * n, "\n".join(["[SECRET]"] * 4)[-29:] + "\n"), (n // 2 * 24, ("key [SECRET] [SECRET] é " * 2)[-30:])]
+    # both texts in one task, twice
+    assert time.perf_counter() - start < 240
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scan(docs).collect() == []
