@@ -1,6 +1,8 @@
 """Language identification of words by a linear-chain conditional random field.
 
-A text is the chain of its words. A word's features are its affixes (prefixes and suffixes of
+A text is the chain of its words; what stands unspaced over more than ``WIDEST`` characters is cut
+into elements of so many, in fitting as in prediction, so that texts without white space are chains
+too and no element is of unbounded size. A word's features are its affixes (prefixes and suffixes of
 up to four characters), all its inner two- and three-grams, its length class, and its place in a
 lexicon of frequent training words; they are hashed into a weight table. Transitions between
 labels are learned with the weights, by gradient ascent on the exact log-likelihood, from
@@ -42,7 +44,16 @@ SLOTS = 1 << 15
 WINDOW = 32
 WORDS_KEPT = 200_000
 AT_ONCE = 20_000
-LETTERS_AT_ONCE = 1_000_000
+#: Characters of a chain's element at most.
+WIDEST = 40
+
+
+def elements(text: str) -> list[str]:
+    """The text's words, longer ones in pieces of ``WIDEST`` characters."""
+    words = text.split()
+    if len(max(words, key=len, default="")) <= WIDEST:
+        return words
+    return [w[i : i + WIDEST] for w in words for i in range(0, len(w), WIDEST)]
 
 
 def letters(token: str) -> str:
@@ -101,10 +112,8 @@ class Field:
         if not words or not self.labels:
             return np.zeros((len(words), len(self.labels)))
         parts, i = [], 0
-        ends = np.cumsum([len(w) for w in words])
         while i < len(words):
-            full = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LETTERS_AT_ONCE, "right"))
-            some = words[i : min(i + AT_ONCE, max(full, i + 1))]
+            some = words[i : i + AT_ONCE]
             i += len(some)
             flat, owner = features(some, self.lexicon)
             parts.append(np.stack([np.bincount(owner, column[flat], len(some)) for column in self.weights.T], axis=1))
@@ -250,13 +259,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _whole_words(passage: str, first: bool, last: bool) -> list[str]:
-    """A passage's words without those that its edges cut."""
+    """A passage's elements without the words that its edges cut; of longer unspaced runs the parts that lie in it stay."""
     words = passage.split()
-    if not first and words and not passage[0].isspace():
+    if not first and words and not passage[0].isspace() and len(words[0]) <= WIDEST:
         words = words[1:]
-    if not last and words and not passage[-1].isspace():
+    if not last and words and not passage[-1].isspace() and len(words[-1]) <= WIDEST:
         words = words[:-1]
-    return words
+    return elements(" ".join(words))
 
 
 def learn(docs: DataFrame, usable: Column, rows: int = 600, span: int = 2_000, most_languages: int = 200, **options) -> Field:
@@ -328,7 +337,7 @@ def predict(docs: DataFrame, field: Field, at_once: int = 300_000) -> DataFrame:
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids.append(i)
-                texts.append((text.as_py() or "").split())
+                texts.append(elements(text.as_py() or ""))
                 n += len(texts[-1])
                 if n >= at_once:
                     yield flush(ids, texts)

@@ -114,5 +114,33 @@ def test_all_letters_of_a_long_word_count(spark, monkeypatch):
     assert {r.doc_id: r.lang_pred for r in out} == {1: "bb", 2: "cc", 3: "aa"}
     words = ["the", "x" * 90, *text(rng, "bb", 50).split()]
     whole = field.emissions(words)
-    monkeypatch.setattr(langid, "LETTERS_AT_ONCE", 40)
+    monkeypatch.setattr(langid, "AT_ONCE", 7)
     assert np.allclose(field.emissions(words), whole)
+
+
+def test_texts_without_white_space_teach_and_are_told(spark):
+    """A language whose texts are of one unspaced run, longer than a passage; some are joined by marks instead."""
+    rng = random.Random(6)
+    signs = [chr(0x4E00 + 7 * i) for i in range(300)]
+    spaced = lambda i: (i, text(rng, "aa", 900), "en")
+    unspaced = lambda i: (i, ("。" if i % 3 else "").join("".join(rng.choice(signs) for _ in range(60)) for _ in range(100)), "zh")
+    joined = lambda i: (i, "_".join(text(rng, "bb", 900).split()), "de")
+    docs = spark.createDataFrame([(spaced, unspaced, joined)[i % 3](i) for i in range(240)], "doc_id long, text string, lang string")
+    assert docs.filter("lang <> 'en'").selectExpr("min(length(text))").first()[0] > 4_000
+    field = langid.learn(docs, ~langid.held_out(F.col("doc_id")), steps=120)
+    assert field.labels == ("de", "en", "zh")
+    out = langid.predict(docs, field).join(docs, "doc_id").filter(langid.held_out(F.col("doc_id"))).collect()
+    assert len(out) > 50 and all(r.lang_pred == r.lang for r in out)
+
+
+def test_elements_keep_every_letter():
+    for t in ("", " ", "a b", "x" * 39, "x" * 40 + " y", "ab" * 1_000 + " c " + "d" * 41):
+        got = langid.elements(t)
+        assert "".join(got) == "".join(t.split()) and max(map(len, got), default=0) <= langid.WIDEST
+
+
+def test_one_word_of_ten_megabytes(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    field = langid.learn(docs, F.lit(True), steps=60)
+    long = spark.range(1).selectExpr("id as doc_id", "repeat('schung', 1700000) as text", "cast(null as string) as lang")
+    assert [r.lang_pred for r in langid.predict(long, field).collect()] == ["bb"]
