@@ -54,7 +54,8 @@ PATTERNS = {
     "drawn out": rb"([A-Za-z])\1{3}",
     "shouting": rb"(?:\b[A-Z]{3,}\b[^A-Za-z]*){4}",
 }
-_PATTERNS = [re.compile(p) for p in PATTERNS.values()]
+_PATTERNS = {name: re.compile(p) for name, p in PATTERNS.items()}
+_UPPER, _LETTER, _MARK = (np.isin(np.arange(256), list(x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"*@#$%!"))
 _WORD = {*range(65, 91), *range(97, 123), *range(128, 256)}
 #: Letters A-Z in lower case; every byte that no word holds becomes a space.
 LOWER = bytes(b + 32 if 65 <= b < 91 else b if b in _WORD else 32 for b in range(256))
@@ -76,6 +77,21 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
         at = cut
 
 
+def matching(text: bytes) -> list[bool]:
+    """Which patterns a text matches; those that need a rare run of bytes are searched for only where there is one."""
+    a = np.frombuffer(text, np.uint8)
+    up, mark = _UPPER[a], _MARK[a]
+    same = a[1:] == a[:-1]
+    may = {
+        "address": b"ou" in text,
+        "masked": bool((mark[1:] & mark[:-1]).any()),
+        "exclamation": b"!!!" in text,
+        "drawn out": bool((same[2:] & same[1:-1] & same[:-2] & _LETTER[a[3:]]).any()),
+        "shouting": bool((up[2:] & up[1:-1] & up[:-2]).any()),
+    }
+    return [may.get(name, True) and p.search(text) is not None for name, p in _PATTERNS.items()]
+
+
 def terms(words: set[bytes]) -> set[bytes]:
     """The words and, marked, their proper beginnings."""
     out = set(words)
@@ -119,27 +135,31 @@ class Reader:
 
     def __init__(self, voters: Voters):
         self.voters, self.seen, self.hits = voters, set(), {}
-        self.lengths = sorted({len(t) - 1 for t in voters.of if t[:1] == PREFIX})
+        starts = [t[1:] for t in voters.of if t[:1] == PREFIX]
+        self.lengths = sorted(set(map(len, starts)))
+        self.heads = {t[: STARTS[0]] for t in starts}
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.seen) > REMEMBERED:
             self.seen, self.hits = set(), {}
         of = self.voters.of
-        for w in words:
+        heads, head = self.heads, STARTS[0]
+        for w in [w for w in words if w[:head] in heads or w in of]:
             found = [*of.get(w, ()), *(k for n in self.lengths if len(w) > n for k in of.get(PREFIX + w[:n], ()))]
             if found:
                 self.hits[w] = tuple(dict.fromkeys(found))
         self.seen |= words
 
-    def read(self, text: bytes | None) -> tuple[int, list[float], np.ndarray]:
-        """Votes as bits, share of hits of each lexicon, and numbers of the hashed words."""
+    def read(self, text: bytes | None, numbers: bool = True) -> tuple[int, list[float], np.ndarray]:
+        """Votes as bits, share of hits of each lexicon, and (if asked for) numbers of the hashed words."""
         text, size = text or b"", 0
         count, hashed = [0] * self.voters.lexicons, np.zeros(HASHED, bool)
         for words in pieces(text):
             size += len(words)
             different = set(words)
             self._learn(different - self.seen)
-            hashed[np.fromiter((crc32(w[:5]) % HASHED for w in different), np.int64, len(different))] = True
+            if numbers:
+                hashed[np.fromiter(map(crc32, {w[:5] for w in different}), np.int64) % HASHED] = True
             hit = different & self.hits.keys()
             if hit:
                 for w, n in Counter(w for w in words if w in hit).items():
@@ -149,8 +169,8 @@ class Reader:
         for k, n in enumerate(count):
             # one in a hundred words, and more than one, is many
             votes |= (n > 0) << 2 * k | (n > 1 and 100 * n >= size) << 2 * k + 1
-        for k, p in enumerate(_PATTERNS):
-            votes |= (p.search(text) is not None) << 2 * self.voters.lexicons + k
+        for k, found in enumerate(matching(text)):
+            votes |= found << 2 * self.voters.lexicons + k
         return votes, [100 * n / max(1, size) for n in count], np.flatnonzero(hashed).astype(np.uint16)
 
 
@@ -324,7 +344,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 10_0
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = voters.reader()
         for b in batches:
-            votes = [reader.read(t.as_py())[0] for t in b.column(1)]
+            votes = [reader.read(t.as_py(), numbers=False)[0] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.int64())], names=["l_id", "votes"])
 
     # rows without id match nothing; they are spread, or one task would get them all

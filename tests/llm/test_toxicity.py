@@ -93,6 +93,16 @@ def test_votes_do_not_depend_on_pieces(monkeypatch):
     assert whole[0] >> 2 * voters.lexicons == 0b001101  # address, masked, exclamation
 
 
+def test_gates_do_not_change_what_matches():
+    import re
+
+    rng = random.Random(9)
+    parts = ["You are a", "you such", "shut up", "f**k", "a!!", "!!!", "sooooo", "AAAA", "BIG BAD LOUD ROAR", "ABC", "x", "é", "\n", "#$", "ou"]
+    for n in (0, 1, 2, 3, 4, *range(300)):
+        t = " ".join(rng.choice(parts) for _ in range(n % 9)).encode()[: n + 1 if n < 9 else None]
+        assert toxicity.matching(t) == [re.search(p, t) is not None for p in toxicity.PATTERNS.values()], t
+
+
 def test_label_model_finds_accuracies_and_repeated_voters(spark):
     """Votes from known rates; voters 3 and 4 copy voter 2. Plain sums over rows give the same model."""
     rng = np.random.default_rng(7)
