@@ -4,8 +4,8 @@ A term of up to three letters or digits must stand alone (no ASCII letter or dig
 it); any other matches anywhere. Long terms become byte searches, which cost far less than
 one alternation; a term that holds another of its list is left out, since the other decides.
 
-Where many lists are looked for in one text, an ``Index`` gives each term a bit: each is
-searched once, all into a few long columns, and every list is a test of bits.
+Where many lists are looked for in one text, an ``Index`` gives each term a bit: one pass
+finds them all, into a few long columns, and every list is a test of bits.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,12 +34,35 @@ def java_literal(text: str) -> str:
     return re.sub(r"([\\.\[\]{}()*+\-?^$|&#])", r"\\\1", text)
 
 
+def trie(terms: Iterable[str], after: str = "", together: int = 6) -> str:
+    """A pattern for the longest of the terms at a place, each followed by ``after``.
+
+    Terms with a common beginning share it, and many branches are grouped behind the class of
+    their characters, so that a place costs a few tests however many terms there are.
+    """
+    terms = sorted(set(terms))
+    ends = terms[:1] == [""]
+    by_first = {c: [t[1:] for t in some] for c, some in groupby(terms[ends:], lambda t: t[0])}
+    branches = []
+    for c, rest in by_first.items():
+        head = c
+        while len(rest) > 1 and rest[0] and len({t[0] for t in rest}) == 1:
+            head, rest = head + rest[0][0], [t[1:] for t in rest]
+        branches.append((c, java_literal(head) + (java_literal(rest[0]) + after if len(rest) == 1 else trie(rest, after, together))))
+    while len(branches) > together:
+        groups = [branches[i : i + together] for i in range(0, len(branches), together)]
+        joined = lambda g: "".join(c for c, _ in g)
+        branches = [(joined(g), f"(?=[{''.join(map(java_literal, joined(g)))}])(?:{'|'.join(p for _, p in g)})") for g in groups]
+    inner = "|".join(p for _, p in branches)
+    return f"(?:{inner}|{after})" if ends else f"(?:{inner})"
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(or_, tests) if tests else F.lit(False)
 
 
 class Index:
-    """Bits of terms; filled by the tests that ask for them, and then searched by ``masks``."""
+    """Bits of terms; filled by the tests that ask for them, and then found by ``search``."""
 
     #: Bits of a mask: a long without its sign.
     WIDTH = 63
@@ -54,21 +78,25 @@ class Index:
     def count(self) -> int:
         return -(-len(self.bits) // self.WIDTH)
 
-    def masks(self, prefix: str, low: str, words: str) -> dict[str, Column]:
-        """The masks of a text: ``low`` is its column in lower case with a space at either end, ``words`` that of ``word_runs``."""
-        quote = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-        def search(term: str, alone_: bool) -> str:
-            if not alone_:
-                return f"contains({low}, {quote(term)})"
-            if term.isascii():
-                return f"contains({words}, {quote(f' {term} ')})"
-            return f"contains({low}, {quote(term)}) and {low} rlike {quote(alone([term]))}"
+    def search(self, df: DataFrame, prefix: str, low: str) -> tuple[DataFrame, list[str]]:
+        """``df`` with the masks of a text, whose names follow; ``low`` is its column in lower case with a space at either end.
 
-        parts: dict[int, list[str]] = {}
-        for (term, alone_), n in self.bits.items():
-            parts.setdefault(n // self.WIDTH, []).append(f"if({search(term, alone_)}, {1 << n % self.WIDTH}L, 0L)")
-        return {f"{prefix}{i}": F.expr(" | ".join(some)) for i, some in parts.items()}
+        At every place the longest term is found; the terms that it begins with are there too.
+        """
+        quote = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        found, masks = [], []
+        for alone_, before, after in ((False, "", ""), (True, "(?<![a-z0-9])", "(?![a-z0-9])")):
+            terms = [t for t, a in self.bits if a == alone_]
+            if terms:
+                ends = lambda t, longer: t == longer or not (alone_ and re.match("[a-z0-9]", longer[len(t)]))  # noqa: B023, E731
+                every = f"array_distinct(regexp_extract_all({low}, {quote(f'{before}(?=({trie(terms, after)}))')}, 1))"
+                found.append(f"transform({every}, t -> {len(masks)} + array_position(array({', '.join(map(quote, terms))}), t) - 1)")
+                masks += [sum(1 << self.bits[t, alone_] for t in terms if longer.startswith(t) and ends(t, longer)) for longer in terms]
+        df = df.withColumn(f"{prefix}found", F.expr(f"concat({', '.join(found)})"))
+        names = [f"{prefix}{i}" for i in range(self.count)]
+        part = lambda i: ", ".join(f"{m >> i * self.WIDTH & (1 << self.WIDTH) - 1}L" for m in masks)
+        each = {n: F.expr(f"aggregate({prefix}found, 0L, (bits, at) -> bits | array({part(i)})[cast(at as int)])") for i, n in enumerate(names)}
+        return df.withColumns(each).drop(f"{prefix}found"), names
 
 
 class Marked:
@@ -86,11 +114,6 @@ class Marked:
         return "(" + (" or ".join(f"({self.prefix}{i} & {m}L) <> 0" for i, m in masks.items()) or "false") + ")"
 
 
-def word_runs(lowered: Column) -> Column:
-    """Runs of ASCII letters and digits of a lower-cased text, each with a space on either side."""
-    return F.regexp_replace(F.concat(F.lit(" "), lowered, F.lit(" ")), "[^a-z0-9]+", " ")
-
-
 def has_substring(lowered: Column | Marked, terms: Iterable[str]) -> Column:
     """Whether the lower-cased text holds any of the terms anywhere."""
     if isinstance(lowered, Marked):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postlode import lexicon as lx
 from postlode.functions import pay
 from postlode.functions.classify import company_fit, is_relevant
-from postlode.functions.match import Index, has_substring, has_term, word_runs
+from postlode.functions.match import Index, has_substring, has_term
 from postlode.operators.barrier import seal
 from postlode.schema import SCORES, text_blob
 
@@ -52,14 +52,15 @@ def with_facts(df: DataFrame, profile: lx.TargetingProfile | None = None) -> Dat
         "unrelated": has_term(title, lx.UNRELATED_TITLE_TERMS),
     }
     fit = company_fit(text)
-    df = df.withColumns({"_text_words": word_runs(F.col("_text")), "_title_words": word_runs(F.col("_title"))})
-    masks = index.masks("_text_", "_text", "_text_words") | titles.masks("_title_", "_title", "_title_words")
-    df = df.withColumns(masks).withColumn("_paid_text", pay.searched(F.col("salary"), F.col("_blob")))
+    df, masks = index.search(df, "_text_", "_text")
+    df, of_title = titles.search(df, "_title_", "_title")
+    masks += of_title
+    df = df.withColumn("_paid_text", pay.searched(F.col("salary"), F.col("_blob")))
     df = df.withColumn("_paid", F.struct(*[c.alias(n) for n, c in pay.analysis(F.col("_paid_text")).items()]))
     df = seal(df, *masks, "_paid")
     paid = {n: F.col("_paid")[n] for n in ("salary_target_met", "hours_target_met")}
     df = df.withColumn("_fact", F.struct(*[c.alias(n) for n, c in (tests | paid).items()]))
-    return seal(df.withColumn("_fit", fit), "_fact").drop("_text", "_title", "_text_words", "_title_words", "_paid_text", *masks)
+    return seal(df.withColumn("_fit", fit), "_fact").drop("_text", "_title", "_paid_text", *masks)
 
 
 def _points(*cases: tuple[int, Column]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlode.functions import classify
-from postlode.functions.match import Index, word_runs
+from postlode.functions.match import Index
 from postlode.functions.text import clean_field
 from postlode.operators.barrier import seal
 from postlode.operators.joins import with_size_override
@@ -32,8 +32,8 @@ def enrich(df: DataFrame, sizes: dict[str, str] | DataFrame | None = None) -> Da
     padded = lambda c: F.concat(F.lit(" "), F.lower(c), F.lit(" "))
     df = df.withColumns({"_low": padded("_text"), "_place": padded("location")})
 
-    # every term has a bit, and each text is searched for it once; the classifiers are tests of bits
-    index = Index()
+    # every term has a bit, and one pass over a text finds them all; the classifiers are tests of bits
+    index, of_place = Index(), Index()
     low, place, where = index.on("_low_"), index.on("_place_"), index.on("_where_")
     own = (F.col("location") != "") & (classify.location_region(place, classify.location_city(place)) != "unknown")
     filled = lambda name, value: F.when(F.col(name) != "", F.col(name)).otherwise(value)
@@ -43,7 +43,8 @@ def enrich(df: DataFrame, sizes: dict[str, str] | DataFrame | None = None) -> Da
         "country": filled("country", classify.location_country(where, city)),
         "city": filled("city", city),
     }
-    found_city, of_places = classify.location_city(where), index.count
+    found_city = classify.location_city(where)
+    of_place.bits, of_places = dict(index.bits), index.count  # the first bits; a place is searched for no others
     others = {
         "remote_type": _unless_known("remote_type", classify.remote_type(low)),
         "seniority": _unless_known("seniority", classify.seniority(low)),
@@ -52,9 +53,8 @@ def enrich(df: DataFrame, sizes: dict[str, str] | DataFrame | None = None) -> Da
         "is_startup_likely": F.col("is_startup_likely") | classify.startup_likely(low),
         "_size": classify.company_size(F.col("_text"), low),
     }
-    df = df.withColumns({"_low_words": word_runs(F.col("_low")), "_place_words": word_runs(F.col("_place"))})
-    masks = index.masks("_low_", "_low", "_low_words")
-    df = df.withColumns(masks | dict(list(index.masks("_place_", "_place", "_place_words").items())[:of_places]))
+    df, masks = index.search(df, "_low_", "_low")
+    df, _ = of_place.search(df, "_place_", "_place")
     df = seal(df, *masks).withColumn("_own", own)
     df = df.withColumns({f"_where_{i}": F.when(F.col("_own"), F.col(f"_place_{i}")).otherwise(F.col(f"_low_{i}")) for i in range(of_places)})
     df = seal(df.withColumn("_city", found_city), "_city").withColumns(places | others)
