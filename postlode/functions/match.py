@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
-from itertools import groupby
+from functools import lru_cache, reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,27 +34,34 @@ def java_literal(text: str) -> str:
     return re.sub(r"([\\.\[\]{}()*+\-?^$|&#])", r"\\\1", text)
 
 
-def trie(terms: Iterable[str], after: str = "", together: int = 6) -> str:
-    """A pattern for the longest of the terms at a place, each followed by ``after``.
-
-    Terms with a common beginning share it, and many branches are grouped behind the class of
-    their characters, so that a place costs a few tests however many terms there are.
-    """
-    terms = sorted(set(terms))
-    ends = terms[:1] == [""]
-    by_first = {c: [t[1:] for t in some] for c, some in groupby(terms[ends:], lambda t: t[0])}
-    branches = []
-    for c, rest in by_first.items():
-        head = c
-        while len(rest) > 1 and rest[0] and len({t[0] for t in rest}) == 1:
-            head, rest = head + rest[0][0], [t[1:] for t in rest]
-        branches.append((c, java_literal(head) + (java_literal(rest[0]) + after if len(rest) == 1 else trie(rest, after, together))))
-    while len(branches) > together:
-        groups = [branches[i : i + together] for i in range(0, len(branches), together)]
-        joined = lambda g: "".join(c for c, _ in g)
-        branches = [(joined(g), f"(?=[{''.join(map(java_literal, joined(g)))}])(?:{'|'.join(p for _, p in g)})") for g in groups]
-    inner = "|".join(p for _, p in branches)
-    return f"(?:{inner}|{after})" if ends else f"(?:{inner})"
+@lru_cache(maxsize=16)
+def _automaton(terms: tuple[tuple[str, bool], ...]):
+    """Aho-Corasick automaton; a term's value holds its length, its bit and whether that stands alone."""
+    import ahocorasick
+
+    values: dict[str, list[tuple[int, int, bool]]] = {}
+    for n, (term, alone_) in enumerate(terms):
+        values.setdefault(term, []).append((len(term), 1 << n, alone_))
+    found = ahocorasick.Automaton()
+    for term, value in values.items():
+        found.add_word(term, value)
+    found.make_automaton()
+    return found
+
+
+_BESIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def occurring(text: str, terms: tuple[tuple[str, bool], ...]) -> int:
+    """Bits of the terms (text, whether it must stand alone) that a lower-cased text holds."""
+    bits, last = 0, len(text) - 1
+    for end, values in _automaton(terms).iter(text):
+        for size, bit, alone_ in values:
+            if not bits & bit:
+                start = end - size
+                if not alone_ or not (start >= 0 and text[start] in _BESIDE or end < last and text[end + 1] in _BESIDE):
+                    bits |= bit
+    return bits
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -79,24 +86,25 @@ class Index:
         return -(-len(self.bits) // self.WIDTH)
 
     def search(self, df: DataFrame, prefix: str, low: str) -> tuple[DataFrame, list[str]]:
-        """``df`` with the masks of a text, whose names follow; ``low`` is its column in lower case with a space at either end.
+        """``df`` with the masks of a lower-cased text (null: no term), whose names follow.
 
-        At every place the longest term is found; the terms that it begins with are there too.
+        An automaton over Arrow batches finds all terms in one pass, whatever their number; searches by built-in
+        functions cost a pass for each term, and one pattern of all terms about as much (README has figures).
         """
-        quote = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        found, masks = [], []
-        for alone_, before, after in ((False, "", ""), (True, "(?<![a-z0-9])", "(?![a-z0-9])")):
-            terms = [t for t, a in self.bits if a == alone_]
-            if terms:
-                ends = lambda t, longer: t == longer or not (alone_ and re.match("[a-z0-9]", longer[len(t)]))  # noqa: B023, E731
-                every = f"array_distinct(regexp_extract_all({low}, {quote(f'{before}(?=({trie(terms, after)}))')}, 1))"
-                found.append(f"transform({every}, t -> {len(masks)} + array_position(array({', '.join(map(quote, terms))}), t) - 1)")
-                masks += [sum(1 << self.bits[t, alone_] for t in terms if longer.startswith(t) and ends(t, longer)) for longer in terms]
-        df = df.withColumn(f"{prefix}found", F.expr(f"concat({', '.join(found)})"))
-        names = [f"{prefix}{i}" for i in range(self.count)]
-        part = lambda i: ", ".join(f"{m >> i * self.WIDTH & (1 << self.WIDTH) - 1}L" for m in masks)
-        each = {n: F.expr(f"aggregate({prefix}found, 0L, (bits, at) -> bits | array({part(i)})[cast(at as int)])") for i, n in enumerate(names)}
-        return df.withColumns(each).drop(f"{prefix}found"), names
+        terms, count = tuple(self.bits), self.count
+        if not terms:
+            return df, []
+        part = (1 << self.WIDTH) - 1
+
+        @F.arrow_udf("array<bigint>")
+        def found(texts: pa.Array) -> pa.Array:
+            each = [occurring(t, terms) if t else 0 for t in texts.to_pylist()]
+            flat = [m >> i * Index.WIDTH & part for m in each for i in range(count)]
+            return pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, count), pa.int32()), pa.array(flat, pa.int64()))
+
+        names = [f"{prefix}{i}" for i in range(count)]
+        df = df.withColumn(f"{prefix}found", found(F.col(low)))
+        return df.withColumns({n: F.col(f"{prefix}found")[i] for i, n in enumerate(names)}).drop(f"{prefix}found"), names
 
 
 class Marked:
