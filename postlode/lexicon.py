@@ -331,7 +331,9 @@ ROLE_WORDS = (
 
 # ---- Fixed values: patterns of hiring threads ----
 
-BACKED_BY = r"(?iU)\b(backed|back)\s+by\b.*$"
+#: What a head's first piece is cleaned of: brackets, addresses, backers.
+THREAD_COMPANY_NOISE = (r"\(.*?\)", r"(?U)https?://\S+", r"(?iU)\b(backed|back)\s+by\b.*$")
+THREAD_PAY = r"(?U)[$€£]|\d{2,}\s*[k,]"
 THREAD_MODES = {
     "hybrid": r"(?U)\bhybrid\b",
     "remote": r"(?U)\bremote\b",

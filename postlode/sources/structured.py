@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,28 +13,31 @@ from postlode.functions.text import collapse, html_to_text, unescape
 from postlode.operators.barrier import seal
 from postlode.sources.boards import mapped, relevant
 from postlode.sources.payload import field, files, first, objects
+from postlode.state import pinned
 
 KIND = "JobPosting"
 SCRIPT = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json\b[^>]*>(.*?)</script\s*>"""
-#: Lists and graphs inside each other are followed this deep.
-DEPTH = 3
-
 _NONE = "array<variant>"
 
 
-def _nested(value: Column, depth: int) -> Column:
-    """The objects of a JSON value in document order: itself or its list's items, each followed by its graph's."""
-    items = F.coalesce(F.try_variant_get(value, "$", _NONE), F.array(value))
-    if not depth:
-        return items
+def unnested(values: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """Objects of JSON values for which ``keep`` holds, one row each, however deep lists and graphs hold them.
 
-    def inside(x: Column) -> Column:
-        listed = F.try_variant_get(x, "$", _NONE)
-        graph = F.try_variant_get(x, '$["@graph"]', "variant")
-        below = F.when(graph.isNotNull(), _nested(graph, depth - 1)).otherwise(F.array().cast(_NONE))
-        return F.when(listed.isNotNull(), _nested(x, depth - 1)).otherwise(F.concat(F.array(x), below))
-
-    return F.flatten(F.transform(items, inside))
+    ``values`` has v (variant) and path (array of int) beside other columns; a value's parts have longer
+    paths, so paths sort as the document does. Each round takes one level apart, of values that still
+    hold others, and writes it; rounds follow the depth of the deepest value.
+    """
+    others = [c for c in values.columns if c not in ("v", "path")]
+    found, level = None, values
+    while True:
+        listed = F.try_variant_get("v", "$", _NONE)
+        graph = F.try_variant_get("v", '$["@graph"]', "variant")
+        level = pinned(level.select(*others, "path", "v", F.coalesce(listed, F.when(graph.isNotNull(), F.array(graph))).alias("parts"), listed.isNull().alias("single")))
+        own = level.filter("single").filter(keep(F.col("v"))).select(*others, "path", "v")
+        found = own if found is None else found.union(own)
+        level = level.filter("parts is not null").select(*others, "path", F.posexplode("parts").alias("_nth", "v")).withColumn("path", F.array_append("path", F.col("_nth")))
+        if level.isEmpty():
+            return found
 
 
 def _is_posting(x: Column) -> Column:
@@ -40,12 +45,12 @@ def _is_posting(x: Column) -> Column:
     return F.coalesce(F.array_contains(kinds, KIND), F.try_variant_get(x, '$["@type"]', "string") == KIND, F.lit(False))
 
 
-def job_posting(html: Column) -> Column:
-    """The first JobPosting among a page's JSON-LD scripts, as a variant; null if there is none."""
-    bodies = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(SCRIPT), F.lit(1)), lambda b: b.contains(KIND))
-    parsed = F.filter(F.transform(bodies, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
-    found = F.filter(F.flatten(F.transform(parsed, lambda v: _nested(v, DEPTH))), _is_posting)
-    return F.when(html.contains(KIND), F.get(found, 0))
+def with_posting(pages: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``p``: the first JobPosting among a page's JSON-LD scripts (column html), as a variant; pages without one are left out."""
+    bodies = F.filter(F.regexp_extract_all(F.when(F.col("html").contains(KIND), F.col("html")).otherwise(""), F.lit(SCRIPT), F.lit(1)), lambda b: b.contains(KIND))
+    parsed = pages.select(*keys, F.posexplode(bodies).alias("_nth", "body")).select(*keys, F.array("_nth").alias("path"), F.try_parse_json("body").alias("v"))
+    found = unnested(parsed.filter("v is not null"), _is_posting).select(*keys, F.struct("path", F.to_json("v").alias("json")).alias("one"))
+    return found.groupBy(*keys).agg(F.parse_json(F.min("one")["json"]).alias("p"))
 
 
 def _text(of: Column, path: str) -> Column:
@@ -90,8 +95,8 @@ def page_postings(pages: DataFrame, headcounts: DataFrame | None = None) -> Data
     link = F.substring_index("url", "?", 1)
     rows = pages.select("_file", "_at", link.alias("link"), "status", "html").filter(results.is_posting_url(F.col("link")))
     turn = F.row_number().over(Window.partitionBy("link").orderBy("_file", "_at"))
-    rows = rows.withColumn("_turn", turn).filter("_turn = 1 and coalesce(status, 200) < 400").select("_file", "_at", "link", job_posting(F.col("html")).alias("p"))
-    rows = seal(rows, "p").filter("p is not null")
+    rows = rows.withColumn("_turn", turn).filter("_turn = 1 and coalesce(status, 200) < 400")
+    rows = with_posting(rows, "_file", "_at", "link")
     company_page = F.when(F.try_variant_get("p", "$.hiringOrganization", "map<string,variant>").isNotNull(), _text(F.col("p"), "$.hiringOrganization.url"))
     told = rows.select("_file", "_at", "link", company_page.alias("company_page"), *[c.alias(f"p_{n}") for n, c in posting_fields(F.col("p")).items()])
     told = seal(told, *[c for c in told.columns if c.startswith("p_")]).filter("p_title <> ''")
