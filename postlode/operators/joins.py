@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from postlode import lexicon as lx
 from postlode.functions.classify import bucket, size_key
@@ -83,11 +82,11 @@ def merge(stored: DataFrame, batch: DataFrame, key: str = "deduplication_key", o
     return joined.select(*out).select(*stored.columns)
 
 
-def with_new_ids(merged: DataFrame, key: str = "deduplication_key") -> DataFrame:
-    """Ids for rows that have none, after the largest one, rising in key order."""
+def with_new_ids(merged: DataFrame, key: str = "deduplication_key", last: int = 0) -> DataFrame:
+    """Ids for rows that have none, after the largest one (``last`` at least), rising in key order."""
     from postlode.operators.order import numbered
 
-    last = merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n
+    last = max(last, merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n)
     fresh = numbered(merged.filter("id is null"), [key], "_n").withColumn("id", (F.col("_n") + 1 + last).cast("bigint")).drop("_n")
     return merged.filter("id is not null").unionByName(fresh.select(*merged.columns))
 
@@ -97,9 +96,3 @@ def round_robin(left: DataFrame, right: DataFrame, left_place: str, right_place:
     n = right.agg(F.count("*").alias("_n"))
     placed = left.crossJoin(F.broadcast(n)).withColumn("_p", F.pmod(F.col(left_place), F.greatest(F.col("_n"), F.lit(1))))
     return placed.join(right, placed["_p"] == right[right_place]).drop("_p", "_n")
-
-
-def best_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key in order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")

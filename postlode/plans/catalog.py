@@ -17,6 +17,8 @@ from postlode.plans import oracle as o
 from postlode.plans import pipeline
 from postlode.plans.views import TEMPLATES, documents, postings, raw_postings, titled
 from postlode.schema import SCORES, text_blob
+from postlode.state import PostingTable, scratch
+from postlode.streaming.incremental import guarded_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,6 +416,36 @@ def upsert_merge(spark, d):
     return joins.merge(stored, p.filter("_seq % 2 = 1"))
 
 
+def _marked(spark, d):
+    p = dedup.prepare(postings(spark, d)).withColumns({"created_at": F.col("_seq").cast("string"), "updated_at": F.col("_seq").cast("string")})
+    return p.withColumn("relevance_score", (F.col("_seq") % 101).cast("int"))
+
+
+@query(f"""WITH {o.RAW}, {o.prepared('raw')},
+a AS (SELECT deduplication_key AS key, arg_max(job_title, seq) AS title, arg_min(seq, seq) AS made, arg_max(seq, seq) AS changed FROM keyed_rows WHERE seq % 2 = 0 GROUP BY 1),
+b AS (SELECT deduplication_key AS key, arg_max(job_title, seq) AS title, arg_min(seq, seq) AS made, arg_max(seq, seq) AS changed FROM keyed_rows WHERE seq % 2 = 1 GROUP BY 1),
+ids AS (SELECT key, row_number() OVER (ORDER BY key) AS id FROM a
+        UNION ALL SELECT key, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY key) FROM b WHERE key NOT IN (SELECT key FROM a))
+SELECT CAST(id AS BIGINT) AS id, key AS deduplication_key, coalesce(b.title, a.title) AS job_title, CAST(coalesce(a.made, b.made) AS VARCHAR) AS created_at, CAST(coalesce(b.changed, a.changed) AS VARCHAR) AS updated_at
+FROM ids LEFT JOIN a USING (key) LEFT JOIN b USING (key)""")
+def upsert_buckets(spark, d):
+    """Two batches upserted into a stored table, which rewrites the buckets of their keys."""
+    stored = PostingTable(spark, scratch(spark, "postings"))
+    rows = _marked(spark, d)
+    for turn in (0, 1):
+        stored.upsert(rows.filter(F.col("_seq") % 2 == turn))
+    return stored.read().select("id", "deduplication_key", "job_title", "created_at", "updated_at")
+
+
+@query(f"""WITH {o.RAW}, {o.prepared('raw')}, last AS (SELECT deduplication_key, arg_max(seq % 101, seq) AS score FROM keyed_rows GROUP BY 1)
+SELECT deduplication_key, CAST(score AS INTEGER) AS relevance_score FROM last WHERE score >= 74""")
+def scan_by_score(spark, d):
+    """Stored rows of at least a score, from files of its bands."""
+    stored = PostingTable(spark, scratch(spark, "postings"))
+    stored.upsert(_marked(spark, d))
+    return stored.at_least(74).select("deduplication_key", "relevance_score")
+
+
 # ---- searches, reports, comparisons, usage ----
 
 
@@ -514,6 +546,22 @@ def usage_guard(spark, d):
     return reports.allowed_calls(*_calls(spark, d)).select("event_id", "provider")
 
 
+@query(SQL["usage_guard"])
+def usage_guard_stream(spark, d):
+    """The same from a stream of ten files, with a provider's month and count as state."""
+    calls = _calls(spark, d)[0]
+    source, out, checkpoint = (scratch(spark, k) for k in ("calls", "allowed", "checkpoint"))
+    first, last = calls.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b")).first()
+    part = lambda i: first + (last - first + 1) * i / 10
+    for i in range(10):  # files in order of time, as a feed leaves them
+        at = F.col("ts").cast("double")
+        calls.filter((at >= part(i)) & (at < part(i + 1))).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    allowed = guarded_calls(stream, dict(LIMITS))
+    allowed.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(allowed.schema).parquet(out)
+
+
 BOARD_URLS = (
     "https://boards.greenhouse.io/acme/jobs/1", "https://boards.greenhouse.io/embed/job_board?for=Beta", "https://jobs.lever.co/gamma/77", "https://jobs.lever.co/",
     "https://jobs.ashbyhq.com/delta%20x", "https://jobs.ashbyhq.com/Delta", "https://apply.workable.com/epsilon/j/9", "https://zeta.workable.com/", "https://example.com/acme", "https://boards.greenhouse.io/acme",

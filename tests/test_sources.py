@@ -1,10 +1,12 @@
 import json
 
+from pyspark.sql import functions as F
+
 from postlode.schema import COLUMNS, conform
 from postlode.sources import boards, captures, feeds
 from postlode.sources.registry import read_sources
 from postlode.state import PostingTable
-from postlode.streaming.incremental import monthly_calls, track
+from postlode.streaming.incremental import guarded_calls, monthly_calls, track
 
 
 def put(folder, name, content):
@@ -93,3 +95,54 @@ def test_stream_upserts_all_and_reports_new_rows(spark, tmp_path):
 def test_monthly_calls(spark):
     calls = spark.sql("SELECT 'p' AS provider, timestamp'2025-01-31 23:00:00' AS ts UNION ALL SELECT 'p', timestamp'2025-02-01 00:00:00'")
     assert sorted(tuple(r) for r in monthly_calls(calls).collect()) == [("2025-01", "p", 1), ("2025-02", "p", 1)]
+
+
+def files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("rows/**/*.parquet")}
+
+
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    table = PostingTable(spark, str(tmp_path / "t"), buckets=8)
+    urls = [f"http://a/{i}" for i in range(60)]
+    rows = lambda some, title, score: conform(
+        spark.createDataFrame([(u, u, title, score, i) for i, u in enumerate(some)], "job_url string, deduplication_key string, job_title string, relevance_score int, _seq long"), "_seq"
+    )
+    table.upsert(rows(urls, "one", 40))
+    before, ids = files(tmp_path / "t"), {r.job_url: r.id for r in table.read().collect()}
+    assert sorted(ids.values()) == list(range(1, 61))
+    held = table.manifest()[0]
+    table.upsert(rows(["http://a/7", "http://new"], "two", 90))
+    after = table.manifest()[0]
+    changed = {b for b in after if after[b] != held.get(b)}
+    assert 1 <= len(changed) <= 2
+    new = {f: t for f, t in files(tmp_path / "t").items() if f not in before}
+    assert all(files(tmp_path / "t")[f] == t for f, t in before.items()) and {int(f.split("_bucket=")[1].split("/")[0]) for f in new} == changed
+    got = {r.job_url: (r.id, r.job_title) for r in table.read().collect()}
+    assert got == {**{u: (ids[u], "one") for u in urls}, "http://a/7": (ids["http://a/7"], "two"), "http://new": (61, "two")}
+    table.set_status(ids["http://a/9"], "applied")
+    assert [r.job_url for r in table.read().filter("application_status = 'applied'").collect()] == ["http://a/9"]
+    assert len([b for b, v in table.manifest()[0].items() if v != after[b]]) == 1
+    best = table.at_least(80)
+    assert {r.job_url for r in best.collect()} == {"http://a/7", "http://new"}
+    scan = best._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_band" in scan or "_band" in scan.split("PartitionFilters:")[1].split("]")[0]
+    read = spark.read.option("basePath", f"{tmp_path}/t/rows").parquet(*[f"{tmp_path}/t/rows/version={v}/_bucket={b}" for b, v in table.manifest()[0].items()])
+    assert {r[0].split("_band=")[1].split("/")[0] for r in read.filter("_band >= 8").select("_metadata.file_path").distinct().collect()} == {"9"}
+    assert set(table.at_least(0).collect()) >= set(best.collect())
+
+
+def test_guard_starts_anew_each_month_and_keeps_its_count_between_batches(spark, tmp_path):
+    schema = "event_id long, provider string, ts timestamp"
+    batches = [
+        [(1, "p", "2025-01-30 10:00:00"), (2, "p", "2025-01-30 09:00:00"), (3, "q", "2025-01-30 09:00:00")],
+        [(4, "p", "2025-01-31 10:00:00"), (5, "p", "2025-02-01 00:00:00"), (6, "p", "2025-02-01 00:00:01")],
+        [(7, "p", "2025-02-03 00:00:00"), (8, "p", "2025-02-02 00:00:00"), (9, "q", "2025-02-02 00:00:00")],
+    ]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "event_id long, provider string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        writer = guarded_calls(stream, {"p": 4}, 0.75).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        writer.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = spark.read.schema("event_id long, provider string").parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.event_id for r in got) == [1, 2, 3, 4, 5, 6, 8, 9]
