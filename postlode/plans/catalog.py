@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postlode import lexicon as lx
 from postlode.functions import classify, pay, results, text
-from postlode.operators import dedup, joins, order, reports, similar
+from postlode.operators import dedup, fetchlog, joins, order, reports, similar
 from postlode.operators.enrich import enrich
 from postlode.operators.queries import search_queries
 from postlode.plans import likeness
@@ -562,6 +562,45 @@ def usage_guard_stream(spark, d):
     return spark.read.schema(allowed.schema).parquet(out)
 
 
+#: Events as a log of fetches of pages: views find nothing new, errors fail, purchases get no answer.
+_LOG_SQL = """log AS (
+    SELECT event_id AS seq, ts AS moment, url, CAST(ts AS DATE) AS run, regexp_extract(url, '://([^/?#]+)', 1) AS host,
+           CASE event_type WHEN 'view' THEN 304 WHEN 'error' THEN 500 WHEN 'purchase' THEN NULL ELSE 200 END AS status,
+           CASE WHEN event_id % 3 > 0 THEN md5(html || event_id) END AS etag, event_id || ' ' || html AS body
+    FROM events JOIN pages ON user_id % 50 = page_id
+)"""
+
+
+def _log(spark, d):
+    e, p = table(spark, d, "events"), table(spark, d, "pages").select("page_id", "url", "html")
+    kind, n = F.col("event_type"), F.col("event_id").cast("string")
+    rows = e.join(p, e.user_id % 50 == p.page_id)
+    return rows.select(
+        F.col("event_id").alias("seq"), F.col("ts").alias("at"), "url", F.col("ts").cast("date").alias("run"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"),
+        F.when(kind == "view", 304).when(kind == "error", 500).when(kind != "purchase", 200).alias("status"),
+        F.when(F.col("event_id") % 3 > 0, F.md5(F.concat("html", n))).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.concat(n, F.lit(" "), "html").alias("body"),
+    )
+
+
+@query(f"""WITH {_LOG_SQL}, asked AS (
+    SELECT *, last_value(CASE WHEN status = 200 AND etag IS NOT NULL THEN seq END IGNORE NULLS) OVER (PARTITION BY url ORDER BY moment, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stored FROM log
+), answers AS (SELECT seq, CASE WHEN status = 304 THEN coalesce(stored, seq) ELSE seq END AS answer FROM asked)
+SELECT a.seq, a.answer, l.status, md5(l.body) AS digest FROM answers a JOIN log l ON l.seq = a.answer""")
+def fetch_answers(spark, d):
+    """What each request of a log is answered with, stored responses for unchanged pages."""
+    return fetchlog.responses(_log(spark, d), "status", "body").select("seq", "answer", "status", F.md5("body").alias("digest"))
+
+
+@query(f"""WITH {_LOG_SQL}, bad AS (SELECT *, coalesce(status >= 400, true) AS bad FROM log),
+islands AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY run, host ORDER BY moment, seq) AS island FROM bad),
+counted AS (SELECT *, count(*) FILTER (bad) OVER (PARTITION BY run, host, island ORDER BY moment, seq) AS n FROM islands),
+opened AS (SELECT run, host, min((moment, seq)) AS opened FROM counted WHERE bad AND n >= 5 GROUP BY run, host)
+SELECT seq, host, coalesce((moment, seq) > opened, false) AS blocked FROM log LEFT JOIN opened USING (run, host)""")
+def fetch_breaker(spark, d):
+    """Requests of a log that the breaker of their host would have held back."""
+    return fetchlog.blocked(_log(spark, d).drop("body")).select("seq", "host", "blocked")
+
+
 BOARD_URLS = (
     "https://boards.greenhouse.io/acme/jobs/1", "https://boards.greenhouse.io/embed/job_board?for=Beta", "https://jobs.lever.co/gamma/77", "https://jobs.lever.co/",
     "https://jobs.ashbyhq.com/delta%20x", "https://jobs.ashbyhq.com/Delta", "https://apply.workable.com/epsilon/j/9", "https://zeta.workable.com/", "https://example.com/acme", "https://boards.greenhouse.io/acme",
