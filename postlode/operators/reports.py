@@ -103,6 +103,22 @@ def dashboard(df: DataFrame, least: int = 0, **choices: list[str]) -> DataFrame:
     return df.filter((F.col("relevance_score") >= least) & any_filter(choices)).orderBy(F.desc("relevance_score"), F.desc("date_found"))
 
 
+#: Columns that a dashboard offers choices of.
+PICKED = ("region", "country", "remote_type", "seniority", "language", "source_platform", "priority_level")
+
+
+def pickers(df: DataFrame) -> DataFrame:
+    """``picker, value``: the different values of each column of ``PICKED``, nulls left out."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("picker"), F.col(c).alias("value")) for c in PICKED])
+    return df.select(F.explode(pairs).alias("p")).select("p.picker", "p.value").filter("value is not null").distinct()
+
+
+def dashboard_metrics(shown: DataFrame) -> DataFrame:
+    """``jobs, urgent, average_score`` of the rows shown; the average is 0 where there are none."""
+    average = F.coalesce(F.bround(F.avg("relevance_score"), 1), F.lit(0.0))
+    return shown.agg(F.count("*").alias("jobs"), F.count_if(F.col("priority_level") == "urgent").alias("urgent"), average.alias("average_score"))
+
+
 def reviewed(records: DataFrame, include_dismissed: bool = False, limit: int = lx.MOST_EMPLOYEES) -> DataFrame:
     """Reviewed rows that were not dismissed, of companies that are not too large."""
     from postlode.functions.classify import exceeds_employees

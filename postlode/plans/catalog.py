@@ -519,6 +519,19 @@ def filter_dashboard(spark, d):
     return s.select(F.col("_seq").alias("seq"), "relevance_score", "region")
 
 
+@query(f"""WITH {o.SCORED} SELECT count(*) AS jobs, count(*) FILTER (priority_level = 'urgent') AS urgent, CAST(coalesce(round_even(avg(relevance_score), 1), 0) AS DOUBLE) AS average_score
+FROM scored WHERE relevance_score >= 40 AND region IN ('dach', 'europe')""")
+def dashboard_metrics(spark, d):
+    """Counts and average of the rows that a dashboard shows."""
+    return reports.dashboard_metrics(reports.dashboard(scored(spark, d), 40, region=["dach", "europe"]))
+
+
+@query(f"WITH {o.SCORED} " + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS picker, {c} AS value FROM scored" for c in reports.PICKED))
+def dashboard_pickers(spark, d):
+    """The values that a dashboard offers for each of its choices (A4)."""
+    return reports.pickers(scored(spark, d))
+
+
 LIMITS = (("click", 20), ("error", 3000), ("view", 60))
 _LIMIT_SQL = "limits(provider, lim) AS (VALUES " + ", ".join(f"('{p}', {n})" for p, n in LIMITS) + ")"
 

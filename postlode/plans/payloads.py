@@ -12,7 +12,8 @@ from postlode.operators import reports
 from postlode.plans import oracle as o
 from postlode.plans.catalog import _GUESSED, _HOST, _ROOT, _TITLED, STAMP, _html_sql, _page_results, _title_sql, query, scored, table
 from postlode.plans.views import documents, raw_postings
-from postlode.sources import boards, captures, literals, structured, threads
+from postlode.sources import boards, captures, feeds, literals, structured, threads
+from postlode.state import scratch
 
 
 def _one_a_file(rows: DataFrame, file: Column, body: Column) -> DataFrame:
@@ -92,6 +93,75 @@ def board_flat(spark, d):
     return _shown(boards.remoteok(spark, p), "job_title", "company_name", "location", "salary", "required_skills")
 
 
+_ABOUT = f"rows AS (SELECT *, {_PLAIN} AS about, CAST(seq AS VARCHAR) || ', x' AS tags FROM raw)"
+
+
+@query(f"""WITH {o.RAW}, {_ABOUT} SELECT job_title, company_name, coalesce(nullif(location, ''), 'Remote') AS location, salary, job_url, regexp_matches(lower(about), 'startup|early-stage|saas|yc') AS is_startup_likely, md5(about) AS digest
+FROM rows QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY seq) = 1""")
+def board_searches(spark, d):
+    """A board's searches, each address once across them."""
+    rows = raw_postings(spark, d)
+    item = F.struct(
+        F.col("job_title").alias("title"), "company_name", F.col("location").alias("candidate_required_location"), "salary",
+        F.col("job_url").alias("url"), F.col("job_description").alias("description"), F.array(_seq(), F.lit("x")).alias("tags"),
+    )
+    p = _one_a_file(rows, F.format_string("%019d.json", "_seq"), F.to_json(F.struct(F.array(item).alias("jobs"))))
+    return _shown(boards.remotive(spark, p), "job_title", "company_name", "location", "salary", "job_url", "is_startup_likely")
+
+
+@query(f"""WITH {o.RAW}, {_ABOUT} SELECT trim(job_title)[1:160] AS job_title, coalesce(nullif(trim(company_name)[1:80], ''), 'Unknown') AS company_name, coalesce(nullif(location, ''), 'Remote') AS location, tags AS required_skills, md5(about) AS digest
+FROM rows WHERE {o.term('lower(job_title)', o._RELEVANT_TERMS)}""")
+def board_list(spark, d):
+    """A flat list whose titles decide."""
+    rows = raw_postings(spark, d)
+    tags = F.when(F.col("_seq") % 2 == 0, F.to_json(F.array(_seq(), F.lit("x")))).otherwise(F.concat(_seq(), F.lit(", x")))  # a list or a text
+    body = F.to_json(F.struct(F.concat(F.lit(" "), "job_title").alias("title"), "company_name", "location", F.col("job_description").alias("description")))
+    quote = F.when(F.col("_seq") % 2 == 0, "").otherwise('"')
+    with_tags = F.concat(F.lit("["), F.regexp_replace(body, r"\}$", ""), F.lit(', "tags": '), quote, tags, quote, F.lit("}]"))
+    return _shown(boards.workingnomads(spark, _one_a_file(rows, F.lit("list.json"), with_tags)), "job_title", "company_name", "location", "required_skills")
+
+
+def _feed(spark, rows: DataFrame, name: str, **tags: Column) -> str:
+    """A folder of feed files with an item for each row."""
+    at = f"{scratch(spark, 'feed')}/{name}"
+    rows.select(*[c.alias(t) for t, c in tags.items()]).write.format("xml").options(rootTag="channel", rowTag="item").save(at)
+    return at
+
+
+@query(f"""WITH {o.RAW}, {_ABOUT} SELECT trim(job_title) AS job_title, trim(company_name) AS company_name, location || ' ' || seq AS location, 'u' || seq AS job_url, tags AS required_skills, md5(about) AS digest
+FROM rows WHERE {o.term("lower(concat_ws(' ', trim(job_title), tags, about))", o._RELEVANT_TERMS)}""")
+def feed_of_companies(spark, d):
+    """A feed whose titles are "company: role" (S4, F28)."""
+    title = F.concat("company_name", F.lit(": "), "job_title")
+    at = _feed(
+        spark, raw_postings(spark, d), "jobs", title=title, region=F.col("location"), country=_seq(), skills=F.concat(_seq(), F.lit(", x")),
+        description=F.col("job_description"), link=F.concat(F.lit("u"), _seq()), pubDate=_seq(),
+    )
+    return _shown(feeds.weworkremotely(spark, at), "job_title", "company_name", "location", "job_url", "required_skills")
+
+
+@query(f"""WITH {o.RAW}, {_ABOUT} SELECT trim(job_title)[1:120] AS job_title, trim(company_name)[1:80] AS company_name, coalesce(nullif(location, ''), 'Remote') AS location, 'u' || seq AS job_url, CAST(seq AS VARCHAR) AS date_posted, md5(about) AS digest
+FROM rows WHERE {o.term("lower(CASE seq % 3 WHEN 0 THEN job_title WHEN 1 THEN company_name || ': ' || job_title ELSE job_title || ' at ' || company_name END)", o._RELEVANT_TERMS)} AND company_name <> ''""")
+def feed_of_any_kind(spark, d):
+    """Feeds whose company stands in a tag, before a colon or after "at" (S14, F12)."""
+    kind = F.col("_seq") % 3
+    title = F.when(kind == 0, F.col("job_title")).when(kind == 1, F.concat("company_name", F.lit(": "), "job_title")).otherwise(F.concat("job_title", F.lit(" at "), "company_name"))
+    at = _feed(
+        spark, raw_postings(spark, d).filter("company_name <> ''"), "jobs.example", title=title, companyName=F.when(kind == 0, F.col("company_name")),
+        location=F.col("location"), description=F.col("job_description"), link=F.concat(F.lit("u"), _seq()), published=_seq(),
+    )
+    return _shown(feeds.rss(spark, at), "job_title", "company_name", "location", "job_url", "date_posted")
+
+
+@query(f"WITH {o.RAW} SELECT job_title, company_name, location, salary, job_url, source_platform, md5(job_description) AS digest FROM raw")
+def csv_rows(spark, d):
+    """Rows written as CSV and read by their head."""
+    at = scratch(spark, "csv")
+    names = ["job_title", "company_name", "location", "salary", "job_url", "source_platform", "job_description"]
+    raw_postings(spark, d).select(*names).write.csv(at, header=True, escape='"', quoteAll=True)
+    return _shown(feeds.manual(spark, at), *names[:-1])
+
+
 _FOUND = "lower(regexp_extract(about, '(?i)\\b({})\\b', 1))"
 _PLACED = " ".join(
     f"WHEN {_FOUND.format(p)} <> '' THEN {o.titled('trim(' + _FOUND.format(p) + ')')}"
@@ -156,10 +226,10 @@ def page_postings(spark, d):
 
 
 @query(f"""WITH {_MADE} SELECT trim(regexp_replace(company, '\\s+', ' ', 'g'), ' *-|–—•·') AS company_name,
-CASE WHEN page_id % 2 = 0 THEN 'Berlin, Germany' ELSE '' END AS location, CASE WHEN page_id % 3 = 0 THEN 'hybrid' ELSE 'remote' END AS remote_type, 'https://a.b/?x=' || page_id || '&y' AS job_url
+CASE WHEN page_id % 2 = 0 THEN 'Berlin, Germany' ELSE '' END AS location, CASE WHEN page_id % 3 = 0 THEN 'hybrid' ELSE 'remote' END AS remote_type, 'https://a.b/?x=' || page_id || '&y' AS job_url, CASE WHEN page_id % 2 = 0 THEN 'AI / Automation role' ELSE 'Senior Engineers' END AS job_title
 FROM made WHERE company <> '' AND page_id % 4 <> 3""")
 def thread_postings(spark, d):
-    """Postings from a hiring thread's comments."""
+    """Postings from a hiring thread's comments."""
     from postlode.plans.views import TEMPLATES
 
     firms = spark.createDataFrame([(i, t[1]) for i, t in enumerate(TEMPLATES)], "k int, company string")
@@ -172,7 +242,7 @@ def thread_postings(spark, d):
     link = F.concat(F.lit('<a href="https://a.b/?x='), n.cast("string"), F.lit('&amp;y" rel="nofollow">site</a>'))
     body = F.concat(head, F.lit("<p>LLM agents | "), link, F.when(n % 3 == 0, " hybrid").otherwise(""))
     thread = F.to_json(F.struct(F.lit("Ask: Who is hiring? (May)").alias("title"), F.array(F.struct(body.alias("text"))).alias("children")))
-    return threads.hackernews(spark, _one_a_file(rows, F.lit("t.json"), thread)).select("company_name", "location", "remote_type", "job_url")
+    return threads.hackernews(spark, _one_a_file(rows, F.lit("t.json"), thread)).select("company_name", "location", "remote_type", "job_url", "job_title")
 
 
 _LITERAL = ", ".join("(" + ", ".join([str(i), o.quote(r[0]), o.quote(r[1]), o.quote(r[2])]) + ")" for i, r in enumerate(literals.ROWS))
