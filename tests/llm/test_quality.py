@@ -66,3 +66,74 @@ def test_statistics_are_finite():
     for t in (None, b"", b" ", b"\n\n", b"|", b"\x00\xff" * 10, b"A" * 100_000):
         s = quality.statistics(t)
         assert len(s) == len(quality.NAMES) and np.isfinite(s).all()
+
+
+def test_statistics_against_a_plain_count():
+    """Each statistic anew, character by character."""
+    import math
+    import re
+
+    rng = random.Random(3)
+    texts = ["", " ", "One two two.\nONE | three!\n\nOne two two.\n", "é ü\tx 12-3\r\nAB#", *("".join(rng.choice("aB1.!| \n\té#") for _ in range(rng.randint(0, 200))) for _ in range(60))]
+    for text in texts:
+        raw = text.encode()
+        words, lines = re.findall(r"[^ \t\n\r\x0b\x0c]+", text), [x for x in text.split("\n") if re.search(r"[^ \t\n\r\x0b\x0c]", x)]
+        n, w = max(1, len(raw)), max(1, len(words))
+        share = lambda test: sum(map(test, raw)) / n  # noqa: B023, E731
+        classes = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:?'\"()-", "!", "|", " ", "\n\r", "\t\x0b\x0c"]
+        known = [share(lambda b, c=c: chr(b) in c) for c in classes]
+        high = share(lambda b: b > 127)
+        counts = [raw.count(bytes([b])) / n for b in set(raw)]
+        lower, upper, digit, mark, exclaim, pipe, space, line, tab = known
+        want = {
+            "log_bytes": math.log(1 + len(raw)), "log_words": math.log(1 + len(words)), "word_length": sum(len(x.encode()) for x in words) / w,
+            "longest_word": min(200, max([len(x.encode()) for x in words], default=0)), "other": (len(raw) / n) - sum(known) - high, "lower": lower, "upper": upper,
+            "digit": digit, "punctuation": mark, "exclamation": exclaim, "pipe": pipe, "space": space, "line": line, "tab": tab, "non_ascii": high,
+            "distinct_words": len(set(words)) / w, "repeated_word": sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / w,
+            "repeated_second": sum(words[i] == words[i + 2] for i in range(len(words) - 2)) / w,
+            "upper_words": sum(bool(re.search("[A-Z]", x)) and not re.search("[a-z]", x) for x in words) / w,
+            "symbol_words": sum(not re.search("[A-Za-z0-9]$", x) for x in words) / w, "lines": math.log(1 + len(lines)),
+            "line_words": w / max(1, len(lines)), "distinct_lines": len(set(lines)) / max(1, len(lines)), "entropy": -sum(p * math.log2(p) for p in counts),
+        }
+        got = dict(zip(quality.NAMES, quality.statistics(raw), strict=True))
+        for name, value in want.items():
+            assert abs(got[name] - value) < 1e-9, (name, text)
+
+
+def test_fit_against_a_search_of_all_splits():
+    """Every tree anew by brute force: each node's best cut among all values of all features, then its leaves."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (120, 4)).astype(float)  # fewer values than bins, so that every cut can be made
+    y = ((x[:, 1] > 4) ^ (x[:, 3] > 6) ^ (rng.random(120) < 0.1)).astype(float)
+    depth, rate, ridge, least = 3, 0.3, 1.0, 1.0
+    got = quality.fit(x, y, trees=4, depth=depth, rate=rate, bins=64, ridge=ridge, least=least)
+    mean = (y.sum() + 0.5) / 121
+    total = np.full(120, np.log(mean / (1 - mean)))
+    for t in range(4):
+        p = 1 / (1 + np.exp(-total))
+        g, h = p - y, p * (1 - p)
+        gain = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + ridge)  # noqa: B023, E731
+        leaf_of = np.zeros(120, int)
+
+        def grow(rows, heap, level):
+            if level == depth:
+                leaf_of[rows] = heap - (2**depth - 1)  # noqa: B023
+                return
+            best = 1e-9
+            for f in range(4):
+                for c in np.unique(x[:, f]):
+                    a, b = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                    if h[a].sum() >= least and h[b].sum() >= least:  # noqa: B023
+                        best = max(best, gain(a) + gain(b) - gain(rows))  # noqa: B023
+            f, c = got.feature[t, heap], got.threshold[t, heap]  # noqa: B023
+            a, b = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+            made = gain(a) + gain(b) - gain(rows) if len(b) else 1e-9  # noqa: B023
+            assert abs(made - best) < 1e-9
+            grow(a, 2 * heap + 1, level + 1)
+            grow(b, 2 * heap + 2, level + 1)
+
+        grow(np.arange(120), 0, 0)
+        want = np.array([-rate * g[leaf_of == k].sum() / (h[leaf_of == k].sum() + ridge) for k in range(2**depth)])
+        assert np.allclose(got.leaf[t], want)
+        total = total + want[leaf_of]
+    assert np.allclose(got.scores(x), 1 / (1 + np.exp(-total)))
