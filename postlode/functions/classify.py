@@ -45,7 +45,7 @@ def remote_type(lowered: Column | Marked) -> Column:
         [
             (has_substring(lowered, lx.REMOTE_TERMS), "remote"),
             (has_substring(lowered, lx.HYBRID_TERMS), "hybrid"),
-            (has_substring(lowered, ("onsite", "on-site", "office", "büro")), "onsite"),
+            (has_substring(lowered, lx.ONSITE_TERMS), "onsite"),
             (F.lit(True), "unknown"),
         ]
     )
@@ -58,9 +58,7 @@ def seniority(lowered: Column | Marked) -> Column:
         [
             (senior & junior, "junior"),
             (senior, "senior"),
-            (has_substring(lowered, ("working student", "werkstudent")), "working_student"),
-            (has_substring(lowered, ("intern", "praktikum", "стаж")), "internship"),
-            (has_substring(lowered, ("graduate", "trainee", "associate")), "entry_level"),
+            *[(has_substring(lowered, terms), level) for level, terms in lx.ENTRY_LEVELS.items()],
             (junior, "junior"),
             (F.lit(True), "unknown"),
         ]
@@ -102,18 +100,12 @@ def skills(lowered: Column | Marked, most: int = 18) -> Column:
 
 
 def startup_likely(lowered: Column | Marked) -> Column:
-    return has_substring(lowered, ("startup", "early-stage", "saas", "y combinator"))
+    return has_substring(lowered, lx.STARTUP_SIGNS)
 
 
 def company_fit(lowered: Column | Marked) -> Column:
-    return first_of(
-        [
-            (has_substring(lowered, ("enterprise", "corporation", "konzern", "10,000+", "10000+")), "enterprise"),
-            (has_substring(lowered, ("startup", "early-stage", "seed", "series a", "y combinator", "yc")), "startup"),
-            (has_substring(lowered, ("gmbh", "agency", "agentur", "consulting", "beratung", "saas", "b2b")), "sme/mid-market"),
-            (F.lit(True), "unknown"),
-        ]
-    )
+    fits = [(has_substring(lowered, terms), fit) for fit, terms in lx.COMPANY_FITS.items()]
+    return first_of([*fits, (F.lit(True), "unknown")])
 
 
 def bucket(value: Column) -> Column:
@@ -121,13 +113,6 @@ def bucket(value: Column) -> Column:
     return F.coalesce(first_of([(value.between(a, b), label) for a, b, label in lx.EMPLOYEE_BUCKETS]), F.lit(lx.OPEN_BUCKET))
 
 
-_COUNT = r"(\d{1,3}(?:,\d{3})?)"
-_PEOPLE = r"(employees|people|team members)"
-SIZE_RANGE = rf"{_COUNT}\s*[-–]\s*{_COUNT}\s+{_PEOPLE}"
-SIZE_COUNT = rf"{_COUNT}(\+?)\s+{_PEOPLE}"
-SIZE_TEAM = r"(team of|team size|company of)\s+(\d{1,4})"
-
-
 def _number(x: Column) -> Column:
     return F.replace(x, F.lit(","), F.lit("")).try_cast("int")
 
@@ -138,24 +123,19 @@ def company_size(text: Column, marks: Marked | None = None) -> Column:
     ``marks``: the bits of the lower-cased text, where they are known; patterns are then tried only where their words occur.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    gates = {SIZE_RANGE: ("employees", "people", "team members"), SIZE_COUNT: ("employees", "people", "team members"), SIZE_TEAM: ("team of", "team size", "company of")}
-    where = lambda p: F.when(has_substring(marks, gates[p]), low).otherwise("") if marks else low
+    span, number, named = lx.SIZE_PATTERNS
+    where = lambda p: F.when(has_substring(marks, lx.SIZE_PATTERNS[p]), low).otherwise("") if marks else low
     part = lambda p, i: F.regexp_extract(where(p), JAVA_UNICODE + p, i)
     grouped = lambda x: F.format_number(_number(x), 0)
-    start, count, team = part(SIZE_RANGE, 1), part(SIZE_COUNT, 1), part(SIZE_TEAM, 2)
+    start, count, team = part(span, 1), part(number, 1), part(named, 2)
     said, size = F.lit("posting text"), lambda label, source: F.struct(label.alias("size"), source.alias("source"))
-    wording = [
-        (("enterprise", "corporation", "konzern", "large company"), "1,001+", "inferred from company wording"),
-        (("startup", "early-stage", "early stage", "seed stage"), "1-50", "inferred from startup wording"),
-        (("mittelstand", "sme", "small business", "mid-market"), "51-500", "inferred from SME wording"),
-    ]
     return first_of(
         [
-            (start != "", size(F.concat(grouped(start), F.lit("-"), grouped(part(SIZE_RANGE, 2))), said)),
-            ((count != "") & (part(SIZE_COUNT, 2) == "+"), size(F.concat(grouped(count), F.lit("+")), said)),
+            (start != "", size(F.concat(grouped(start), F.lit("-"), grouped(part(span, 2))), said)),
+            ((count != "") & (part(number, 2) == "+"), size(F.concat(grouped(count), F.lit("+")), said)),
             (count != "", size(bucket(_number(count)), said)),
             (team != "", size(bucket(_number(team)), said)),
-            *[(has_substring(marks or low, terms), size(F.lit(label), F.lit(source))) for terms, label, source in wording],
+            *[(has_substring(marks or low, terms), size(F.lit(label), F.lit(source))) for terms, label, source in lx.SIZE_WORDING],
             (F.lit(True), size(F.lit("unknown"), F.lit(""))),
         ]
     )

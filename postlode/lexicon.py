@@ -329,6 +329,32 @@ ROLE_WORDS = (
 )
 
 
+# ---- Fixed values: words and patterns of classifiers ----
+
+ONSITE_TERMS = ("onsite", "on-site", "office", "büro")
+ENTRY_LEVELS = {
+    "working_student": ("working student", "werkstudent"),
+    "internship": ("intern", "praktikum", "стаж"),
+    "entry_level": ("graduate", "trainee", "associate"),
+}
+STARTUP_SIGNS = ("startup", "early-stage", "saas", "y combinator")
+COMPANY_FITS = {
+    "enterprise": ("enterprise", "corporation", "konzern", "10,000+", "10000+"),
+    "startup": ("startup", "early-stage", "seed", "series a", "y combinator", "yc"),
+    "sme/mid-market": ("gmbh", "agency", "agentur", "consulting", "beratung", "saas", "b2b"),
+}
+#: Ranges, counts and teams that name a size, with words without which they do not occur.
+SIZE_PATTERNS = {
+    r"(\d{1,3}(?:,\d{3})?)\s*[-–]\s*(\d{1,3}(?:,\d{3})?)\s+(employees|people|team members)": ("employees", "people", "team members"),
+    r"(\d{1,3}(?:,\d{3})?)(\+?)\s+(employees|people|team members)": ("employees", "people", "team members"),
+    r"(team of|team size|company of)\s+(\d{1,4})": ("team of", "team size", "company of"),
+}
+SIZE_WORDING = (
+    (("enterprise", "corporation", "konzern", "large company"), "1,001+", "inferred from company wording"),
+    (("startup", "early-stage", "early stage", "seed stage"), "1-50", "inferred from startup wording"),
+    (("mittelstand", "sme", "small business", "mid-market"), "51-500", "inferred from SME wording"),
+)
+
 # ---- Fixed values: patterns of hiring threads ----
 
 #: What a head's first piece is cleaned of: brackets, addresses, backers.
