@@ -172,12 +172,15 @@ _PLACED = " ".join(
 )
 
 
-@query(f"""WITH {_TITLED}, asked AS (SELECT r.*, t.wording || ' ' || t.location AS snippet, '"AI" "Term ' || (page_id % 3) || '"' AS query FROM r JOIN templates t ON page_id % {len(o.TEMPLATES)} = k WHERE page_id % 5 <> 0),
+_SEARCHED = f"""WITH {_TITLED}, asked AS (SELECT r.*, t.wording || ' ' || t.location AS snippet, '"AI" "Term ' || (page_id % 3) || '"' AS query FROM r JOIN templates t ON page_id % {len(o.TEMPLATES)} = k WHERE page_id % 5 <> 0),
 h AS (SELECT *, {_HOST} AS host, {_ROOT} AS root, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path, lower(title) AS low, snippet || ' ' || query AS about FROM asked),
 hosts AS (SELECT * FROM h WHERE NOT (host IN ({', '.join(map(o.quote, lx.BLOCKED_DOMAINS))}) OR root IN ({', '.join(map(o.quote, lx.BLOCKED_DOMAINS))}) OR {o.holds('host', ('magazine', 'wikipedia', 'wikihow'))}
     OR {o.holds('path', lx.HARD_NOISY_PATHS)} OR {o.holds('low', lx.NOISY_TITLES)} OR regexp_matches(low, '\\b\\d{{3,}}[,\\d]*\\+?\\s+')
     OR (root IN ({', '.join(map(o.quote, lx.WEAK_AGGREGATORS))}) AND ({o.holds('path', lx.NOISY_PATHS)} OR length(trim(path, '/')) <= 2)))), {_GUESSED}
-SELECT {_title_sql('title')} AS job_title, company AS company_name, CASE {_PLACED} ELSE 'Term ' || (page_id % 3) END AS location, 'serpapi:' || host AS source_platform, url AS job_url, snippet AS job_description FROM guessed""")
+SELECT {_title_sql('title')} AS job_title, company AS company_name, CASE {_PLACED} ELSE 'Term ' || (page_id % 3) END AS location, 'serpapi:' || host AS source_platform, url AS job_url, snippet AS job_description FROM guessed"""
+
+
+@query(_SEARCHED)
 def search_postings(spark, d):
     """Postings from stored search answers: noise and gone links dropped, company and place guessed."""
     from postlode.plans.views import TEMPLATES
@@ -193,6 +196,25 @@ def search_postings(spark, d):
     return found.select("job_title", "company_name", "location", "source_platform", "job_url", "job_description")
 
 
+_UNASKED = _SEARCHED.replace("""'"AI" "Term ' || (page_id % 3) || '"' AS query""", "'' AS query").replace("'Term ' || (page_id % 3) END", "'Unknown' END").replace(" WHERE page_id % 5 <> 0", "")
+
+
+@query(_UNASKED)
+def search_engines(spark, d):
+    """The same from answers of two other engines, which bear no query."""
+    from postlode.plans.views import TEMPLATES
+
+    words = spark.createDataFrame([(i, f"{t[4]} {t[2]}") for i, t in enumerate(TEMPLATES)], "k int, snippet string")
+    rows = _page_results(spark, d)
+    rows = rows.join(F.broadcast(words), rows.page_id % len(TEMPLATES) == words.k)
+    duck = F.to_json(F.array(F.struct("title", F.col("url").alias("href"), F.col("snippet").alias("body"))))
+    brave = F.to_json(F.struct(F.struct(F.array(F.struct("title", "url", F.col("snippet").alias("description"))).alias("results")).alias("web")))
+    even = F.col("page_id") % 2 == 0
+    found = captures.search_results(spark, _one_a_file(rows.filter(even), F.lit("1.json"), duck), "duckduckgo")
+    found = found.unionByName(captures.search_results(spark, _one_a_file(rows.filter(~even), F.lit("2.json"), brave), "brave"))
+    return found.select("job_title", "company_name", "location", "source_platform", "job_url", "job_description")
+
+
 _MADE = f"templates(k, title, company, location, salary, wording) AS (VALUES {o._VALUES}), made AS (SELECT page_id, t.* FROM pages JOIN templates t ON page_id % {len(o.TEMPLATES)} = k)"
 
 
