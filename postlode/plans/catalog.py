@@ -11,7 +11,7 @@ from postlode import lexicon as lx
 from postlode.functions import classify, pay, results, text
 from postlode.operators import dedup, fetchlog, joins, order, reports, similar
 from postlode.operators.enrich import enrich
-from postlode.operators.queries import search_queries
+from postlode.operators import queries as searches
 from postlode.plans import likeness
 from postlode.plans import oracle as o
 from postlode.plans import pipeline
@@ -466,7 +466,7 @@ SELECT CAST(row_number() OVER (ORDER BY a, b, c, d) AS INTEGER) AS place, query
 @query(_query_sql())
 def query_product(spark, d):
     """Search queries from titles, places and sites."""
-    return search_queries(spark, "worldwide", True)
+    return searches.search_queries(spark, "worldwide", True)
 
 
 _PRESENTED = f"""{o.SCORED}, {_SHOWN_SQL}"""
@@ -623,9 +623,45 @@ BOARD_URLS = (
 @query("""SELECT * FROM (VALUES ('ashby', ['delta']), ('greenhouse', ['acme', 'beta']), ('lever', ['gamma']), ('workable', ['epsilon', 'zeta'])) t(provider, slugs)""")
 def board_slugs(spark, d):
     """Boards named by addresses."""
-    from postlode.operators.queries import collect_slugs
+    return searches.collect_slugs(spark.createDataFrame([(u,) for u in BOARD_URLS], "link string"))
 
-    return collect_slugs(spark.createDataFrame([(u,) for u in BOARD_URLS], "link string"))
+
+_BOARD = """CASE page_id % 5 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' WHEN 3 THEN 'workable' END"""
+
+
+_SLUGS = f"""named AS (SELECT page_id, {_BOARD} AS provider, regexp_extract(url, '://([^./?#]+)', 1) || '-' || page_id % 11 AS slug FROM pages),
+slugs AS (SELECT provider, page_id % 3 = 0 AS found, list_sort(list_distinct(list(slug))) AS slugs FROM named WHERE provider IS NOT NULL GROUP BY GROUPING SETS ((provider, page_id % 3 = 0), (provider)))"""
+
+
+def _board_links(spark, d) -> DataFrame:
+    n = F.col("page_id")
+    slug = F.concat(F.regexp_extract("url", "://([^./?#]+)", 1), F.lit("-"), (n % 11).cast("string"))
+    at = lambda before, after: F.concat(F.lit(before), slug, F.lit(after))
+    link = (
+        F.when(n % 5 == 0, at("https://boards.greenhouse.io/", "/jobs/1"))
+        .when(n % 5 == 1, at("https://jobs.lever.co/", ""))
+        .when(n % 5 == 2, at("https://jobs.ashbyhq.com/", "?x=1"))
+        .when(n % 5 == 3, at("https://apply.workable.com/", "/j/9"))
+        .otherwise(F.col("url"))
+    )
+    return table(spark, d, "pages").select("page_id", link.alias("link"))
+
+
+@query(f"WITH {_SLUGS} SELECT provider, slugs FROM slugs WHERE found IS NULL")
+def page_boards(spark, d):
+    """Boards named by the addresses of pages."""
+    return searches.collect_slugs(_board_links(spark, d))
+
+
+@query(f"""WITH {_SLUGS} SELECT provider, list_sort(list_distinct(list_concat(coalesce(a.slugs, []), coalesce(b.slugs, [])))) AS merged,
+list_sort(list_filter(coalesce(b.slugs, []), lambda x: NOT list_contains(coalesce(a.slugs, []), x))) AS added
+FROM (SELECT * FROM slugs WHERE NOT found) a FULL JOIN (SELECT * FROM slugs WHERE found) b USING (provider)""")
+def discovered_boards(spark, d):
+    """Stored boards and those that search answers name."""
+    links = _board_links(spark, d)
+    stored = searches.collect_slugs(links.filter("page_id % 3 <> 0"))
+    answer = F.to_json(F.struct(F.struct(F.array(F.struct("link")).alias("organic_results")).alias("data")))
+    return searches.discover(links.filter("page_id % 3 = 0").select(F.lit("a.json").alias("_file"), answer.alias("body")), stored)
 
 
 _RUN = f"""WITH RECURSIVE {o.SCORED}, {o.prepared('scored')}, {o.GREEDY}
