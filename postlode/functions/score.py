@@ -128,8 +128,11 @@ def explanation() -> Column:
     return F.concat(said, warned, F.lit("."))
 
 
-def score(df: DataFrame, profile: lx.TargetingProfile | None = None) -> DataFrame:
-    """Postings with components, relevance, company fit, priority and reason filled in: one narrow projection."""
+def score(df: DataFrame, profile: lx.TargetingProfile | None = None, keep_pay: bool = False) -> DataFrame:
+    """Postings with components, relevance, company fit, priority and reason filled in: one narrow projection.
+
+    ``keep_pay``: the struct ``_paid`` of what was read of pay and hours stays, for ``reports.present``.
+    """
     scored = with_facts(df, profile).withColumns(components())
     total = sum((F.col(c) for c in SCORES), F.lit(0))
     scored = seal(scored.withColumn("relevance_score", F.greatest(F.lit(0), F.least(F.lit(100), total))), "relevance_score")
@@ -139,4 +142,4 @@ def score(df: DataFrame, profile: lx.TargetingProfile | None = None) -> DataFram
             "priority_level": priority(F.col("relevance_score")),
             "reason_for_score": explanation(),
         }
-    ).drop(*HELPERS)
+    ).drop(*[h for h in HELPERS if not (keep_pay and h == "_paid")])

@@ -41,10 +41,10 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
     return enrich(postings(spark, d))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
+def scored(spark: SparkSession, d: str, keep_pay: bool = False) -> DataFrame:
     from postlode.functions.score import score
 
-    return score(enriched(spark, d))
+    return score(enriched(spark, d), keep_pay=keep_pay)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -480,14 +480,14 @@ CASE WHEN required_skills = '' THEN 'Not extracted' ELSE required_skills END AS
 def presenter(spark, d):
     """Report rows."""
     columns = "seq score priority title company company_fit company_size location city country region remote_type seniority salary salary_target_met hours_target_met salary_hour_notes skills source reason status dismissed"
-    return reports.present(scored(spark, d), STAMP, "_seq").withColumnRenamed("_seq", "seq").select(*columns.split())
+    return reports.present(scored(spark, d, keep_pay=True), STAMP, "_seq").withColumnRenamed("_seq", "seq").select(*columns.split())
 
 
 @query(f"""WITH {o.SCORED} SELECT count(*) AS exported, CAST(round_even(avg(relevance_score), 1) AS DOUBLE) AS average_score, count_if(priority_level = 'urgent') AS urgent,
 count_if(priority_level = 'high') AS high, count_if(salary_target_met = 'yes') AS salary_target, count_if(hours_target_met = 'yes') AS hours_target FROM scored""")
 def report_summary(spark, d):
     """A report's head (A1)."""
-    return reports.summary(reports.present(scored(spark, d), STAMP))
+    return reports.summary(reports.present(scored(spark, d, keep_pay=True), STAMP))
 
 
 _WHERE = "lower(job_title || ' ' || location || ' ' || country)"

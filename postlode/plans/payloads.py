@@ -304,7 +304,7 @@ def merge_description(spark, d):
 @query(f"""WITH {o.SCORED} SELECT seq, CASE WHEN seq % 5 = 1 THEN 'Dismissed ' ELSE 'new' END AS status FROM scored WHERE seq % 5 <> 1 AND seq % 3 <> 0 AND NOT {o.too_large('company_size')}""")
 def reviewed_rows(spark, d):
     """Report rows that a review left (P15, S21's filters)."""
-    shown = reports.present(scored(spark, d), STAMP, "_seq")
+    shown = reports.present(scored(spark, d, keep_pay=True), STAMP, "_seq")
     seq = F.col("_seq")
     marked = shown.withColumns({"dismissed": F.when(seq % 3 == 0, " YES").otherwise("no"), "status": F.when(seq % 5 == 1, "Dismissed ").otherwise("new")})
     return reports.reviewed(marked).select(seq.alias("seq"), "status")

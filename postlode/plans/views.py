@@ -42,16 +42,11 @@ TEMPLATES: tuple[tuple[str, str, str, str, str], ...] = (
 )
 
 
-#: Bytes of a table from which its own files and row groups make enough tasks for a core.
-LARGE = 32 << 20
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table; a small one, which may be a single row group and so a single task, is dealt over the cores."""
+    """The table; one whose splits leave half the cores idle (a small file may be a single row group) is dealt over all."""
     read = spark.read.parquet(f"{sf_dir}/documents.parquet")
     cores = spark.sparkContext.defaultParallelism
-    small = int(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < LARGE * cores
-    return read.repartition(cores) if small else read
+    return read.repartition(cores) if 2 * read.rdd.getNumPartitions() <= cores else read
 
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
