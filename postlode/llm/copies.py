@@ -14,8 +14,9 @@ hash differ in more bits than similar sets could is no pair; every other one who
 not in one component yet is held against both texts.
 
 Nodes that share an element are all paired where they are few. Where they are more than
-``few``, each is first paired with the smallest of them, which joins a large group of near
-copies in linear work; then those that are not in one component yet are paired.
+``few``, each is first paired with the smallest of them, then in several turns with some neighbours in
+a random order, which joins a large group of near copies in linear work; then those that are not in
+one component yet are paired, over keys that still have several.
 
 Null and blank texts are copies of each other. Of each component the row of the smallest
 doc_id stays (null last), and of several such rows one; rows are told apart by number, not by
@@ -40,6 +41,8 @@ WIDTH = 5
 SHARE, OF = 4, 5
 #: Least bits of a sketch; a larger set has a bit an element or more, in powers of two.
 BITS = 256
+#: Keys that a member carries to tell where a pair was met before.
+LEAST_KEYS = 8
 #: Rows of numbers that are broadcast at most.
 SMALL = 200_000
 
@@ -149,8 +152,8 @@ def _near_size(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidates(nodes: DataFrame, few: int = 16) -> DataFrame:
-    """``key, u, v``: pairs of nodes (node, n, keys, component) of unlike components that share a key (key null), and the members u of
-    keys that over ``few`` nodes have (v null)."""
+    """``key, u, v, n``: pairs of nodes (node, n, keys, component) of unlike components that share a key (key null), and the members u, of
+    size n, of keys that over ``few`` nodes have (v null)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, n, part in _runs(batches):
@@ -170,37 +173,83 @@ def candidates(nodes: DataFrame, few: int = 16) -> DataFrame:
             near = _near_size(n[a], n[b]) & (part[a] != part[b])
             pairs = np.unique(np.stack([node[a[near]], node[b[near]]], axis=1), axis=0)
             big = np.flatnonzero(many)
-            kinds = [pa.array([None] * len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
-            yield pa.RecordBatch.from_arrays(kinds, names=["key", "u", "v"])
-            kinds = [pa.array(key[big]), pa.array(node[big]), pa.array([None] * len(big), pa.int64())]
-            yield pa.RecordBatch.from_arrays(kinds, names=["key", "u", "v"])
+            none = lambda k: pa.array([None] * k, pa.int64())
+            kinds = [none(len(pairs)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(len(pairs))]
+            yield pa.RecordBatch.from_arrays(kinds, names=["key", "u", "v", "n"])
+            kinds = [pa.array(key[big]), pa.array(node[big]), none(len(big)), pa.array(n[big])]
+            yield pa.RecordBatch.from_arrays(kinds, names=["key", "u", "v", "n"])
 
     sent = nodes.select(F.explode("keys").alias("key"), "node", "n", "component")
-    return sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(each, "key long, u long, v long")
+    return sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(each, "key long, u long, v long, n long")
+
+
+def neighbours(members: DataFrame, turn: int, reach: int = 3) -> DataFrame:
+    """``u, v``: each key's members in a random order (another each ``turn``), each with the ``reach`` next ones of unlike components."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _runs(batches):
+            h = (columns[1].view(np.uint64) + np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            order = np.lexsort((h ^ (h >> np.uint64(29)), columns[0]))
+            key, node, n, part = (c[order] for c in columns)
+            pairs = [np.zeros((0, 2), np.int64)]
+            for lag in range(1, reach + 1):
+                a = np.flatnonzero((key[lag:] == key[:-lag]) & (part[lag:] != part[:-lag]))
+                a = a[_near_size(n[a], n[a + lag])]
+                pairs.append(np.stack([node[a], node[a + lag]], axis=1))
+            every = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["u", "v"])
+
+    dealt = members.select("key", "node", "n", "component").repartition("key")
+    return dealt.sortWithinPartitions("key").mapInArrow(each, "u long, v long")
+
+
+def parted(members: DataFrame) -> DataFrame:
+    """The members (key, node, n, component) of keys that have several components."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _runs(batches):
+            key, part = columns[0], columns[3]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            several = np.minimum.reduceat(part, start) < np.maximum.reduceat(part, start)
+            some = np.repeat(several, np.diff(np.append(start, len(key))))
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in columns], names=["key", "node", "n", "component"])
+
+    dealt = members.select("key", "node", "n", "component").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(each, "key long, node long, n long, component long")
 
 
 def unjoined(members: DataFrame) -> DataFrame:
-    """``u, v``: of each key's members (key, node, n, component, sketch) the pairs of unlike components whose sketches allow it."""
+    """``u, v``: of each key's members (key, node, n, component, sketch, mine) the pairs of unlike components whose sketches allow it.
+
+    Members of a key's largest component are not paired with one another, so the work is that of the others
+    with all. ``mine`` are some of a member's least keys: a pair that has one of them in common below this key is
+    left to that key. Others may be given by several keys.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, nodes, sizes, parts, sketches in _runs(batches):
+        for keys, nodes, sizes, parts, sketches, lists in _runs(batches):
             edges = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
             for a, b in zip(edges, edges[1:], strict=False):
                 # by size, so that a member meets only those of near size
                 order = a + np.argsort(sizes[a:b], kind="stable")
-                node, n, part, held = nodes[order], sizes[order], parts[order], sketches[order]
-                end = np.searchsorted(SHARE * n, OF * n, "right")
+                node, n, part, held, mine = nodes[order], sizes[order], parts[order], sketches[order], lists[order]
+                names, count = np.unique(part, return_counts=True)
+                most = part == names[count.argmax()]
+                low, high = np.searchsorted(OF * n, SHARE * n, "left"), np.searchsorted(SHARE * n, OF * n, "right")
                 least = np.stack([folded(x, min(map(len, held))) for x in held])  # compared at once; whole sketches follow
-                for i in range(len(n)):
-                    some = np.flatnonzero(part[i + 1 : end[i]] != part[i]) + i + 1
+                for i in np.flatnonzero(~most).tolist():
+                    some = np.arange(low[i], high[i])
+                    some = some[(part[some] != part[i]) & (most[some] | (some > i))]
                     apart = np.bitwise_count(least[some] ^ least[i]).sum(axis=1, dtype=np.int64)
                     some = some[(OF + SHARE) * apart <= (OF - SHARE) * (n[some] + n[i])]
-                    good = [j for j in some.tolist() if may_be_similar(int(n[i] + n[j]), held[i], held[j])]
+                    some = [j for j in some.tolist() if may_be_similar(int(n[i] + n[j]), held[i], held[j])]
+                    good = [j for j in some if not len(np.intersect1d(mine[i], mine[j]))]
                     if good:
                         pair = [pa.array(np.full(len(good), node[i])), pa.array(node[good])]
                         yield pa.RecordBatch.from_arrays(pair, names=["u", "v"])
 
-    dealt = members.select("key", "node", "n", "component", "sketch").repartition("key").sortWithinPartitions("key", "node")
+    below = F.filter("mine", lambda k: k < F.col("key")).alias("mine")
+    dealt = members.select("key", "node", "n", "component", "sketch", below).repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(each, "u long, v long")
 
 
@@ -260,7 +309,7 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return same.union(close.join(first, "u").join(second, "v").select("a", "b"))
 
 
-def survivors(rows: DataFrame, prints: DataFrame, few: int = 16) -> DataFrame:
+def survivors(rows: DataFrame, prints: DataFrame, few: int = 16, turns: int = 1) -> DataFrame:
     """``row``: of each component of similar texts the row that stays."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = prints.groupBy("digest").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"))
@@ -274,12 +323,18 @@ def survivors(rows: DataFrame, prints: DataFrame, few: int = 16) -> DataFrame:
     met = materialise(candidates(keyed, few), "copy-candidates")
     near = near.union(verified(met.filter("v is not null").select("u", "v"), rows, prints))
     placed = components(near, near.count())
-    many = met.filter("v is null").select("key", F.col("u").alias("node"))
-    if many.head(1):
-        held = prints.select(F.col("row").alias("node"), "n", "sketch")
-        members = many.join(held, "node").join(placed, "node", "left").select("key", "node", "n", part, "sketch")
+    many = met.filter("v is null").select("key", F.col("u").alias("node"), "n")
+    placed_in = lambda: many.join(placed, "node", "left").select("key", "node", "n", part)
+    for turn in range(turns if many.head(1) else 0):
+        near = near.union(verified(neighbours(placed_in(), turn), rows, prints))
+        placed = components(near, near.count())
+    left = materialise(parted(placed_in()), "copy-members")
+    if left.head(1):
+        mine = left.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("mine"))
+        members = left.join(mine, "node").join(prints.select(F.col("row").alias("node"), "sketch"), "node")
         near = near.union(verified(unjoined(members), rows, prints))
         placed = components(near, near.count())
+    discard(left)
     whole = nodes.join(placed, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     return whole.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
 
