@@ -247,6 +247,20 @@ def page_postings(spark, d):
     return found.select("job_title", "company_name", "location", "remote_type", "job_url", "job_description", "salary", "company_size")
 
 
+@query("SELECT page_id, url, 'T' || page_id AS title FROM pages")
+def nested_postings(spark, d):
+    """Postings that stand up to 24 lists and graphs deep in a page's structured data."""
+    n = F.col("page_id")
+    depth = (n % 25).cast("int")
+    item = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("T"), n.cast("string")).alias("title"), "url"))
+    listed = F.concat(F.repeat(F.lit('[{"@type": "WebPage"}, '), depth), item, F.repeat(F.lit("]"), depth))
+    graph = F.concat(F.repeat(F.lit('{"@graph": ['), depth), item, F.repeat(F.lit("]}"), depth))
+    body = F.when(n % 2 == 0, listed).otherwise(graph)
+    html = F.concat("html", F.lit('<script type="application/ld+json">'), body, F.lit("</script>")).alias("html")
+    found = structured.with_posting(table(spark, d, "pages").select("page_id", html), "page_id")
+    return found.select("page_id", *[F.try_variant_get("p", f"$.{c}", "string").alias(c) for c in ("url", "title")])
+
+
 @query(f"""WITH {_MADE} SELECT trim(regexp_replace(company, '\\s+', ' ', 'g'), ' *-|–—•·') AS company_name,
 CASE WHEN page_id % 2 = 0 THEN 'Berlin, Germany' ELSE '' END AS location, CASE WHEN page_id % 3 = 0 THEN 'hybrid' ELSE 'remote' END AS remote_type, 'https://a.b/?x=' || page_id || '&y' AS job_url, CASE WHEN page_id % 2 = 0 THEN 'AI / Automation role' ELSE 'Senior Engineers' END AS job_title
 FROM made WHERE company <> '' AND page_id % 4 <> 3""")
