@@ -684,7 +684,7 @@ def pipeline_counters(spark, d):
     return pipeline.run(postings(spark, d), config=pipeline.RunConfig(fuzzy=False)).counters()
 
 
-@query()
+@query(likeness.FULL_RUN)
 def pipeline_full(spark, d):
     """The whole run with the fuzzy pass."""
     done = pipeline.run(postings(spark, d)).ranked

@@ -17,11 +17,11 @@ TITLED = """titled AS (
 )"""
 
 
-def held(rows: str) -> str:
-    """CTE ``held``: what of prepared postings decides on likeness."""
+def held(rows: str, filled: tuple[str, ...] = ("salary",)) -> str:
+    """CTE ``held``: what of prepared postings decides on likeness, and the fields that merging fills."""
     return f"""held AS MATERIALIZED (
     SELECT *, regexp_replace(core, '[^a-z0-9]', '', 'g')[1:6] AS block FROM (
-        SELECT seq, job_title, company_name, salary, length(job_description) AS size, {o.core('normalized_title')} AS core,
+        SELECT seq, job_title, company_name, {', '.join(filled)}, length(job_description) AS size, {o.core('normalized_title')} AS core,
                CASE WHEN company_name NOT IN ('', 'Unknown') THEN normalized_company END AS company
         FROM {rows})
 )"""
@@ -73,9 +73,11 @@ asked AS (SELECT p.id AS a, s.id AS b, p.core AS x, s.core AS y FROM cores p JOI
 SELECT a, b, left_ratio, right_ratio, both_ratio FROM asked JOIN ratio USING (x, y) WHERE greatest(left_ratio, right_ratio, both_ratio) >= 0.86"""
 
 
-def collapsed(rows: str) -> str:
-    """The pass in order over ``held`` of the CTEs ``rows``: one step a row of every block, whose representatives are a list."""
-    return f"""WITH RECURSIVE {rows}, nodes AS MATERIALIZED (SELECT DISTINCT block, core, company FROM held),
+def merging(filled: tuple[str, ...] = ("salary",)) -> str:
+    """CTEs ending in ``whole(r)``: the pass in order over ``held``, one step a row of every block, whose representatives are a list of
+    structs: rep (the first row), best (the row that stands), and the fields that merging fills."""
+    fill = lambda one, other: ", ".join(f"'{c}': CASE WHEN {one}.{c} <> '' THEN {one}.{c} ELSE {other}.{c} END" for c in filled)
+    return f"""nodes AS MATERIALIZED (SELECT DISTINCT block, core, company FROM held),
 asked AS MATERIALIZED (
     SELECT DISTINCT p.core AS x, s.core AS y FROM nodes p JOIN nodes s ON p.block = s.block
     UNION SELECT DISTINCT p.company, s.company FROM nodes p JOIN nodes s ON p.block = s.block WHERE p.company IS NOT NULL AND s.company IS NOT NULL
@@ -87,19 +89,32 @@ likes AS MATERIALIZED (
     FROM nodes p JOIN nodes s ON p.block = s.block JOIN best t ON t.x = p.core AND t.y = s.core AND t.r >= 0.86
     LEFT JOIN best f ON f.x = p.company AND f.y = s.company
     WHERE p.company IS NULL OR s.company IS NULL OR f.r >= 0.84 GROUP BY ALL
-), placed AS MATERIALIZED (
+), queued AS MATERIALIZED (
     SELECT h.block, row_number() OVER (PARTITION BY h.block ORDER BY seq) AS n, coalesce(others, []) AS others,
            {{'rep': seq, 'id': h.core || '|' || coalesce(h.company, '?'), 'rich': (CASE WHEN h.company IS NULL THEN 0 ELSE 1000000000 END) + size,
-             'title': job_title, 'firm': company_name, 'pay': salary}} AS me
+             'best': seq, {', '.join(f"'{c}': {c}" for c in filled)}}} AS me
     FROM held h LEFT JOIN likes l ON l.block = h.block AND l.core = h.core AND l.company IS NOT DISTINCT FROM h.company
 ), pass(block, n, reps) AS (
-    SELECT block, n, [me] FROM placed WHERE n = 1
+    SELECT block, n, [me] FROM queued WHERE n = 1
     UNION ALL
     SELECT block, n, CASE WHEN m IS NULL THEN list_append(reps, me) ELSE list_transform(reps, lambda r, k: CASE WHEN k <> m THEN r
-        WHEN me.rich > r.rich THEN {{'rep': r.rep, 'id': me.id, 'rich': me.rich, 'title': me.title, 'firm': me.firm, 'pay': CASE WHEN me.pay <> '' THEN me.pay ELSE r.pay END}}
-        ELSE {{'rep': r.rep, 'id': r.id, 'rich': r.rich, 'title': r.title, 'firm': r.firm, 'pay': CASE WHEN r.pay <> '' THEN r.pay ELSE me.pay END}} END) END
+        WHEN me.rich > r.rich THEN {{'rep': r.rep, 'id': me.id, 'rich': me.rich, 'best': me.best, {fill('me', 'r')}}}
+        ELSE {{'rep': r.rep, 'id': r.id, 'rich': r.rich, 'best': r.best, {fill('r', 'me')}}} END) END
     FROM (
         SELECT p.block, p.n, p.me, s.reps, list_position(list_transform(s.reps, lambda r: list_contains(p.others, r.id)), true) AS m
-        FROM pass s JOIN placed p ON p.block = s.block AND p.n = s.n + 1)
-), whole AS (SELECT unnest(reps) AS r FROM pass QUALIFY n = max(n) OVER (PARTITION BY block))
-SELECT r.rep AS seq, r.title AS job_title, r.firm AS company_name, r.pay AS salary FROM whole"""
+        FROM pass s JOIN queued p ON p.block = s.block AND p.n = s.n + 1)
+), whole AS (SELECT unnest(reps) AS r FROM pass QUALIFY n = max(n) OVER (PARTITION BY block))"""
+
+
+def collapsed(rows: str) -> str:
+    """The merged postings of ``held``, which the CTEs ``rows`` end in."""
+    return f"""WITH RECURSIVE {rows}, {merging()}
+SELECT r.rep AS seq, job_title, company_name, r.salary AS salary FROM whole JOIN held ON seq = r.best"""
+
+
+_FILLED = ("salary", "required_skills")
+#: The whole run: enriched, deduplicated both ways, scored anew and filtered.
+FULL_RUN = f"""WITH RECURSIVE {o.ENRICHED}, {o.prepared('enriched')}, {o.GREEDY}, {held('unique_rows', _FILLED)}, {merging(_FILLED)},
+merged AS (SELECT e.* REPLACE (r.rep AS seq, r.salary AS salary, r.required_skills AS required_skills) FROM whole JOIN enriched e ON e.seq = r.best)
+{o.SCORED[len(o.ENRICHED):].replace('FROM enriched', 'FROM merged', 1)}
+SELECT seq, relevance_score, priority_level, company_name FROM scored WHERE NOT {o.too_large('company_size')} AND {o.low_cost('salary', 'location', o.BLOB)} = ''"""
