@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import re
 import tempfile
 import uuid
@@ -118,7 +117,3 @@ def open_store(uri: str):
 
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def env_int(name: str, default: int) -> int:
-    return int(os.environ.get(name, default))
