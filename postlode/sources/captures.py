@@ -22,7 +22,8 @@ def search_results(spark: SparkSession, path: str, engine: str = "cached", statu
     """Results that are postings, in file and list order.
 
     A file is an answer, or ``{query, data}`` around one. ``status`` (link, status): links known
-    to be gone are dropped, unknown ones kept.
+    to be gone are dropped, unknown ones kept. With a column ``_file`` a status holds for that answer's
+    link only: the same link may stand in another that was asked when the page was there.
     """
     where, title_at, link_at, about_at = ENGINES[engine]
     body = F.col("body")
@@ -35,8 +36,9 @@ def search_results(spark: SparkSession, path: str, engine: str = "cached", statu
     )
     rows = rows.filter((F.col("title") != "") & (F.col("link") != "") & ~results.is_noise(F.col("title"), F.col("link")))
     if status is not None:
-        known = status.groupBy("link").agg(F.max("status").alias("_status"))
-        rows = rows.join(known, "link", "left").filter(~results.is_dead(F.col("_status")))
+        by = [c for c in ("_file", "link") if c in status.columns]
+        known = status.groupBy(*by).agg(F.max("status").alias("_status"))
+        rows = rows.join(known, by, "left").filter(~results.is_dead(F.col("_status")))
     host = domain(F.col("link"))
     return mapped(
         rows,

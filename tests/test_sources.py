@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from postlode.plans import catalog
 from postlode.schema import COLUMNS, conform
 from postlode.sources import boards, captures, feeds
 from postlode.sources.registry import read_sources
@@ -63,6 +64,14 @@ def test_feeds(spark, tmp_path):
     assert sorted((r.company_name, r.job_title) for r in feeds.weworkremotely(spark, path).collect())[0] == ("", "LLM Engineer at Gamma")
 
 
+def test_a_link_gone_for_one_answer_stays_in_another(spark, tmp_path):
+    """Two pages of one address, of which one is gone; the query names a page's status by its answer."""
+    rows = [(5, "https://acme.dev/x/1"), (7, "https://acme.dev/x/1"), (10, "https://b.dev/x/2"), (11, "https://c.dev/x/3")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.QUERIES["search_postings"](spark, str(tmp_path))
+    assert sorted(r.job_url for r in got.collect()) == ["https://acme.dev/x/1", "https://c.dev/x/3"]
+
+
 def test_captures_drop_noise_and_dead_links(spark, tmp_path):
     found = [{"title": "AI Engineer at Acme", "link": "https://acme.dev/x/1", "snippet": "Remote Germany"}, {"title": "gone", "link": "https://b.dev/x/2"}, {"title": "", "link": "x"}]
     path = put(tmp_path / "c", "01.json", {"query": '"AI" "Berlin"', "data": {"organic_results": found}})
