@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +41,19 @@ def test_masks_agree_with_plain_tests(spark, many):
     got = {r.i: r.asDict() for r in searched.select("i", *(c.alias(n) for n, c in tests.items())).collect()}
     want = {r.i: r.asDict() for r in df.na.fill({"low": ""}).select("i", *(c.alias(n) for n, c in plain.items())).collect()}
     assert got == want
+
+
+def test_few_texts_reach_a_worker_at_once(spark):
+    """3,000 rows of one partition come to Python in short batches, whatever the session had before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        index = Index()
+        marked = has_term(index.on("_m_"), ["ai"])
+        searched, _ = index.search(spark.range(3000, numPartitions=1).withColumn("low", F.lit("ai agent")), "_m_", "low")
+        sizes = searched.filter(marked).select("id").mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        got = [r.n for r in sizes.collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(got) == 3000 and max(got) <= 500
