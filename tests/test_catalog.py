@@ -102,3 +102,10 @@ def test_places_by_whole_value_or_by_every_part(spark):
     df = spark.createDataFrame([(v,) for v in cases], "v string")
     found = {r.v: r.place for r in df.select("v", classify.is_place(F.col("v")).alias("place")).collect()}
     assert found == cases
+
+
+@pytest.mark.parametrize("name", ["filter_dashboard"])
+def test_scores_are_computed_once(spark, name):
+    """What a sort or several branches read is no longer computed by them: no search is left in the plan."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
