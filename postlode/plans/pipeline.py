@@ -15,6 +15,7 @@ from postlode.operators.dedup import collapse_similar, drop_repeats, prepare
 from postlode.operators.enrich import enrich
 from postlode.operators.joins import unseen
 from postlode.schema import text_blob
+from postlode.state import pinned
 
 
 @dataclass(frozen=True)
@@ -38,17 +39,24 @@ class RunResult:
     ranked: DataFrame
     new: DataFrame
     exportable: DataFrame
+    seen: DataFrame | None
+    config: RunConfig
 
     def counters(self) -> DataFrame:
-        """One row: raw, duplicates, too large, low cost, scored, new and exported postings."""
-        flags = self.scored.agg(
+        """One row: raw, duplicates, too large, low cost, scored, new and exported postings.
+
+        The scored rows are computed once, for all counts, and kept without their texts.
+        """
+        scored = pinned(self.scored.select("deduplication_key", "relevance_score", "_large", "_low_cost"))
+        _, new, exportable = _chosen(scored, self.seen, self.config)
+        flags = scored.agg(
             F.count("*").alias("u"),
             F.count_if("_large").alias("large"),
             F.count_if(~F.col("_large") & (F.col("_low_cost") != "")).alias("low"),
             F.count_if(~F.col("_large") & (F.col("_low_cost") == "")).alias("kept"),
         )
         one = lambda df, name: df.agg(F.count("*").alias(name))
-        joined = one(self.raw, "raw").crossJoin(flags).crossJoin(one(self.new, "new")).crossJoin(one(self.exportable, "exported"))
+        joined = one(self.raw, "raw").crossJoin(flags).crossJoin(one(new, "new")).crossJoin(one(exportable, "exported"))
         return joined.select(
             "raw",
             (F.col("raw") - F.col("u")).alias("duplicates_removed"),
@@ -73,6 +81,13 @@ def score_and_flag(unique: DataFrame, config: RunConfig | None = None) -> DataFr
     return seal(flagged, "_large", "_low_cost")
 
 
+def _chosen(scored: DataFrame, seen: DataFrame | None, config: RunConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of flagged rows those that are ranked, those not seen before and those to export."""
+    ranked = scored.filter(~F.col("_large") & (F.col("_low_cost") == "")).drop("_large", "_low_cost")
+    new = unseen(ranked, seen) if seen is not None else ranked
+    return ranked, new, (new if config.new_only else ranked).filter(F.col("relevance_score") >= config.min_score)
+
+
 def run(raw: DataFrame, seen: DataFrame | None = None, config: RunConfig | None = None, sizes=None) -> RunResult:
     """``raw``: posting rows of all sources with ``_seq``; ``seen``: keys stored before this run."""
     config = config or RunConfig()
@@ -81,10 +96,8 @@ def run(raw: DataFrame, seen: DataFrame | None = None, config: RunConfig | None
         unique = collapse_similar(unique)
     unique = unique.drop("_signature")
     scored = score_and_flag(unique, config)
-    ranked = scored.filter(~F.col("_large") & (F.col("_low_cost") == "")).drop("_large", "_low_cost")
-    new = unseen(ranked, seen) if seen is not None else ranked
-    chosen = (new if config.new_only else ranked).filter(F.col("relevance_score") >= config.min_score)
-    return RunResult(raw, unique, scored, ranked, new, chosen)
+    ranked, new, chosen = _chosen(scored, seen, config)
+    return RunResult(raw, unique, scored, ranked, new, chosen, seen, config)
 
 
 def in_rank_order(df: DataFrame) -> DataFrame:

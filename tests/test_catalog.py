@@ -104,7 +104,7 @@ def test_places_by_whole_value_or_by_every_part(spark):
     assert found == cases
 
 
-@pytest.mark.parametrize("name", ["filter_dashboard", "company_overlap"])
+@pytest.mark.parametrize("name", ["filter_dashboard", "company_overlap", "pipeline_counters"])
 def test_scores_are_computed_once(spark, name):
     """What a sort or several branches read is no longer computed by them: no search is left in the plan."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
