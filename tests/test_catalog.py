@@ -10,10 +10,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from postlode.functions import classify, match, text
+from postlode.functions import classify, match, pay, text
+from postlode.functions.score import with_facts
 from postlode.operators.barrier import seal
 from postlode.operators.queries import search_queries
 from postlode.plans.catalog import QUERIES, SQL
+from postlode.schema import conform, text_blob
 
 SF = "/root/testdata/sf0.001"
 COMPARED = (
@@ -109,3 +111,26 @@ def test_scores_are_computed_once(spark, name):
     """What a sort or several branches read is no longer computed by them: no search is left in the plan."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["presenter", "dashboard_pickers", "compensation"])
+def test_pay_patterns_pass_over_a_text_once(spark, name):
+    """Each of the five patterns stands in the plan once, however many answers ask for its matches."""
+    limit = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "10000")
+    try:
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    assert [plan.count(f"(?U){p}, 0)") for p in pay.NEEDED] == [1] * 5
+
+
+def test_pay_is_the_same_by_marks_and_by_text(spark):
+    texts = ["", "50.000 EUR year", "3.900 eur month, 40 hours", "EUR 60k p.a.", "20 Stunden pro Woche", "38 std/week, 45k EUR jaehrlich", "week 12 hours 100 annum", "nothing 12", "4 monat, 90 jahr", "İ 50k year Σ"]
+    rows = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate([*((t, "") for t in texts), *(("", t) for t in texts), *zip(texts, texts[::-1])])], "i int, salary string, job_description string")
+    facts = with_facts(conform(rows, "i"))
+    plain = pay.read(conform(rows, "i").withColumn("t", pay.searched(F.col("salary"), text_blob())), "paid", "t")
+    want = {r.i: r.paid for r in plain.select("i", "paid").collect()}
+    assert {r.i: r._paid for r in facts.select("i", "_paid").collect()} == want
+    assert {r.salary_target_met for r in want.values()} == {r.hours_target_met for r in want.values()} == {"yes", "no", "unknown"}
