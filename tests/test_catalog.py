@@ -10,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from postlode import lexicon as lx
 from postlode.functions import classify, match, pay, text
 from postlode.functions.score import with_facts
 from postlode.operators.barrier import seal
@@ -113,16 +114,20 @@ def test_scores_are_computed_once(spark, name):
     assert "ArrowEvalPython" not in plan
 
 
-@pytest.mark.parametrize("name", ["presenter", "dashboard_pickers", "compensation"])
-def test_pay_patterns_pass_over_a_text_once(spark, name):
-    """Each of the five patterns stands in the plan once, however many answers ask for its matches."""
+def whole_plan(spark, name):
     limit = "spark.sql.debug.maxToStringFields"
     before = spark.conf.get(limit)
     spark.conf.set(limit, "10000")
     try:
-        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        return QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set(limit, before)
+
+
+@pytest.mark.parametrize("name", ["presenter", "dashboard_pickers", "compensation"])
+def test_pay_patterns_pass_over_a_text_once(spark, name):
+    """Each of the five patterns stands in the plan once, however many answers ask for its matches."""
+    plan = whole_plan(spark, name)
     assert [plan.count(f"(?U){p}, 0)") for p in pay.NEEDED] == [1] * 5
 
 
@@ -134,3 +139,23 @@ def test_pay_is_the_same_by_marks_and_by_text(spark):
     want = {r.i: r.paid for r in plain.select("i", "paid").collect()}
     assert {r.i: r._paid for r in facts.select("i", "_paid").collect()} == want
     assert {r.salary_target_met for r in want.values()} == {r.hours_target_met for r in want.values()} == {"yes", "no", "unknown"}
+
+
+def test_size_patterns_and_places_are_read_once(spark):
+    """No rule of sizes or places does its searches anew, nor lowers the text for them."""
+    pickers, presenter = whole_plan(spark, "dashboard_pickers"), whole_plan(spark, "presenter")
+    assert [pickers.count(f"(?U){p}, 0)") for p in lx.SIZE_PATTERNS] == [1] * 3
+    assert "lower(coalesce(_text" not in pickers and "lower(_text" in pickers
+    assert presenter.count(r"\p{L}+|[^\p{L}]+, 0)") == 1
+
+
+def test_fields_are_cleaned_alike_with_and_without_odd_characters(spark):
+    """Every character of the ranges that decide, beside spaces, tabs and newlines, against the definition in Python."""
+    odd = [chr(c) for c in (*range(0x100), 0x167F, 0x1680, 0x1681, 0x180E, *range(0x1FFF, 0x2030), 0x205E, 0x205F, 0x2060, 0x2FFF, 0x3000, 0x3001, 0x400, 0xFEFF, 0xFFFD, 0x1F600)]
+    around = ["a{}b", "{}", " a {} b\n", "\t{}\n{}c  d", "a\n{}\n\nb", "é{}  ü"]
+    texts = [t.format(c, c) for c in odd for t in around] + ["", " ", "\n", "a \n b\t\tc", "  a  ", None]
+    white = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    clean = lambda t: None if t is None else re.sub(white, " ", re.sub("[\x00-\x08\x0b-\x1f\ufffd]", "", t)).strip(" ")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", text.clean_field(F.col("t")).alias("c")).collect()}
+    assert [(texts[i], c) for i, c in got.items() if c != clean(texts[i])] == []
